@@ -40,6 +40,11 @@ def starts_with_any(text: Column, prefixes: Sequence[str]) -> Column:
     return found
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def url_pieces(url: Column) -> Column:
     """``[scheme, netloc, path, query]`` of a URL in one regex pass; absent pieces are ''."""
     # as browsers do: no leading controls, no tabs or newlines anywhere
@@ -88,56 +93,60 @@ def build_url(scheme: Column, netloc: Column, path: Column, query: Column) -> Co
 
 def clean_url(url: Column) -> Column:
     """URL without fragment and params; no case folding beyond the scheme."""
-    part = url_pieces(url)
-    return build_url(F.lower(F.get(part, 0)), F.get(part, 1), drop_params(F.get(part, 2)), F.get(part, 3))
+    return _let(
+        url_pieces(url),
+        lambda p: build_url(F.lower(F.get(p, 0)), F.get(p, 1), drop_params(F.get(p, 2)), F.get(p, 3)),
+    )
 
 
 def _fold_dots(path: Column) -> Column:
-    segments = F.split(path, "/")
+    """Remove ``.`` and ``..`` segments; a trailing one leaves a slash; never above the root."""
     folded = F.aggregate(
-        segments,
+        F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
+        .otherwise(F.array_append(acc, s)),
+        lambda acc: F.array_join(acc, "/"),
     )
-    joined = F.concat(F.array_join(folded, "/"), F.when(path.rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit("")))
-    # a fold that empties the list leaves no double slash behind
-    joined = F.when(F.size(folded) == 0, F.lit("/")).otherwise(joined)
-    return F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
+    end = F.when(path.rlike(r"(^|/)\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
+    return F.regexp_replace(F.concat(folded, end), r"^(?=[^/]|\z)", "/")
 
 
 def _join_path(base_path: Column, path: Column) -> Column:
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     # only a relative path loses its empty segments
-    relative = F.regexp_replace(F.concat(folder, path), "/+", "/")
+    relative = F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(base_path, r"[^/]*\z", ""), path), "/+", "/")
     joined = F.when(F.startswith(path, F.lit("/")), path).otherwise(relative)
-    return F.when(joined.rlike(r"(^|/)\.\.?(/|$)"), _fold_dots(joined)).otherwise(joined)
+    return _let(joined, lambda j: F.when(j.rlike(r"(^|/)\.\.?(/|\z)"), _fold_dots(j)).otherwise(j))
 
 
 def resolve_pieces(base: Column, href: Column) -> Column:
     """RFC 3986 join of two ``url_pieces`` arrays: a struct of scheme, netloc, path, query.
 
-    Null when the host of ``href`` has an unbalanced ``[``. Both arguments should be
-    columns or lambda variables, not expressions, because each is used many times.
+    Null when the host of ``href`` has an unbalanced ``[``.
     """
-    bs, bn = F.lower(F.get(base, 0)), F.get(base, 1)
-    bp, bq = drop_params(F.get(base, 2)), F.get(base, 3)
-    hs, hn = F.lower(F.get(href, 0)), F.get(href, 1)
-    raw_path, hq = F.get(href, 2), F.get(href, 3)
-    hp = drop_params(raw_path)
-
-    own = (hn != "") | ((hs != "") & (hs != bs))
-    same_page = ~own & (raw_path == "")
-    bad_host = F.contains(hn, F.lit("[")) != F.contains(hn, F.lit("]"))
-    joined = F.struct(
-        F.when(hs != "", hs).otherwise(bs).alias("scheme"),
-        F.when(own, hn).otherwise(bn).alias("netloc"),
-        F.when(own, hp).when(same_page, bp).otherwise(_join_path(bp, hp)).alias("path"),
-        F.when(same_page & (hq == ""), bq).otherwise(hq).alias("query"),
-    )
-    return F.when(~bad_host, joined)
+
+    def named(pieces: Column, tag: str) -> list[Column]:
+        return [
+            F.lower(F.get(pieces, 0)).alias(f"{tag}s"),
+            F.get(pieces, 1).alias(f"{tag}n"),
+            drop_params(F.get(pieces, 2)).alias(f"{tag}p"),
+            F.get(pieces, 3).alias(f"{tag}q"),
+        ]
+
+    def join(v: Column) -> Column:
+        own = (v["hn"] != "") | ((v["hs"] != "") & (v["hs"] != v["bs"]))
+        same_page = ~own & (v["raw"] == "")
+        bad_host = F.contains(v["hn"], F.lit("[")) != F.contains(v["hn"], F.lit("]"))
+        joined = F.struct(
+            F.when(v["hs"] != "", v["hs"]).otherwise(v["bs"]).alias("scheme"),
+            F.when(own, v["hn"]).otherwise(v["bn"]).alias("netloc"),
+            F.when(own, v["hp"]).when(same_page, v["bp"]).otherwise(_join_path(v["bp"], v["hp"])).alias("path"),
+            F.when(same_page & (v["hq"] == ""), v["bq"]).otherwise(v["hq"]).alias("query"),
+        )
+        return F.when(~bad_host, joined)
+
+    return _let(F.struct(*named(base, "b"), *named(href, "h"), F.get(href, 2).alias("raw")), join)
 
 
 def with_resolved(df: DataFrame, base: str, href: str, prefix: str = "link_") -> DataFrame:
@@ -155,19 +164,21 @@ def with_resolved(df: DataFrame, base: str, href: str, prefix: str = "link_") ->
 
 def unwrap_redirect(href: Column) -> Column:
     """Target of a search engine's redirect link; null when there is none."""
-    link = strip_space(href)
-    part = url_pieces(link)
-    host, query = F.get(part, 1), F.get(part, 3)
-    raw = F.nullif(F.regexp_extract(query, r"(?:^|&)uddg=([^&]+)", 1), F.lit(""))
-    once = F.coalesce(F.try_url_decode(raw), raw)
-    # the second pass must leave a plus sign alone
-    twice = F.coalesce(F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B"))), once)
-    return (
-        F.when((link == "") | starts_with_any(link, REDIRECT_SKIP_PREFIXES), F.lit(None))
-        .when(F.contains(host, F.lit(REDIRECT_HOST)), twice)
-        .when(F.startswith(link, F.lit("//")), F.concat(F.lit("https:"), link))
-        .otherwise(link)
-    )
+
+    def target(link: Column) -> Column:
+        part = url_pieces(link)
+        raw = F.nullif(F.regexp_extract(F.get(part, 3), r"(?:^|&)uddg=([^&]+)", 1), F.lit(""))
+        # form decoding first; the second pass must leave a plus sign alone
+        once = F.coalesce(F.try_url_decode(raw), raw)
+        twice = _let(once, lambda o: F.coalesce(F.try_url_decode(F.replace(o, F.lit("+"), F.lit("%2B"))), o))
+        return (
+            F.when((link == "") | starts_with_any(link, REDIRECT_SKIP_PREFIXES), F.lit(None))
+            .when(F.contains(F.get(part, 1), F.lit(REDIRECT_HOST)), twice)
+            .when(F.startswith(link, F.lit("//")), F.concat(F.lit("https:"), link))
+            .otherwise(link)
+        )
+
+    return _let(strip_space(href), target)
 
 
 def snapshot_key(url: Column) -> Column:

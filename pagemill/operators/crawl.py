@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
+from ..functions.text import html_to_text, page_title
 from ..functions.urls import path_filter, url_host, validate_regex
 from ..schemas import NOT_ATTEMPTED
 from ..session import cut_lineage
@@ -18,22 +20,37 @@ FILTER_OVERFETCH = 4
 
 
 def _attach_pages(visits: DataFrame, pages: DataFrame, css_selector: str | None) -> DataFrame:
-    """Join visited URLs to their pages; a URL without a page is an error row."""
-    body = pages if "error" in pages.columns else pages.withColumn("error", F.lit(None).cast("string"))
-    missing = F.col("method").isNull()
-    joined = visits.join(body, "url", "left").withColumns(
+    """Join visited URLs to their pages; a URL without a page is an error row.
+
+    ``pages`` may be raw (url, html): title and text are then built after the join, for
+    visited pages only.
+    """
+    have = set(pages.columns)
+    missing = F.col("_found").isNull()
+    joined = visits.join(pages.withColumn("_found", F.lit(True)), "url", "left")
+    no_meta, reason = F.create_map().cast("map<string,string>"), F.create_map(F.lit("error"), F.lit(NOT_ATTEMPTED))
+
+    def old(name: str, default):
+        return F.coalesce(name, default) if name in have else default
+
+    error = F.col("error") if "error" in have else F.lit(None).cast("string")
+    out = joined.withColumns(
         {
-            "error": F.when(missing, NOT_ATTEMPTED).otherwise(F.col("error")),
-            "final_url": F.coalesce("final_url", "url"),
-            "status": F.coalesce("status", F.lit(0)),
+            "error": F.when(missing, NOT_ATTEMPTED).otherwise(error),
+            "final_url": old("final_url", F.col("url")),
+            "status": F.when(missing, 0).otherwise(old("status", F.lit(200))),
             "html": F.coalesce("html", F.lit("")),
-            "markdown": F.coalesce("markdown", F.lit("")),
-            "method": F.coalesce("method", F.lit("error")),
-            "elapsed_ms": F.coalesce("elapsed_ms", F.lit(0)),
-            "meta": F.when(missing, F.create_map(F.lit("error"), F.lit(NOT_ATTEMPTED))).otherwise(F.col("meta")),
+            "method": F.when(missing, "error").otherwise(old("method", F.lit("corpus"))),
+            "elapsed_ms": old("elapsed_ms", F.lit(0)),
+            "meta": F.when(missing, reason).otherwise(old("meta", no_meta)),
         }
-    )
-    return scope_to_selector(joined, css_selector) if css_selector else joined
+    ).withColumns(
+        {
+            "title": F.col("title") if "title" in have else page_title(F.col("html")),
+            "markdown": F.coalesce("markdown", F.lit("")) if "markdown" in have else html_to_text(F.col("html")),
+        }
+    ).drop("_found")
+    return scope_to_selector(out, css_selector) if css_selector else out
 
 
 def crawl_flat(
@@ -56,17 +73,16 @@ def crawl_flat(
         starts = starts.filter(F.col("error").isNull())
     mapped = with_site_map(starts, limit=max_pages * FILTER_OVERFETCH if filtered else max_pages)
     kept = F.slice(F.filter("urls", lambda u: path_filter(u, include, exclude)), 1, max(max_pages, 0))
-    visits = mapped.select(F.col("url").alias("root"), F.posexplode(kept).alias("rank", "url"))
+    visits = explode_once(mapped, [F.col("url").alias("root")], kept, "rank", "url")
     return _attach_pages(visits.withColumn("rank", F.col("rank") + 1), pages, css_selector)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """Narrow link table (src, pos, dst) of every page; hosts are checked during the walk."""
-    based = pages.withColumns({"_from": F.coalesce("final_url", "url"), "_any_host": F.lit("")})
-    return (
-        with_links(based, base="_from", root="_any_host")
-        .select(F.col("url").alias("src"), F.posexplode(F.col("links")).alias("pos", "dst"))
-    )
+    landed = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
+    based = pages.withColumns({"_from": landed, "_any_host": F.lit("")})
+    linked = with_links(based, base="_from", root="_any_host")
+    return explode_once(linked, [F.col("url").alias("src")], "links", "pos", "dst")
 
 
 def crawl_levels(
@@ -156,3 +172,18 @@ def crawl_errors(crawled: DataFrame) -> DataFrame:
         .groupBy(url_host(F.col("url")).alias("host"), F.col("error").alias("reason"))
         .agg(F.count(F.lit(1)).alias("pages"))
     )
+
+
+def crawl_site(
+    pages: DataFrame,
+    roots: DataFrame,
+    max_pages: int = MAX_PAGES,
+    max_depth: int = 0,
+    include: str | None = None,
+    exclude: str | None = None,
+    css_selector: str | None = None,
+) -> DataFrame:
+    """Flat harvest with ``max_depth`` 0, breadth-first walk beyond."""
+    if max_depth > 0:
+        return crawl_bfs(pages, roots, max_pages, max_depth, include, exclude, css_selector)
+    return crawl_flat(pages, roots, max_pages, include, exclude, css_selector)

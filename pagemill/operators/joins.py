@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def fits_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Count at most ``rows + 1`` rows to prove that a side is small."""
+    return small.limit(rows + 1).count() <= rows
+
+
 def join_checked(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    spread: str,
-    how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = 64,
+    big: DataFrame, small: DataFrame, on: Sequence[str], spread: str, fits: bool, how: str = "inner", salts: int = 64
 ) -> DataFrame:
-    """Join ``big`` with ``small``; broadcast only when a count proves ``small`` is small.
+    """Join ``big`` with ``small``; broadcast only when ``fits`` says a check proved it small.
 
     Beyond that the join key gets a salt: rows of ``big`` spread by the hash of
     their ``spread`` column, ``small`` is repeated once per salt. A hot key is then
@@ -28,7 +27,7 @@ def join_checked(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     on = list(on)
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits:
         return big.join(F.broadcast(small), on, how)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))

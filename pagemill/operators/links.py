@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
 from ..functions.text import WS
 from ..functions.urls import (
     LINK_SKIP_PREFIXES,
@@ -63,6 +64,4 @@ def extract_links(
     root: str | None = None,
 ) -> DataFrame:
     """One row per kept link: the key columns, ``link_pos`` from 0, ``link_url``."""
-    return with_links(pages, html, base, root).select(
-        *keys, F.posexplode("links").alias("link_pos", "link_url")
-    )
+    return explode_once(with_links(pages, html, base, root), keys, "links", "link_pos", "link_url")

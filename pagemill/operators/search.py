@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import BROADCAST_ROWS, join_checked
+from ..functions.arrays import explode_once
+from .joins import BROADCAST_ROWS, fits_broadcast, join_checked
 
 # BM25 parameters and score precision.
 K1 = 1.2
@@ -15,9 +16,13 @@ SEARCH_LIMIT = 10
 SNIPPET_CHARS = 200
 
 
+# ASCII is tested first; \p classes are costly and only needed beyond it
+_NO_TOKEN = r"[^a-z0-9[\x80-\x{10ffff}&&[\p{L}\p{N}]]]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NO_TOKEN), "")
 
 
 def search_corpus(
@@ -36,29 +41,34 @@ def search_corpus(
     matched (document, term) pairs are shuffled, and text never is. Ties go to the lower id.
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct()
+    fits = fits_broadcast(asked, broadcast_rows)
     terms = asked.select("term").distinct()
-    tokenised = docs.select(doc_id, tokens(F.col(text)).alias("words")).withColumn("dl", F.size("words"))
-    corpus = docs.select(tokens(F.col(text)).alias("words")).agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl")).alias("s")
+    words = tokens(F.col(text))
+    corpus = docs.select(F.size(words).alias("dl")).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")
     )
+    stats = corpus.scalar()
     # document frequency: whole counts per task, a row per term across the shuffle
-    occurs = docs.select(doc_id, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    df = join_checked(occurs, terms, ["term"], doc_id, "left_semi", broadcast_rows).groupBy("term").agg(
+    occurs = explode_once(docs, [doc_id], F.array_distinct(words), "at", "term")
+    df = join_checked(occurs, terms, ["term"], doc_id, fits, "left_semi").groupBy("term").agg(
         F.count(F.lit(1)).alias("df")
     )
-    stats = corpus.scalar()
-    weights = asked.join(df, "term").withColumn(
-        "idf", F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "term").select(
+        query_id, "term", F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    )
+    listed = docs.select(doc_id, words.alias("words"))
+    tokenised = explode_once(listed, [doc_id, F.size("words").alias("dl")], "words", "at", "term")
+    # one shuffle, on the document: it serves the counts and the scores alike
+    tf = (
+        join_checked(tokenised, terms, ["term"], doc_id, fits, "left_semi")
+        .repartition(doc_id)
+        .groupBy(doc_id, "term")
+        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     )
-    matched = join_checked(
-        tokenised.select(doc_id, "dl", F.explode("words").alias("term")), terms, ["term"], doc_id, "left_semi",
-        broadcast_rows,
-    )
-    tf = matched.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     norm = K1 * (1 - B + B * F.col("dl") / stats["avgdl"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     scored = (
-        join_checked(tf, weights.select(query_id, "term", "idf"), ["term"], doc_id, "inner", broadcast_rows)
+        join_checked(tf, weights, ["term"], doc_id, fits)
         .groupBy(query_id, doc_id)
         .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     )

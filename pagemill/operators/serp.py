@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
 from ..functions.text import strip_tags
 from ..functions.urls import starts_with_any, unwrap_redirect
 
@@ -55,7 +56,7 @@ def parse_serp(df: DataFrame, layout: str, html: str = "html", limit: int = 10)
     """Rows of hits with ``rank`` from 1, beside the other columns of the result page."""
     hits = {"html": html_hits, "lite": lite_hits}[layout](F.col(html), limit)
     others = [c for c in df.columns if c != html]
-    return df.select(*others, F.posexplode(hits).alias("rank", "hit")).select(
+    return explode_once(df, others, hits, "rank", "hit").select(
         *others, (F.col("rank") + 1).alias("rank"), "hit.url", "hit.title", "hit.snippet"
     )
 
@@ -65,6 +66,6 @@ def parse_serp_first(df: DataFrame, html: str = "html", lite: str = "lite", limi
     answers = [html_hits(F.col(html), limit), lite_hits(F.col(lite), limit), html_hits(F.col(lite), limit)]
     best = F.coalesce(*(F.when(F.size(a) > 0, a) for a in answers))
     others = [c for c in df.columns if c not in (html, lite)]
-    return df.select(*others, F.posexplode(best).alias("rank", "hit")).select(
+    return explode_once(df, others, best, "rank", "hit").select(
         *others, (F.col("rank") + 1).alias("rank"), "hit.url", "hit.title", "hit.snippet"
     )

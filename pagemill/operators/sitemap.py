@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
 from ..functions.urls import path_filter, validate_regex
 from .links import with_links
 
@@ -30,6 +31,4 @@ def with_site_map(pages: DataFrame, include: str | None = None, limit: int = DEF
 
 def map_site(pages: DataFrame, include: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Rows (root, pos, url): the sorted site map of every page taken as a root."""
-    return with_site_map(pages, include, limit).select(
-        F.col("url").alias("root"), F.posexplode("urls").alias("pos", "url")
-    )
+    return explode_once(with_site_map(pages, include, limit), [F.col("url").alias("root")], "urls", "pos", "url")

@@ -60,6 +60,10 @@ def _linked(spark, sf):
     return as_pages(view(spark, sf, "linked_pages"))
 
 
+def _graph(spark, sf):
+    return view(spark, sf, "linked_pages").select("url", "html")
+
+
 def _snapshots(spark, sf):
     return _timed(view(spark, sf, "snapshots")).withColumnRenamed("event_id", "snapshot_id")
 
@@ -327,7 +331,7 @@ def site_overview(spark, sf):
 
 @query
 def crawl_flat(spark, sf):
-    out = crawl.crawl_flat(_linked(spark, sf), max_pages=2, exclude=r"up=1|p0$")
+    out = crawl.crawl_flat(_graph(spark, sf), max_pages=2, exclude=r"up=1|p0$")
     return out.select("root", F.col("rank").cast("bigint").alias("rank"), "url", "title", "markdown", "error")
 
 
@@ -338,7 +342,7 @@ def _roots(spark, sf):
 @query
 def crawl_bfs(spark, sf):
     out = crawl.crawl_bfs(
-        _linked(spark, sf), _roots(spark, sf), max_pages=20, max_depth=4, exclude="p5$", css_selector="article"
+        _graph(spark, sf), _roots(spark, sf), max_pages=20, max_depth=4, exclude="p5$", css_selector="article"
     )
     return out.select(
         "root", F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"), "url", "title",
@@ -349,14 +353,14 @@ def crawl_bfs(spark, sf):
 @query
 def crawl_bfs_every_page(spark, sf):
     """Each page of the link graph as a root."""
-    pages = _linked(spark, sf)
+    pages = _graph(spark, sf)
     out = crawl.crawl_levels(pages, pages.select(F.col("url").alias("root")), max_pages=12, max_depth=3)
     return out.select("root", F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"), "url")
 
 
 @query
 def crawl_errors(spark, sf):
-    pages = _linked(spark, sf)
+    pages = _graph(spark, sf)
     return crawl.crawl_errors(crawl.crawl_bfs(pages, _roots(spark, sf), max_pages=1000, max_depth=3))
 
 

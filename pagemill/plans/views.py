@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.pages import spread
+
 TABLES = ("pages", "documents", "events", "benchmark")
 
 VIEWS = {
@@ -119,8 +121,13 @@ SELECT doc_id, concat('https://f.test/', source, CASE WHEN doc_id % 5 = 0 THEN '
 _READS = re.compile(r"\b(FROM|JOIN) (" + "|".join((*TABLES, *VIEWS)) + r")\b")
 
 
+# tables whose rows are heavy to work on
+_HEAVY = ("pages", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in _HEAVY else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,16 @@ from ..functions.text import html_to_text, page_title
 from ..schemas import FETCH_LOG
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a scan has fewer splits than the cluster has cores.
+
+    Text work is heavy per row, and a small table or a few files that cannot be split
+    leave cores idle. A large scan has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def as_pages(raw: DataFrame, status: int = 200, method: str = "corpus") -> DataFrame:
     """Raw (url, html) rows in page shape; columns nobody selects are never computed."""
     return raw.select(
@@ -26,7 +36,7 @@ def as_pages(raw: DataFrame, status: int = 200, method: str = "corpus") -> DataF
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return as_pages(spark.read.parquet(path))
+    return as_pages(spread(spark.read.parquet(path)))
 
 
 def read_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
