@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import trim_page
 from ..functions.urls import strip_space, url_host
 from ..schemas import NOT_ATTEMPTED
-from .ladder import choose_attempt, ladder_decisions
+from .joins import pick_rows
+from .ladder import attach_content, ladder_decisions
 
 TOTAL = "(all)"
 
@@ -32,19 +33,23 @@ def batch_scrape(
 ) -> DataFrame:
     """One page row per distinct URL (``pos`` keeps the input order); failures carry ``error``.
 
-    Both sides are unique per URL, so the join cannot be skewed; Spark broadcasts the
-    URL list by its own size check. Only listed URLs get their text built.
+    A URL list that a check proves small is broadcast, so that other attempts are dropped
+    where the log is read. Both sides of the narrow join are unique per URL: no skew. The
+    html moves once, by attempt.
     """
     wanted = dedup_urls(urls)
-    # narrow the log before any html moves
-    listed = fetch_log.join(wanted.select("url"), "url", "left_semi")
-    out = (
-        wanted.join(choose_attempt(listed, prefer), "url", "left")
-        .withColumn("error", F.when(F.col("method").isNull(), NOT_ATTEMPTED).otherwise(F.col("error")))
-        .withColumn("method", F.coalesce("method", F.lit("error")))
+    log = pick_rows(fetch_log, wanted, "url")
+    decided = (
+        wanted.join(ladder_decisions(log, prefer), "url", "left")
+        .withColumn("_missing", F.col("tier").isNull())
+        .withColumn("error", F.when(F.col("_missing"), NOT_ATTEMPTED).otherwise(F.col("error")))
     )
+    pages = attach_content(decided, log)
+    # a URL nobody tried has no page at all
+    blank = ("final_url", "status", "html", "markdown", "title")
+    pages = pages.withColumns({c: F.when(~F.col("_missing"), F.col(c)) for c in blank}).drop("_missing")
     sizes = {} if max_markdown is None else {"max_markdown": max_markdown}
-    return trim_page(out, include_html=include_html, **sizes)
+    return trim_page(pages, include_html=include_html, **sizes)
 
 
 def batch_report(urls: DataFrame, fetch_log: DataFrame, prefer: str = "auto") -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.text import html_to_text, page_title
 from ..functions.urls import path_filter, url_host, validate_regex
 from ..schemas import NOT_ATTEMPTED
 from ..session import cut_lineage
+from .joins import BROADCAST_ROWS, fits_broadcast, pick_rows
 from .links import with_links
 from .selectors import scope_to_selector
 from .sitemap import with_site_map
@@ -19,7 +20,9 @@ MAX_PAGES = 5
 FILTER_OVERFETCH = 4
 
 
-def _attach_pages(visits: DataFrame, pages: DataFrame, css_selector: str | None) -> DataFrame:
+def _attach_pages(
+    visits: DataFrame, pages: DataFrame, css_selector: str | None, fits: bool | None = None
+) -> DataFrame:
     """Join visited URLs to their pages; a URL without a page is an error row.
 
     ``pages`` may be raw (url, html): title and text are then built after the join, for
@@ -27,7 +30,8 @@ def _attach_pages(visits: DataFrame, pages: DataFrame, css_selector: str | None)
     """
     have = set(pages.columns)
     missing = F.col("_found").isNull()
-    joined = visits.join(pages.withColumn("_found", F.lit(True)), "url", "left")
+    near = pick_rows(pages, visits, "url", fits)
+    joined = visits.join(near.withColumn("_found", F.lit(True)), "url", "left")
     no_meta, reason = F.create_map().cast("map<string,string>"), F.create_map(F.lit("error"), F.lit(NOT_ATTEMPTED))
 
     def old(name: str, default):
@@ -74,7 +78,9 @@ def crawl_flat(
     mapped = with_site_map(starts, limit=max_pages * FILTER_OVERFETCH if filtered else max_pages)
     kept = F.slice(F.filter("urls", lambda u: path_filter(u, include, exclude)), 1, max(max_pages, 0))
     visits = explode_once(mapped, [F.col("url").alias("root")], kept, "rank", "url")
-    return _attach_pages(visits.withColumn("rank", F.col("rank") + 1), pages, css_selector)
+    # a crawl of the whole corpus visits most pages: no use in looking for the few
+    fits = False if roots is None else None
+    return _attach_pages(visits.withColumn("rank", F.col("rank") + 1), pages, css_selector, fits)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -98,7 +104,8 @@ def crawl_levels(
     Order: depth, then the parent's rank, then the link's position. A URL is taken once
     per root, at its discovery. One round per level; each round joins the frontier with
     the link table and drops known URLs. Frontiers hold at most ``max_pages`` rows per
-    root and are cut back to a reliable checkpoint, so the plan stays small.
+    root and are cut back to a reliable checkpoint, so the plan stays small. A frontier that
+    a count proves small is broadcast, and the link table is not shuffled at all.
     """
     for pattern in (include, exclude):
         validate_regex(pages, pattern)
@@ -116,6 +123,7 @@ def crawl_levels(
         .withColumn("dst_host", url_host(F.col("dst")))
     )
     frontier = cut_lineage(frontier)
+    fits = fits_broadcast(frontier)
     levels = [frontier]
     per_root = Window.partitionBy("root")
     for depth in range(1, max_depth + 1):
@@ -129,8 +137,9 @@ def crawl_levels(
             url_host(F.col("root")).alias("_host"),
             (F.col("done") + F.count(F.lit(1)).over(per_root)).cast("int").alias("done"),
         ).filter(F.col("done") < max_pages)
+        met = edges.join(F.broadcast(parents), "src") if fits else parents.join(edges, "src")
         found = (
-            parents.join(edges, "src")
+            met
             .filter((F.col("_host") == "") | (F.col("dst_host") == F.col("_host")))
             .groupBy("root", F.col("dst").alias("url"))
             .agg(F.min(F.struct("parent", "pos")).alias("at"), F.first("done").alias("done"))
@@ -142,8 +151,10 @@ def crawl_levels(
             .filter(F.col("rank") + F.col("done") <= max_pages)
             .select("root", "url", F.lit(depth).alias("depth"), "rank", "done")
         )
-        if frontier.isEmpty():
+        size = frontier.limit(BROADCAST_ROWS + 1).count()
+        if size == 0:
             break
+        fits = size <= BROADCAST_ROWS
         levels.append(frontier)
     out = levels[0]
     for level in levels[1:]:

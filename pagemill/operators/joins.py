@@ -32,3 +32,15 @@ def join_checked(
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
+
+
+def pick_rows(big: DataFrame, wanted: DataFrame, on: str, fits: bool | None = None) -> DataFrame:
+    """Rows of ``big`` that a following join on ``on`` can meet, found before anything wide is shuffled.
+
+    ``wanted`` should be cheap to read twice (a checkpoint or a small table). When its keys
+    do not fit a broadcast, ``big`` comes back as it is and the join itself does the work.
+    """
+    keys = wanted.select(on)
+    if fits_broadcast(keys) if fits is None else fits:
+        return big.join(F.broadcast(keys), on, "left_semi")
+    return big

@@ -58,31 +58,35 @@ def ladder_decisions(fetch_log: DataFrame, prefer: str = "auto") -> DataFrame:
     )
 
 
-def choose_attempt(fetch_log: DataFrame, prefer: str = "auto", text: bool = True) -> DataFrame:
-    """Chosen attempts in page shape, one row per URL; failures are rows with ``error``.
+def attach_content(decisions: DataFrame, fetch_log: DataFrame, text: bool = True) -> DataFrame:
+    """Page columns for decided attempts; failures are rows with ``error``. Other columns stay.
 
-    The html joins back by the full attempt key, so a URL with very many attempts
-    does not load one task.
+    The html joins by the full attempt key, so a URL with very many attempts does not
+    load one task, and text is built for chosen attempts only.
     """
     log = fetch_log if "final_url" in fetch_log.columns else fetch_log.withColumn("final_url", F.col("url"))
     body = log.select("url", "tier", "attempt", "final_url", "html")
-    chosen = ladder_decisions(fetch_log, prefer).join(body, ["url", "tier", "attempt"], "left")
+    used = ("tier", "attempt", "blocked", "notes_fast_error", "fast_error", "status", "elapsed_ms", "error", "url")
+    extra = [c for c in decisions.columns if c not in used]
     failed = F.col("error").isNotNull()
-    html = F.when(failed, "").otherwise(F.coalesce("html", F.lit("")))
-    meta = F.when(
-        F.col("notes_fast_error"), F.create_map(F.lit("fast_error"), F.col("fast_error"))
-    ).otherwise(F.create_map().cast("map<string,string>"))
-    columns = {
-        "final_url": F.coalesce("final_url", "url"),
-        "status": F.when(failed, 0).otherwise(F.col("status")),
-        "method": F.when(failed, "error").when(F.col("tier") == FAST, METHODS[FAST]).otherwise(METHODS[STEALTH]),
-        "elapsed_ms": F.coalesce("elapsed_ms", F.lit(0)),
-        "meta": F.when(failed, F.create_map(F.lit("error"), F.col("error"))).otherwise(meta),
-        "html": html,
-    }
-    out = chosen.withColumns(columns)
+    no_meta = F.create_map().cast("map<string,string>")
+    meta = F.when(F.col("notes_fast_error"), F.create_map(F.lit("fast_error"), F.col("fast_error"))).otherwise(no_meta)
+    out = decisions.join(body, ["url", "tier", "attempt"], "left").withColumns(
+        {
+            "final_url": F.coalesce("final_url", "url"),
+            "status": F.when(failed, 0).otherwise(F.col("status")),
+            "method": F.when(failed, "error").when(F.col("tier") == FAST, METHODS[FAST]).otherwise(METHODS[STEALTH]),
+            "elapsed_ms": F.coalesce("elapsed_ms", F.lit(0)),
+            "meta": F.when(failed, F.create_map(F.lit("error"), F.col("error"))).otherwise(meta),
+            "html": F.when(failed, "").otherwise(F.coalesce("html", F.lit(""))),
+        }
+    )
     if text:
         out = out.withColumns({"markdown": html_to_text(F.col("html")), "title": page_title(F.col("html"))})
-    names = ["url", "final_url", "status", "html", *(["markdown", "title"] if text else []),
-             "method", "elapsed_ms", "meta", "error"]
-    return out.select(*names)
+    texts = ["markdown", "title"] if text else []
+    return out.select(*extra, "url", "final_url", "status", "html", *texts, "method", "elapsed_ms", "meta", "error")
+
+
+def choose_attempt(fetch_log: DataFrame, prefer: str = "auto", text: bool = True) -> DataFrame:
+    """Chosen attempts in page shape, one row per URL; failures are rows with ``error``."""
+    return attach_content(ladder_decisions(fetch_log, prefer), fetch_log, text)

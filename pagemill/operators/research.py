@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import NOT_ATTEMPTED
+from ..session import cut_lineage
+from .joins import pick_rows
 
 # Query variants after the plain query. Passes are clamped to 1..3,
 # so only the first two are ever used.
@@ -86,9 +88,10 @@ def evidence_pack(
     body = pages if "error" in pages.columns else pages.withColumn("error", F.lit(None).cast("string"))
     body = body.select("url", "title", "status", "markdown", "method", "elapsed_ms", "error")
     missing = F.col("method").isNull()
+    # few narrow rows, kept once: they first pick the pages, so that other page text stays put
+    sources = cut_lineage(choose_sources(hits, scrape_top, query_id))
     return (
-        choose_sources(hits, scrape_top, query_id)
-        .join(body, "url", "left")
+        sources.join(pick_rows(body, sources, "url"), "url", "left")
         .withColumn("error", F.when(missing, NOT_ATTEMPTED).otherwise(F.col("error")))
         .withColumn("method", F.when(missing, "error").otherwise(F.col("method")))
     )

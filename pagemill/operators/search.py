@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_once
-from .joins import BROADCAST_ROWS, fits_broadcast, join_checked
+from ..session import cut_lineage
+from .joins import BROADCAST_ROWS, fits_broadcast, join_checked, pick_rows
 
 # BM25 parameters and score precision.
 K1 = 1.2
@@ -83,4 +84,5 @@ def search_corpus(
 def with_hit_text(hits: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Add a snippet to ranked hits; only the hits' documents are read beyond their id."""
     body = docs.select(doc_id, F.left(text, F.lit(SNIPPET_CHARS)).alias("snippet"))
-    return hits.join(body, doc_id)
+    kept = cut_lineage(hits)
+    return kept.join(pick_rows(body, kept, doc_id), doc_id)

@@ -614,13 +614,23 @@ def _run(spark, stream, label):
     return jobs.run_available(stream, scratch_path(spark, label))
 
 
-@query
-def stream_page_changes(spark, sf):
-    events = _event_stream(spark, sf).select(
+def _snapshot_stream(spark, sf):
+    return _event_stream(spark, sf).select(
         F.concat(F.lit("https://watch.test/"), F.col("user_id").cast("string")).alias("url"), "ts",
         F.col("event_id").alias("snapshot_id"), F.concat("event_type", F.lit("\nstatic line")).alias("text"),
     )
-    return _run(spark, jobs.page_changes(events), "page-changes").select("url", "snapshot_id", "hash", "check_status")
+
+
+@query
+def stream_page_changes(spark, sf):
+    out = _run(spark, jobs.page_changes(_snapshot_stream(spark, sf)), "page-changes")
+    return out.select("url", "snapshot_id", "hash", "check_status")
+
+
+@query
+def stream_page_changes_by_batch(spark, sf):
+    out = jobs.run_page_changes(_snapshot_stream(spark, sf), scratch_path(spark, "page-changes-by-batch"))
+    return out.select("url", "snapshot_id", "hash", "check_status")
 
 
 def _ping_stream(spark, sf):

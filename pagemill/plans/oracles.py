@@ -441,6 +441,7 @@ lagged AS (SELECT *, lag(hash) OVER w AS ph, lag(snapshot_id) OVER w AS prev_id,
 checked AS (SELECT *, CASE WHEN ph IS NULL THEN 'new' WHEN ph = hash THEN 'unchanged' ELSE 'changed' END AS check_status FROM lagged)"""
 ORACLES["monitor_status"] = with_views(f"WITH {_CHECKED} SELECT url, snapshot_id, hash, check_status, prev_id FROM checked", "snapshots")
 ORACLES["stream_page_changes"] = with_views(f"WITH {_CHECKED} SELECT url, snapshot_id, hash, check_status FROM checked", "snapshots")
+ORACLES["stream_page_changes_by_batch"] = ORACLES["stream_page_changes"]
 ORACLES["monitor_line_delta"] = with_views(
     f"""
 WITH {_CHECKED}, lines AS (SELECT *, list_distinct(string_split(text, chr(10))) AS n, list_distinct(string_split(ptext, chr(10))) AS o

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import content_hash, html_to_text, is_block, is_challenge, is_js_skeleton, page_title
 from ..functions.urls import clean_url
 from ..operators.links import with_links
+from ..operators.monitor import monitor_check
 from ..operators.usage import COOLDOWN_SECONDS, SESSION_GAP_SECONDS
 
 
@@ -56,6 +57,39 @@ def page_changes(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def run_page_changes(snapshots: DataFrame, path: str) -> DataFrame:
+    """``page_changes`` for streams with very hot URLs; runs what is there and returns the statuses.
+
+    Each micro-batch is checked by the batch operator, which splits a hot URL over tasks;
+    the latest hash per URL is a table per batch. Batches are written under their own id,
+    so a repeated batch replaces itself.
+    """
+    spark = snapshots.sparkSession
+    narrow = snapshots.select("url", "ts", "snapshot_id", "text")
+    state_schema = "url string, ts timestamp, snapshot_id bigint, text string"
+
+    def check(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("fresh", F.lit(True))
+        if batch_id > 0:
+            before = spark.read.schema(state_schema).parquet(f"{path}/latest/batch={batch_id - 1}")
+            rows = rows.unionByName(before.withColumn("fresh", F.lit(False)))
+        fresh = rows.filter("fresh").select("snapshot_id")
+        checked = monitor_check(rows.drop("fresh")).join(fresh, "snapshot_id", "left_semi")
+        checked.write.mode("overwrite").parquet(f"{path}/checks/batch={batch_id}")
+        latest = rows.groupBy("url").agg(F.max(F.struct("ts", "snapshot_id", "text")).alias("l")).select("url", "l.*")
+        latest.write.mode("overwrite").parquet(f"{path}/latest/batch={batch_id}")
+
+    query = (
+        narrow.writeStream.foreachBatch(check)
+        .option("checkpointLocation", f"{path}/_state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = "url string, ts timestamp, snapshot_id bigint, hash string, check_status string, prev_id bigint"
+    return spark.read.schema(schema).parquet(f"{path}/checks/*")
+
+
 def daily_actives(pings: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Approximate distinct ids per UTC day, emitted when the day is complete."""
     return (

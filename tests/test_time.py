@@ -134,6 +134,8 @@ def test_streams_match_batch(spark, small, tmp_path, files):
 
     out = jobs.run_available(jobs.page_changes(snaps(stream())), str(tmp_path / "changes"))
     assert rows(out, "snapshot_id", "check_status") == rows(monitor.monitor_check(snaps(events)), "snapshot_id", "check_status")
+    out = jobs.run_page_changes(snaps(stream()), str(tmp_path / "by_batch"))
+    assert rows(out, "snapshot_id", "check_status") == rows(monitor.monitor_check(snaps(events)), "snapshot_id", "check_status")
     out = jobs.run_available(jobs.ping_cooldown(pings(stream())), str(tmp_path / "cooldown"))
     assert rows(out, "id", "accepted_at") == rows(usage.cooldown(pings(events)), "id", "accepted_at")
     out = jobs.run_available(jobs.session_stream(stream()), str(tmp_path / "sessions"))
