@@ -15,6 +15,7 @@ from ..sources import papers as papers_source
 from ..sources.pages import as_pages
 from ..sources.pings import check_pings
 from ..streaming import jobs
+from . import playbooks
 from .views import table, view
 
 QUERIES = {}
@@ -418,6 +419,12 @@ def citations(spark, sf):
     return out.withColumn("n", F.col("n").cast("bigint"))
 
 
+@query
+def deep_research(spark, sf):
+    out = playbooks.deep_research(_asked(spark, sf), view(spark, sf, "doc_pages"), limit=5, scrape_top=2, iterations=3)
+    return out.citations.withColumn("n", F.col("n").cast("bigint"))
+
+
 def _papers(spark, sf):
     return view(spark, sf, "papers").withColumn("categories", F.array("category"))
 

@@ -367,21 +367,25 @@ WHERE v.url NOT IN (SELECT url FROM linked_pages) GROUP BY 1""",
 _TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-def bm25(limit):
+_PLAIN = "SELECT item_id AS query_id, 0 AS pass, text AS q FROM benchmark"
+
+
+def bm25(limit, queries=_PLAIN, docs="documents", doc_id="doc_id", text="text"):
     return f"""
-WITH docs AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents),
+WITH docs AS (SELECT {doc_id}, {_TOKENS.format(text)} AS w FROM {docs}),
 stat AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
-asked AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) a),
-occ AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM docs),
-tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM occ WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
+asked AS (SELECT DISTINCT query_id, pass, term FROM (SELECT query_id, pass, unnest({_TOKENS.format('q')}) AS term FROM ({queries}) b) a),
+occ AS (SELECT {doc_id}, len(w) AS dl, unnest(w) AS term FROM docs),
+tf AS (SELECT {doc_id}, dl, term, count(*) AS tf FROM occ WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-  FROM tf JOIN df USING (term) JOIN asked USING (term), stat GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored),
-top AS (SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= {limit})"""
+scored AS (SELECT query_id, pass, {doc_id},
+  round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM tf JOIN df USING (term) JOIN asked USING (term), stat GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, pass ORDER BY score DESC, {doc_id}) AS rank FROM scored),
+top AS (SELECT query_id, pass, rank, {doc_id}, score FROM ranked WHERE rank <= {limit})"""
 
 
-ORACLES["search_bm25"] = bm25(5) + " SELECT * FROM top"
+ORACLES["search_bm25"] = bm25(5) + " SELECT query_id, rank, doc_id, score FROM top"
 ORACLES["search_snippets"] = bm25(1) + " SELECT query_id, doc_id, left(text, 200) AS snippet FROM top JOIN documents USING (doc_id)"
 ORACLES["expand_queries"] = """
 SELECT item_id AS query_id, text AS query, CAST(0 AS BIGINT) AS pass, text AS pass_query FROM benchmark
@@ -397,10 +401,7 @@ c{n} AS (SELECT query_id, CAST({n} AS BIGINT) AS pass, url, pos_in_pass FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS pos_in_pass FROM f{n}) t WHERE pos_in_pass <= 2)"""
 
 
-_EVIDENCE = f"""
-WITH firsts AS (SELECT user_id AS query_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2),
-hits AS (SELECT query_id, pass, first * (pass * 2 + 1) % 101 AS rank, 'https://s.test/d' || (first % 50) AS url
-  FROM firsts, (SELECT unnest([0, 1, 2]) AS pass) p),
+_PACK = f"""
 {chosen(0, "SELECT CAST(NULL AS BIGINT) AS query_id, '' AS url")},
 {chosen(1, "SELECT query_id, url FROM c0")},
 {chosen(2, "SELECT query_id, url FROM c0 UNION ALL SELECT query_id, url FROM c1")},
@@ -409,6 +410,20 @@ numbered AS (SELECT query_id, pass, url, row_number() OVER (PARTITION BY query_i
 evidence AS (SELECT e.query_id, e.n, e.pass, e.url, d.title, CAST(d.status AS BIGINT) AS status, sha256(coalesce(d.markdown, '')) AS markdown_hash,
   coalesce(d.method, 'error') AS method, CASE WHEN d.url IS NULL THEN 'not attempted' ELSE d.error END AS error
   FROM numbered e LEFT JOIN doc_pages d ON d.url = e.url)"""
+_EVIDENCE = f"""
+WITH firsts AS (SELECT user_id AS query_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2),
+hits AS (SELECT query_id, pass, first * (pass * 2 + 1) % 101 AS rank, 'https://s.test/d' || (first % 50) AS url
+  FROM firsts, (SELECT unnest([0, 1, 2]) AS pass) p),
+{_PACK}"""
+_PASSES = """
+SELECT item_id AS query_id, 0 AS pass, text AS q FROM benchmark
+UNION ALL SELECT item_id, 1, text || ' comparison alternatives' FROM benchmark
+UNION ALL SELECT item_id, 2, text || ' problems issues criticism' FROM benchmark"""
+ORACLES["deep_research"] = with_views(
+    f"""{bm25(5, _PASSES, 'doc_pages', 'url', 'markdown')}, hits AS (SELECT query_id, pass, rank, url FROM top), {_PACK}
+SELECT query_id, n, url, title FROM evidence WHERE error IS NULL""",
+    "doc_pages",
+)
 ORACLES["evidence_pack"] = with_views(f"{_EVIDENCE} SELECT * FROM evidence", "doc_pages")
 ORACLES["citations"] = with_views(f"{_EVIDENCE} SELECT query_id, n, url, title FROM evidence WHERE error IS NULL", "doc_pages")
 ORACLES["search_papers"] = with_views(

@@ -35,6 +35,11 @@ def as_pages(raw: DataFrame, status: int = 200, method: str = "corpus") -> DataF
     )
 
 
+def with_expression(pages: DataFrame, expression: str, name: str = "result") -> DataFrame:
+    """A user's SQL expression per page; a bad expression fails when the plan is built."""
+    return pages.withColumn(name, F.expr(expression))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return as_pages(spread(spark.read.parquet(path)))
 
