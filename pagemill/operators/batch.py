@@ -63,7 +63,7 @@ def batch_report(urls: DataFrame, fetch_log: DataFrame, prefer: str = "auto") ->
         .groupBy("url")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    answered = ladder_decisions(fetch_log, prefer).select("url", F.col("error").isNull().alias("ok"))
+    answered = ladder_decisions(pick_rows(fetch_log, asked, "url"), prefer).select("url", F.col("error").isNull().alias("ok"))
     real = F.col("url") != ""
     ok = F.coalesce("ok", F.lit(False))
     return (

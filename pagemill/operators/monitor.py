@@ -25,13 +25,13 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 def monitor_check(snapshots: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Status of every check: new, unchanged, changed (by content hash) or error.
 
-    Only hashes travel. A failed check (``error`` set) is reported and never becomes the
+    Only hashes travel; a stored ``hash`` column is used as it is. A failed check (``error`` set) is reported and never becomes the
     state to compare with. Output: url, ts, snapshot_id, hash, status, prev_id, prev_ts.
     """
     error = F.col("error") if "error" in snapshots.columns else F.lit(None).cast("string")
+    digest = F.col("hash") if "hash" in snapshots.columns else content_hash(F.col("text"))
     checks = snapshots.select(
-        "url", "ts", "snapshot_id", error.alias("error"),
-        F.when(error.isNull(), content_hash(F.col("text"))).alias("hash"),
+        "url", "ts", "snapshot_id", error.alias("error"), F.when(error.isNull(), digest).alias("hash"),
     )
     state = F.when(F.col("error").isNull(), F.struct("hash", "snapshot_id", "ts"))
     prev = with_last(checks, ["url"], ["ts", "snapshot_id"], state, "_prev", group_rows=group_rows)

@@ -18,6 +18,8 @@ def local_session(cores: str | int = "*", app: str = "pagemill", **conf: str) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # call sites of every column cost several JVM calls each
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.driver.memory": "8g",
         **conf,
     }

@@ -47,9 +47,9 @@ class SnapshotStore:
         return F.pmod(F.xxhash64("url"), F.lit(SnapshotStore.BUCKETS)).cast("int")
 
     def _write(self, rows: DataFrame, generation: int) -> None:
-        rows.withColumn("bucket", self._bucket()).write.mode("append").partitionBy("bucket").parquet(
-            self._dir(generation)
-        )
+        # rebalancing gives each bucket few files and splits a bucket with a hot URL
+        placed = rows.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket"))
+        placed.write.mode("append").partitionBy("bucket").parquet(self._dir(generation))
 
     def append(self, snapshots: DataFrame) -> None:
         """Store checks. Rows need url, ts, snapshot_id, status, title, method, text."""
@@ -103,4 +103,4 @@ class SnapshotStore:
         done = self._generations()
         if done:
             kept = snapshot_retention(self.read(), keep).drop("age_rank").withColumn("forgotten", F.lit(False))
-            self._write(kept.repartition("url"), done[-1] + 1)
+            self._write(kept, done[-1] + 1)

@@ -65,8 +65,8 @@ def run_page_changes(snapshots: DataFrame, path: str) -> DataFrame:
     so a repeated batch replaces itself.
     """
     spark = snapshots.sparkSession
-    narrow = snapshots.select("url", "ts", "snapshot_id", "text")
-    state_schema = "url string, ts timestamp, snapshot_id bigint, text string"
+    narrow = snapshots.select("url", "ts", "snapshot_id", content_hash(F.col("text")).alias("hash"))
+    state_schema = "url string, ts timestamp, snapshot_id bigint, hash string"
 
     def check(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("fresh", F.lit(True))
@@ -76,7 +76,7 @@ def run_page_changes(snapshots: DataFrame, path: str) -> DataFrame:
         fresh = rows.filter("fresh").select("snapshot_id")
         checked = monitor_check(rows.drop("fresh")).join(fresh, "snapshot_id", "left_semi")
         checked.write.mode("overwrite").parquet(f"{path}/checks/batch={batch_id}")
-        latest = rows.groupBy("url").agg(F.max(F.struct("ts", "snapshot_id", "text")).alias("l")).select("url", "l.*")
+        latest = rows.groupBy("url").agg(F.max(F.struct("ts", "snapshot_id", "hash")).alias("l")).select("url", "l.*")
         latest.write.mode("overwrite").parquet(f"{path}/latest/batch={batch_id}")
 
     query = (
