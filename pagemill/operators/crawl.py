@@ -111,19 +111,23 @@ def crawl_levels(
         validate_regex(pages, pattern)
     usable = pages.filter(F.col("error").isNull()) if "error" in pages.columns else pages
     frontier = (
-        roots.select(F.col("root")).distinct()
+        roots.select(F.col("root"), url_host(F.col("root")).alias("host")).distinct()
         .withColumns({"url": F.col("root"), "depth": F.lit(0), "rank": F.lit(1), "done": F.lit(0)})
         .filter(F.lit(max_pages >= 1))
     )
     if max_depth <= 0:
         return frontier.select("root", "depth", "rank", "url")
+    frontier = cut_lineage(frontier)
+    fits = fits_broadcast(frontier)
+    # a walk stays on its root's host, so pages of other hosts need not be harvested
+    if fits and frontier.filter("host = ''").isEmpty():
+        hosts = frontier.select("host").distinct()
+        usable = pick_rows(usable.withColumn("host", url_host(F.col("url"))), hosts, "host", fits).drop("host")
     edges = cut_lineage(
         page_edges(usable)
         .filter(path_filter(F.col("dst"), include, exclude))
         .withColumn("dst_host", url_host(F.col("dst")))
     )
-    frontier = cut_lineage(frontier)
-    fits = fits_broadcast(frontier)
     levels = [frontier]
     per_root = Window.partitionBy("root")
     for depth in range(1, max_depth + 1):
@@ -134,14 +138,14 @@ def crawl_levels(
             "root",
             F.col("url").alias("src"),
             F.col("rank").alias("parent"),
-            url_host(F.col("root")).alias("_host"),
+            "host",
             (F.col("done") + F.count(F.lit(1)).over(per_root)).cast("int").alias("done"),
         ).filter(F.col("done") < max_pages)
         met = edges.join(F.broadcast(parents), "src") if fits else parents.join(edges, "src")
         found = (
             met
-            .filter((F.col("_host") == "") | (F.col("dst_host") == F.col("_host")))
-            .groupBy("root", F.col("dst").alias("url"))
+            .filter((F.col("host") == "") | (F.col("dst_host") == F.col("host")))
+            .groupBy("root", "host", F.col("dst").alias("url"))
             .agg(F.min(F.struct("parent", "pos")).alias("at"), F.first("done").alias("done"))
             .join(seen, ["root", "url"], "left_anti")
         )
@@ -149,7 +153,7 @@ def crawl_levels(
             found.withColumn("rank", F.row_number().over(per_root.orderBy("at")))
             .filter(F.col("rank") <= max_pages)
             .filter(F.col("rank") + F.col("done") <= max_pages)
-            .select("root", "url", F.lit(depth).alias("depth"), "rank", "done")
+            .select("root", "host", "url", F.lit(depth).alias("depth"), "rank", "done")
         )
         size = frontier.limit(BROADCAST_ROWS + 1).count()
         if size == 0:

@@ -337,7 +337,9 @@ def crawl_flat(spark, sf):
 
 
 def _roots(spark, sf):
-    return view(spark, sf, "linked_pages").filter("r = 0").select(F.col("url").alias("root"))
+    """The first page of every host in the graph."""
+    home = F.concat(F.lit("https://"), F.col("host"), F.lit("/p0"))
+    return view(spark, sf, "linked_pages").select(home.alias("root")).distinct()
 
 
 @query

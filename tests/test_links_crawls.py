@@ -89,6 +89,22 @@ def test_walk_like_a_plain_loop(spark):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_walk_of_a_root_without_host(spark):
+    pages = pages_of(spark, [("", '<a href="http://a.t/1">1</a>'), ("http://a.t/1", '<a href="http://b.t/2">2</a>')])
+    roots = spark.createDataFrame([("",)], "root string")
+    got = crawl.crawl_levels(pages, roots, 5, 2).orderBy("rank").collect()
+    assert [r.url for r in got] == ["", "http://a.t/1", "http://b.t/2"]
+
+
+def test_walk_stays_on_the_host_of_each_root(spark):
+    pages = pages_of(spark, [("http://a.t/", '<a href="/1">1</a><a href="http://b.t/">b</a>'), ("http://b.t/", '<a href="http://a.t/">a</a>')])
+    roots = spark.createDataFrame([("http://a.t/",), ("http://a.t/1",)], "root string")
+    got = crawl.crawl_levels(pages, roots, 5, 2).collect()
+    assert sorted((r.root, r.url) for r in got) == [
+        ("http://a.t/", "http://a.t/"), ("http://a.t/", "http://a.t/1"), ("http://a.t/1", "http://a.t/1"),
+    ]
+
+
 def test_root_with_fragment_is_found_again_without_it(spark):
     pages = pages_of(spark, [("http://h/a#top", '<a href="/a">self</a>'), ("http://h/a", "x")])
     roots = spark.createDataFrame([("http://h/a#top",)], "root string")
