@@ -662,6 +662,12 @@ def stream_daily_actives(spark, sf):
     return out.withColumn("day", F.col("day").cast("string"))
 
 
+@query
+def stream_daily_actives_exact(spark, sf):
+    out = _run(spark, jobs.daily_actives_exact(_ping_stream(spark, sf)), "daily-exact")
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
 @query
 def stream_sessions(spark, sf):
     out = _run(spark, jobs.session_stream(_event_stream(spark, sf)), "sessions")

@@ -567,6 +567,13 @@ SELECT *, CAST(floor((epoch_us(TIMESTAMP '2024-01-30 00:00:00') - end_us) / 1000
 ORACLES["stream_sessions"] = f"""{_SESSIONS}
 SELECT user_id, start_us, end_us, events FROM spans
 WHERE end_us + 1800000001 <= (SELECT epoch_ms(max(ts)) * 1000 FROM events) - 3600000000"""
+# a day is out once the watermark, one day behind the latest ping, has passed its end
+ORACLES["stream_daily_actives_exact"] = with_views(
+    """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(DISTINCT id) AS users, count(*) AS pings FROM pings
+WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM pings) - INTERVAL 1 DAY GROUP BY 1""",
+    "pings",
+)
 ORACLES["stream_attempt_checks"] = f"""
 WITH {link_ctes('pages', 'page_id')}, counts AS (SELECT url, count(*) AS c FROM kept GROUP BY url)
 SELECT p.url, {title('p.html')} AS title, CAST({block('p.html', '200')} AS BIGINT) AS blocked, CAST({skeleton('p.html', '200')} AS BIGINT) AS skeleton,

@@ -100,6 +100,23 @@ def daily_actives(pings: DataFrame, lateness: str = "1 day") -> DataFrame:
     )
 
 
+def daily_actives_exact(pings: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """Exact distinct ids per UTC day: one state row per day and id, then a count per closed day.
+
+    Repeated pings of an id combine before the shuffle, so a hot id costs one row per task.
+    """
+    per_id = (
+        pings.withWatermark("ts", lateness)
+        .groupBy(F.window("ts", "1 day"), "id")
+        .agg(F.count(F.lit(1)).alias("pings"))
+    )
+    return (
+        per_id.groupBy(F.window(F.window_time("window"), "1 day").alias("d"))
+        .agg(F.count(F.lit(1)).alias("users"), F.sum("pings").alias("pings"))
+        .select(F.to_date("d.start").alias("day"), "users", "pings")
+    )
+
+
 def ping_cooldown(pings: DataFrame, gap: int = COOLDOWN_SECONDS) -> DataFrame:
     """Accepted pings per id; the state is the last accepted second.
 

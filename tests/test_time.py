@@ -146,3 +146,8 @@ def test_streams_match_batch(spark, small, tmp_path, files):
     assert jobs.run_available(jobs.first_seen(urls, within="40 days"), str(tmp_path / "seen2")).count() == 5
     days = jobs.run_available(jobs.daily_actives(pings(stream())), str(tmp_path / "days"))
     assert 27 <= days.count() <= 30
+    exact = jobs.run_available(jobs.daily_actives_exact(pings(stream())), str(tmp_path / "exact"))
+    per_day = usage.daily_users(pings(events))
+    want = {r.day: r.users for r in per_day.collect()}
+    got = {r.day: r.users for r in exact.collect()}
+    assert 27 <= len(got) <= 30 and all(want[day] == users for day, users in got.items())
