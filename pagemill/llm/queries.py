@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import extraction, mixing, quality, secrets
 from .common import table
 
 
@@ -12,15 +12,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).selectExpr(
         "doc_id", "mix_size AS size", "mix_source_size AS source_size", "mix_target AS target", "mix_taken AS taken"
     )
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op9_mix_sources": op9_mix_sources,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict[str, str] = {}
