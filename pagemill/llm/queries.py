@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import extraction, mixing, quality, secrets
+from . import decontamination, extraction, language, mixing, quality, secrets, simhash
 from .common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(language.held_out(), F.lit(False))
+    model = language.train_filter(docs.filter(~held))
+    return language.identify_language(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("row_hash")
 
@@ -16,6 +24,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated_pairs(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).selectExpr(
         "doc_id", "mix_size AS size", "mix_source_size AS source_size", "mix_target AS target", "mix_taken AS taken"
@@ -27,8 +44,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op5_simhash": op5_simhash,
+    "op8_decontamination": op8_decontamination,
     "op9_mix_sources": op9_mix_sources,
     "op10_main_text": op10_main_text,
 }
