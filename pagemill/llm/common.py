@@ -26,3 +26,11 @@ def words_of(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def whole_text_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Whole texts go to Python: hand it at most ``rows`` at a time (a lower setting of the session stays)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(key))
+    if held <= 0 or held > rows:
+        df.sparkSession.conf.set(key, str(rows))

@@ -15,8 +15,12 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-#: Lines with a cue that are at most so many lines apart belong to one block.
-MAX_GAP = 3
+from .common import whole_text_batches
+
+#: Lines with a cue that are at most so many lines apart belong to one block,
+MAX_GAP = 6
+#: as do the lines next to it, as many, that are no longer than lines of wrapped text.
+WRAPPED_WORDS = 20
 #: Bytes a template must save to be looked at.
 MIN_GAIN = 6
 #: Differing words allowed, as a share of the template's words.
@@ -81,18 +85,29 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def candidate_blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(first line, text) of the runs of lines that hold cues."""
+def candidate_blocks(text: str) -> Iterator[tuple[int, str, str]]:
+    """(first line, text, text from the first cue line to the last) of the runs of lines that hold cues."""
     if not _CUE.search(text):
         return
     lines = text.split("\n")
-    run: list[int] = []
-    for i, line in [*enumerate(lines), (len(lines) + MAX_GAP + 1, "(c)")]:
-        if _CUE.search(line):
-            if run and i - run[-1] > MAX_GAP:
-                yield run[0], "\n".join(lines[run[0] : run[-1] + 1])
-                run = []
-            run.append(i)
+    cues = [i for i, line in enumerate(lines) if _CUE.search(line)]
+    runs: list[list[int]] = []
+    for i in cues:
+        if runs and i - runs[-1][1] <= MAX_GAP:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    ended = 0
+    for k, (first, last) in enumerate(runs):
+        core = "\n".join(lines[first : last + 1])
+        before = runs[k + 1][0] if k + 1 < len(runs) else len(lines)
+        for _ in range(MAX_GAP):
+            if first > ended and len(lines[first - 1].split()) <= WRAPPED_WORDS:
+                first -= 1
+            if last + 1 < before and len(lines[last + 1].split()) <= WRAPPED_WORDS:
+                last += 1
+        ended = last + 1
+        yield first, "\n".join(lines[first:ended]), core
 
 
 class TemplateSet:
@@ -106,11 +121,18 @@ class TemplateSet:
             primer = zstandard.ZstdCompressionDict(raw.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, words_of(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=primer)))
 
-    def ranked(self, words: list[str]) -> list[tuple[int, str, list[str]]]:
-        """(bytes saved, name, words) of the templates that save enough, most first."""
-        block = " ".join(words).encode()
-        alone = len(self.plain.compress(block))
-        gains = [(alone - len(primed.compress(block)), name, said) for name, said, primed in self.templates]
+    def ranked(self, *readings: list[str]) -> list[tuple[int, str, list[str]]]:
+        """(bytes saved, name, words) of the templates that save enough, most first.
+
+        A block is read with and without the lines around its cues, the greater saving counts: what a
+        compressor saves on few words depends on the words beside them.
+        """
+        blocks = [" ".join(words).encode() for words in readings]
+        alone = [len(self.plain.compress(b)) for b in blocks]
+        gains = [
+            (max(n - len(primed.compress(b)) for b, n in zip(blocks, alone)), name, said)
+            for name, said, primed in self.templates
+        ]
         return sorted((g for g in gains if g[0] >= MIN_GAIN), key=lambda g: (-g[0], g[1]))
 
 
@@ -141,15 +163,16 @@ def differences(template: list[str], words: list[str]) -> tuple[int, int, list[s
 def licenses_of(text: str, templates: TemplateSet) -> list[tuple]:
     """(name, line of the block, word of the block, words, bytes saved, differences, changes) of each license found."""
     found = []
-    for line, block in candidate_blocks(text):
-        left, more = words_of(block), True
+    for line, block, core in candidate_blocks(text):
+        left, more, lines = words_of(block), True, words_of(core)
         while more:
             more = False
-            for gain, name, said in templates.ranked(left):
+            for gain, name, said in templates.ranked(left, lines):
                 fit = differences(said, left)
                 if fit is None or len(fit[2]) > MAX_DIFFERENCE * len(said):
                     continue
                 left[fit[0] : fit[1]] = [""] * (fit[1] - fit[0])  # taken
+                lines = left
                 found.append((name, line, fit[0], fit[1] - fit[0], gain, len(fit[2]), " ".join(fit[2])))
                 more = True
     return found
@@ -172,6 +195,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
+    whole_text_batches(docs)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInPandas(
         run, f"doc_id {kind}, license string, line long, word long, n_words long, gain long, n_changes long, changes string"

@@ -12,6 +12,7 @@ from . import (
     licenses,
     linededup,
     mixing,
+    oracles,
     quality,
     secrets,
     simhash,
@@ -80,4 +81,7 @@ QUERIES = {
     "op10_main_text": op10_main_text,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": oracles.QUALITY_RULES,
+    "op9_mix_sources": oracles.MIX_SOURCES,
+}
