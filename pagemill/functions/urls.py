@@ -198,9 +198,9 @@ def path_filter(url: Column, include: str | None = None, exclude: str | None = N
 
 
 def validate_regex(df: DataFrame, pattern: str | None) -> str | None:
-    """Fail on the driver, before any job starts, when the JVM cannot compile a pattern."""
+    """Fail before the real work when a pattern cannot be compiled: one row is matched with it."""
     if pattern:
-        df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+        df.sparkSession.range(1).select(F.lit("").rlike(pattern)).first()
     return pattern
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import trim_page
 from ..functions.urls import strip_space, url_host
 from ..schemas import NOT_ATTEMPTED
+from ..session import cut_lineage
+from .cache import TTL_SECONDS, cached_pages
 from .joins import pick_rows
 from .ladder import attach_content, ladder_decisions
 
@@ -30,14 +32,24 @@ def batch_scrape(
     prefer: str = "auto",
     include_html: bool = False,
     max_markdown: int | None = None,
+    cache: DataFrame | None = None,
+    as_of=None,
+    ttl: int = TTL_SECONDS,
 ) -> DataFrame:
     """One page row per distinct URL (``pos`` keeps the input order); failures carry ``error``.
 
     A URL list that a check proves small is broadcast, so that other attempts are dropped
     where the log is read. Both sides of the narrow join are unique per URL: no skew. The
-    html moves once, by attempt.
+    html moves once, by attempt. With ``cache`` (see ``cache.cache_entries``) URLs that have a
+    fresh entry at ``as_of`` come from there, marked ``meta.cache = hit``, and skip the ladder.
     """
-    wanted = dedup_urls(urls)
+    sizes = {} if max_markdown is None else {"max_markdown": max_markdown}
+    wanted = cut_lineage(dedup_urls(urls))
+    if cache is not None:
+        hits = cut_lineage(cached_pages(wanted, cache, as_of, prefer, ttl))
+        missed = wanted.join(hits.select("url"), "url", "left_anti")
+        fetched = batch_scrape(missed.withColumnRenamed("url", "raw_url"), fetch_log, prefer, include_html, max_markdown)
+        return fetched.unionByName(trim_page(hits, include_html=include_html, **sizes), allowMissingColumns=True)
     log = pick_rows(fetch_log, wanted, "url")
     decided = (
         wanted.join(ladder_decisions(log, prefer), "url", "left")
@@ -48,7 +60,6 @@ def batch_scrape(
     # a URL nobody tried has no page at all
     blank = ("final_url", "status", "html", "markdown", "title")
     pages = pages.withColumns({c: F.when(~F.col("_missing"), F.col(c)) for c in blank}).drop("_missing")
-    sizes = {} if max_markdown is None else {"max_markdown": max_markdown}
     return trim_page(pages, include_html=include_html, **sizes)
 
 
@@ -58,7 +69,7 @@ def batch_report(urls: DataFrame, fetch_log: DataFrame, prefer: str = "auto") ->
     An HTTP error status is still a success; only rows without an answer fail. No html is read
     beyond the checks of the ladder.
     """
-    asked = (
+    asked = cut_lineage(
         urls.select(F.coalesce(strip_space(F.col("raw_url")), F.lit("")).alias("url"))
         .groupBy("url")
         .agg(F.count(F.lit(1)).alias("n"))

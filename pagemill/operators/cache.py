@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import cache_key
 from .ordered import GROUP_ROWS, with_last
 
 # Defaults of the cache.
@@ -12,6 +13,28 @@ TTL_SECONDS = 900
 MAX_ITEMS = 128
 
 
+def cache_entries(pages: DataFrame, put_ts, prefer: str = "auto") -> DataFrame:
+    """Pages as cache rows: ``key``, ``put_ts`` and the page. Failed pages are never cached."""
+    good = pages.filter(F.col("error").isNull()) if "error" in pages.columns else pages
+    moment = F.lit(put_ts).cast("timestamp") if isinstance(put_ts, str) else put_ts
+    return good.select(cache_key(F.col("url"), F.lit(prefer)).alias("key"), moment.alias("put_ts"), *good.columns)
+
+
+def cached_pages(urls: DataFrame, cache: DataFrame, as_of, prefer: str = "auto", ttl: int = TTL_SECONDS) -> DataFrame:
+    """The rows of ``urls`` (url, ...) with a fresh entry: the newest put not after ``as_of`` and at most ``ttl`` seconds old.
+
+    The page comes with ``meta.cache = hit``. One entry per key is picked before pages are joined.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    age = F.unix_micros(now) - F.unix_micros("put_ts")
+    newest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("put_ts"), "url"))
+    fresh = cache.filter((age >= 0) & (age <= ttl * 1_000_000)).withColumn("_n", newest).filter("_n = 1")
+    hit = F.create_map(F.lit("cache"), F.lit("hit"))
+    meta = F.map_concat(F.coalesce("meta", F.create_map().cast("map<string,string>")), hit) if "meta" in cache.columns else hit
+    page = fresh.withColumn("meta", meta).drop("_n", "put_ts", "url", *(c for c in urls.columns if c != "url"))
+    return urls.withColumn("key", cache_key(F.col("url"), F.lit(prefer))).join(page, "key").drop("key").withColumn("error", F.lit(None).cast("string"))
+
+
 def cache_lookup(
     requests: DataFrame,
     puts: DataFrame,

@@ -10,7 +10,7 @@ from ..functions.text import html_to_text, page_title
 from ..functions.urls import path_filter, url_host, validate_regex
 from ..schemas import NOT_ATTEMPTED
 from ..session import cut_lineage
-from .joins import BROADCAST_ROWS, fits_broadcast, pick_rows
+from .joins import BROADCAST_ROWS, fits_broadcast, one_capture, pick_rows
 from .links import with_links
 from .selectors import scope_to_selector
 from .sitemap import with_site_map
@@ -25,12 +25,16 @@ def _attach_pages(
 ) -> DataFrame:
     """Join visited URLs to their pages; a URL without a page is an error row.
 
-    ``pages`` may be raw (url, html): title and text are then built after the join, for
-    visited pages only.
+    ``pages`` may be raw (url, html): title and text are then built once per visited page,
+    before the join. Of several captures of a page the newest one counts.
     """
-    have = set(pages.columns)
     missing = F.col("_found").isNull()
-    near = pick_rows(pages, visits, "url", fits)
+    near = one_capture(pick_rows(pages, visits, "url", fits))
+    if "title" not in near.columns:
+        near = near.withColumn("title", page_title(F.coalesce("html", F.lit(""))))
+    if "markdown" not in near.columns:
+        near = near.withColumn("markdown", html_to_text(F.coalesce("html", F.lit(""))))
+    have = set(near.columns)
     joined = visits.join(near.withColumn("_found", F.lit(True)), "url", "left")
     no_meta, reason = F.create_map().cast("map<string,string>"), F.create_map(F.lit("error"), F.lit(NOT_ATTEMPTED))
 
@@ -48,12 +52,7 @@ def _attach_pages(
             "elapsed_ms": old("elapsed_ms", F.lit(0)),
             "meta": F.when(missing, reason).otherwise(old("meta", no_meta)),
         }
-    ).withColumns(
-        {
-            "title": F.col("title") if "title" in have else page_title(F.col("html")),
-            "markdown": F.coalesce("markdown", F.lit("")) if "markdown" in have else html_to_text(F.col("html")),
-        }
-    ).drop("_found")
+    ).withColumn("markdown", F.coalesce("markdown", F.lit(""))).drop("_found")
     return scope_to_selector(out, css_selector) if css_selector else out
 
 
@@ -75,6 +74,7 @@ def crawl_flat(
     starts = pages if roots is None else pages.join(roots.select(F.col("root").alias("url")).distinct(), "url", "left_semi")
     if "error" in starts.columns:
         starts = starts.filter(F.col("error").isNull())
+    starts = one_capture(starts)
     mapped = with_site_map(starts, limit=max_pages * FILTER_OVERFETCH if filtered else max_pages)
     kept = F.slice(F.filter("urls", lambda u: path_filter(u, include, exclude)), 1, max(max_pages, 0))
     visits = explode_once(mapped, [F.col("url").alias("root")], kept, "rank", "url")
@@ -84,10 +84,14 @@ def crawl_flat(
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Narrow link table (src, pos, dst) of every page; hosts are checked during the walk."""
+    """Narrow link table (src, pos, dst) of every page's newest capture; hosts are checked during the walk.
+
+    Links are harvested where the html is read; captures are told apart by narrow rows.
+    """
     landed = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
     based = pages.withColumns({"_from": landed, "_any_host": F.lit("")})
-    linked = with_links(based, base="_from", root="_any_host")
+    when = [c for c in ("fetched_at", "ts", "attempt", "page_id") if c in pages.columns]
+    linked = one_capture(with_links(based, base="_from", root="_any_host").select("url", *when, "links", F.xxhash64("html").alias("html")))
     return explode_once(linked, [F.col("url").alias("src")], "links", "pos", "dst")
 
 

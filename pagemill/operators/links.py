@@ -19,7 +19,7 @@ from ..functions.urls import (
     url_pieces,
 )
 
-# an anchor's own href; <link>, <use> and the like are no anchors
+# Fixed value: what counts as the link of an anchor (an anchor's own href; <link>, <use> and the like are no anchors)
 ANCHOR_HREF = rf"""(?i)<a(?![\p{{L}}\p{{N}}_])[^>]*?{WS}href=["']([^"']+)["']"""
 
 

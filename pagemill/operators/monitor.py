@@ -20,6 +20,7 @@ KEEP_SNAPSHOTS = 20
 MAX_DIFF_CHARS = 20_000
 DIFF_CONTEXT = 2
 OVERVIEW_ROWS = 50
+LINE_ENDS = "\r\n|\n|\r"
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 def monitor_check(snapshots: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -79,7 +80,7 @@ def changed_texts(snapshots: DataFrame, checks: DataFrame | None = None) -> Data
 def line_delta(snapshots: DataFrame) -> DataFrame:
     """Distinct lines that came and went, per changed check."""
     pairs = changed_texts(snapshots)
-    old, new = F.split("old_text", "\r\n|\n|\r"), F.split("new_text", "\r\n|\n|\r")
+    old, new = F.split("old_text", LINE_ENDS), F.split("new_text", LINE_ENDS)
     return pairs.select(
         "url", "ts", "snapshot_id",
         F.size(F.array_except(new, old)).alias("lines_added"),

@@ -31,11 +31,13 @@ def with_last(
     name: str,
     include_current: bool = False,
     group_rows: int = GROUP_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add the latest non-null ``value`` of earlier rows (or up to this row) of the same key.
 
     ``order`` must give a total order within a key. ``group_rows`` is the most rows one
-    task may sort for one key; larger keys are sliced, with the same result.
+    task may sort for one key; larger keys are cut into ``slices`` ranges (the session's shuffle
+    partitions by default), with the same result. A null key is a key like any other.
     """
     keys, order = list(keys), list(order)
     end = Window.currentRow if include_current else -1
@@ -44,9 +46,10 @@ def with_last(
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
     # checkpointed, because slice numbers must not change when a task is run again
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = cut_lineage(
         df.withColumn("_value", value)
-        .repartitionByRange(*keys, *order)
+        .repartitionByRange(n, *keys, *order)
         .withColumn("_slice", F.spark_partition_id())
     )
     w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
@@ -57,9 +60,16 @@ def with_last(
         .agg(F.max(F.when(F.col("_value").isNotNull(), F.struct(*order, F.col("_value").alias("v")))).alias("_end"))
     )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)["v"]).drop("_end")
+    carry = ends.select(
+        *(F.col(k).alias(f"_c_{k}") for k in keys),
+        F.col("_slice").alias("_c__slice"),
+        F.last("_end", ignorenulls=True).over(before)["v"].alias("_carry"),
+    )
+    same = F.lit(True)
+    for k in (*keys, "_slice"):
+        same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
     return (
-        inside.join(carry, [*keys, "_slice"], "left")
+        inside.join(carry, same, "left")
         .withColumn(name, F.coalesce("_inside", "_carry"))
-        .drop("_value", "_slice", "_inside", "_carry")
+        .drop("_value", "_slice", "_inside", *carry.columns)
     )

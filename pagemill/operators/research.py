@@ -9,16 +9,12 @@ from pyspark.sql import functions as F
 
 from ..schemas import NOT_ATTEMPTED
 from ..session import cut_lineage
-from .joins import pick_rows
+from .joins import one_capture, pick_rows
 
-# Query variants after the plain query. Passes are clamped to 1..3,
-# so only the first two are ever used.
+# Query variants of the second and third pass.
 VARIANTS = (
     "{q} comparison alternatives",
     "{q} problems issues criticism",
-    "{q} latest developments 2024 2025",
-    "{q} explained how it works",
-    "{q} vs competitors benchmarks",
 )
 MAX_PASSES = 3
 SCRAPE_TOP = 3
@@ -40,10 +36,10 @@ def expand_queries(
 def choose_sources(hits: DataFrame, scrape_top: int = SCRAPE_TOP, query_id: str = "query_id") -> DataFrame:
     """Numbered sources (query_id, n, pass, url): per pass the first ``scrape_top`` URLs not chosen before.
 
-    A pass can meet at most ``scrape_top`` known URLs per earlier pass, so the first
-    ``scrape_top * MAX_PASSES`` distinct URLs of a pass decide it; that makes the
-    per-query fold exact on a bounded list. With ``scrape_top`` below 1 only the first
-    hit of a pass is considered.
+    Pass p (from 0) can meet at most ``scrape_top`` URLs known from each of the p passes before
+    it, so its first ``scrape_top * (p + 1)`` distinct URLs decide it; that makes the per-query
+    fold exact on a bounded list, for any number of passes. With ``scrape_top`` below 1 only the
+    first hit of a pass is considered.
     """
     top = max(scrape_top, 1)
     usable = hits.filter(F.coalesce(F.col("url"), F.lit("")) != "")
@@ -53,7 +49,7 @@ def choose_sources(hits: DataFrame, scrape_top: int = SCRAPE_TOP, query_id: str
     firsts = (
         usable.groupBy(query_id, "pass", "url").agg(F.min("rank").alias("rank"))
         .withColumn("_at", F.row_number().over(by_rank))
-        .filter(F.col("_at") <= top * MAX_PASSES)
+        .filter(F.col("_at") <= top * (F.col("pass") + 1))
     )
     ordered = firsts.groupBy(query_id).agg(
         F.sort_array(F.collect_list(F.struct(F.col("pass").cast("int").alias("pass"), "_at", "url"))).alias("hits")
@@ -86,12 +82,13 @@ def evidence_pack(
 ) -> DataFrame:
     """Chosen sources with their page content; failed sources keep their number."""
     body = pages if "error" in pages.columns else pages.withColumn("error", F.lit(None).cast("string"))
-    body = body.select("url", "title", "status", "markdown", "method", "elapsed_ms", "error")
+    shown = ("url", "title", "status", "markdown", "method", "elapsed_ms", "error")
+    body = body.select(*shown, *(c for c in ("fetched_at", "ts", "attempt", "page_id") if c in body.columns))
     missing = F.col("method").isNull()
     # few narrow rows, kept once: they first pick the pages, so that other page text stays put
     sources = cut_lineage(choose_sources(hits, scrape_top, query_id))
     return (
-        sources.join(pick_rows(body, sources, "url"), "url", "left")
+        sources.join(one_capture(pick_rows(body, sources, "url")).select(*shown), "url", "left")
         .withColumn("error", F.when(missing, NOT_ATTEMPTED).otherwise(F.col("error")))
         .withColumn("method", F.when(missing, "error").otherwise(F.col("method")))
     )

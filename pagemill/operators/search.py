@@ -14,7 +14,8 @@ K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
 SEARCH_LIMIT = 10
-SNIPPET_CHARS = 200
+# sums of parts are exact in this many decimals, so ranks do not depend on the order of a sum
+PART_TYPE = "decimal(20,10)"
 
 
 # ASCII is tested first; \p classes are costly and only needed beyond it
@@ -49,29 +50,23 @@ def search_corpus(
         F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")
     )
     stats = corpus.scalar()
-    # document frequency: whole counts per task, a row per term across the shuffle
-    occurs = explode_once(docs, [doc_id], F.array_distinct(words), "at", "term")
-    df = join_checked(occurs, terms, ["term"], doc_id, fits, "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    weights = asked.join(df, "term").select(
-        query_id, "term", F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
+    # a document's tokens sit in one row: occurrences are counted where they are read, counts are shuffled
     listed = docs.select(doc_id, words.alias("words"))
     tokenised = explode_once(listed, [doc_id, F.size("words").alias("dl")], "words", "at", "term")
-    # one shuffle, on the document: it serves the counts and the scores alike
-    tf = (
+    tf = cut_lineage(
         join_checked(tokenised, terms, ["term"], doc_id, fits, "left_semi")
-        .repartition(doc_id)
         .groupBy(doc_id, "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     )
+    weights = asked.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select(
+        query_id, "term", F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    )
     norm = K1 * (1 - B + B * F.col("dl") / stats["avgdl"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     scored = (
         join_checked(tf, weights, ["term"], doc_id, fits)
         .groupBy(query_id, doc_id)
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+        .agg(F.round(F.sum(part.cast(PART_TYPE)).cast("double"), SCORE_DIGITS).alias("score"))
     )
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
     return (
@@ -81,8 +76,11 @@ def search_corpus(
     )
 
 
-def with_hit_text(hits: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add a snippet to ranked hits; only the hits' documents are read beyond their id."""
-    body = docs.select(doc_id, F.left(text, F.lit(SNIPPET_CHARS)).alias("snippet"))
+def with_hit_text(
+    hits: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_chars: int | None = None
+) -> DataFrame:
+    """Add the text of ranked hits as ``snippet``, whole unless the caller limits it; other documents stay unread."""
+    shown = F.col(text) if max_chars is None else F.left(text, F.lit(max_chars))
+    body = docs.select(doc_id, shown.alias("snippet"))
     kept = cut_lineage(hits)
     return kept.join(pick_rows(body, kept, doc_id), doc_id)

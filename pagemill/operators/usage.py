@@ -115,28 +115,30 @@ def cooldown(
 
     The choice is sequential per key. Pings have whole-second times, so equal seconds are
     merged first; a key then holds at most 86,400 values per day whatever its row count, and
-    time is walked in chunks that bound what one row can hold. The last accepted time per
-    key is carried from chunk to chunk.
+    time is walked in chunks that bound what one row can hold. Only chunks that hold pings are
+    walked, however far apart they lie. The last accepted time per key (null is a key too) is
+    carried from chunk to chunk.
     """
     width = chunk_days * DAY_SECONDS
     second = F.unix_seconds("ts")
-    first, last = pings.agg(F.min(second), F.max(second)).first()
-    if first is None:
-        return pings.select(key, second.alias("accepted_at"))
-    chunks = range(first // width, last // width + 1)
+    placed = pings.filter(F.col("ts").isNotNull()).select(F.col(key), second.alias("s"), F.floor(second / width).alias("_chunk"))
+    chunks = sorted(r[0] for r in placed.select("_chunk").distinct().collect())  # one number per month with pings
+    if not chunks:
+        return placed.select(key, F.col("s").alias("accepted_at"))
     empty = F.array().cast("array<bigint>")
     results, state = [], None
     for chunk in chunks:
-        low, high = F.timestamp_seconds(F.lit(chunk * width)), F.timestamp_seconds(F.lit((chunk + 1) * width))
         times = (
-            pings.filter((F.col("ts") >= low) & (F.col("ts") < high))
-            .select(key, second.alias("s")).distinct()
+            placed.filter((F.col("s") >= chunk * width) & (F.col("s") < (chunk + 1) * width))
+            .select(key, "s").distinct()
             .groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("times"))
         )
         if state is None:
             times = times.withColumn("last", F.lit(None).cast("bigint"))
         else:
-            times = times.join(state, key, "full")
+            # one side of a full join is always there, so an absent key and a null key need telling apart
+            met = times.withColumn("_new", F.lit(True)).join(state, F.col(key).eqNullSafe(F.col("_key")), "full")
+            times = met.select(F.when(F.col("_new"), F.col(key)).otherwise(F.col("_key")).alias(key), "times", "last")
         start = F.struct(F.col("last").alias("last"), empty.alias("taken"))
         folded = F.aggregate(
             F.coalesce("times", empty),
@@ -150,7 +152,7 @@ def cooldown(
         if len(chunks) > 1:
             done = cut_lineage(done)
         results.append(done.select(key, F.explode("taken").alias("accepted_at")))
-        state = done.select(key, "last")
+        state = done.select(F.col(key).alias("_key"), "last")
     out = results[0]
     for part in results[1:]:
         out = out.unionByName(part)

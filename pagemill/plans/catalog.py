@@ -9,11 +9,12 @@ from ..functions import text as t
 from ..functions import urls as u
 from ..operators import batch, cache, crawl, ladder, links, monitor, papers, research, search, selectors, serp, sitemap, usage
 from ..schemas import NOT_ATTEMPTED
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import documents as docs_source
 from ..sources import papers as papers_source
 from ..sources.pages import as_pages
 from ..sources.pings import check_pings
+from ..sources.sinks import SnapshotStore
 from ..streaming import jobs
 from . import playbooks
 from .views import table, view
@@ -279,6 +280,20 @@ def batch_scrape(spark, sf):
     )
 
 
+@query
+def batch_scrape_cached(spark, sf):
+    """Every fourth page was put into the cache up to 40 minutes ago."""
+    stored = table(spark, sf, "pages").filter("page_id % 4 = 0").select(
+        "page_id", "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("").alias("html"),
+        F.concat(F.lit("cached "), F.col("page_id").cast("string")).alias("markdown"), F.lit("Cached").alias("title"),
+        F.lit("fetch_fast").alias("method"), F.lit(5).alias("elapsed_ms"),
+    )
+    put = F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), (F.col("page_id") % 40).cast("int"))
+    entries = cache.cache_entries(stored.withColumn("put", put), F.col("put")).drop("put", "page_id")
+    out = batch.batch_scrape(view(spark, sf, "url_list"), view(spark, sf, "fetch_log"), max_markdown=2000, cache=entries, as_of=AS_OF)
+    return out.select("pos", "url", "title", "method", "error", F.element_at("meta", "cache").alias("cache"))
+
+
 @query
 def batch_report(spark, sf):
     return batch.batch_report(view(spark, sf, "url_list"), view(spark, sf, "fetch_log"))
@@ -295,6 +310,14 @@ def cache_asof(spark, sf):
     )
 
 
+@query
+def cache_asof_sliced(spark, sf):
+    """As ``cache_asof``, with keys cut into slices."""
+    return cache.cache_lookup(*_cache(spark, sf), group_rows=50).select(
+        "k", "event_id", _micros("ts").alias("ts_us"), _micros("put_ts").alias("put_us"), _flag(F.col("hit")).alias("hit")
+    )
+
+
 @query
 def cache_compact(spark, sf):
     """A week's ttl, so that the retention cut and not only the expiry decides."""
@@ -361,6 +384,28 @@ def crawl_bfs_every_page(spark, sf):
     return out.select("root", F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"), "url")
 
 
+def _recaptured(spark, sf):
+    return view(spark, sf, "recaptured_pages").select("page_id", "url", "html")
+
+
+@query
+def crawl_recaptured_flat(spark, sf):
+    """Every page was captured before: the newest capture counts, once."""
+    out = crawl.crawl_flat(_recaptured(spark, sf), max_pages=2, exclude=r"up=1|p0$")
+    return out.select("root", F.col("rank").cast("bigint").alias("rank"), "url", "title", "markdown", "error")
+
+
+@query
+def crawl_recaptured(spark, sf):
+    out = crawl.crawl_bfs(
+        _recaptured(spark, sf), _roots(spark, sf), max_pages=20, max_depth=4, exclude="p5$", css_selector="article"
+    )
+    return out.select(
+        "root", F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"), "url", "title",
+        "markdown", "error",
+    )
+
+
 @query
 def crawl_errors(spark, sf):
     pages = _graph(spark, sf)
@@ -421,6 +466,17 @@ def citations(spark, sf):
     return out.withColumn("n", F.col("n").cast("bigint"))
 
 
+@query
+def evidence_six_passes(spark, sf):
+    """Six passes that find the same URLs: each gives the best one that is left."""
+    seen = table(spark, sf, "events").select(
+        F.col("user_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pass"),
+        (F.col("event_id") % 101).alias("rank"), F.concat(F.lit("https://s.test/d"), (F.col("event_id") % 23).cast("string")).alias("url"),
+    )
+    out = research.choose_sources(seen, scrape_top=1)
+    return out.select("query_id", F.col("n").cast("bigint").alias("n"), F.col("pass").cast("bigint").alias("pass"), "url")
+
+
 @query
 def deep_research(spark, sf):
     out = playbooks.deep_research(_asked(spark, sf), view(spark, sf, "doc_pages"), limit=5, scrape_top=2, iterations=3)
@@ -445,7 +501,7 @@ def search_papers_words(spark, sf):
 @query
 def arxiv_entries(spark, sf):
     """Every document wrapped as an Atom feed of one entry."""
-    words = F.regexp_replace(F.substring("text", 1, 3000), "[^\\p{L}\\p{N} \\n]", "")
+    words = F.regexp_replace(F.col("text"), "[^\\p{L}\\p{N} \\n]", "")
     d, k = F.col("doc_id").cast("string"), F.lit
     xml = F.concat(
         k('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://a.test/abs/'), d, k("v1</id><title> "), F.col("source"),
@@ -464,7 +520,7 @@ def crossref_entries(spark, sf):
         F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("DOI"),
         F.array("source", "lang").alias("title"),
         F.array(F.struct(F.lit("Ann").alias("given"), F.col("lang").alias("family")), F.struct(F.lit(None).cast("string").alias("given"), F.lit("Group").alias("family"))).alias("author"),
-        F.concat(F.lit("<p>"), F.substring("text", 1, 2500), F.lit("</p>")).alias("abstract"),
+        F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")).alias("abstract"),
         F.struct(F.array(F.when(F.col("doc_id") % 4 > 0, F.array(F.lit(2024), (F.col("doc_id") % 12 + 1).cast("int"))).otherwise(F.array().cast("array<int>"))).alias("date-parts")).alias("issued"),
     )
     body = F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("message")))
@@ -488,6 +544,32 @@ def monitor_status(spark, sf):
     return out.select("url", "snapshot_id", "hash", "check_status", "prev_id")
 
 
+@query
+def monitor_status_sliced(spark, sf):
+    """As ``monitor_status``, with keys cut into slices."""
+    out = monitor.monitor_check(_snapshots(spark, sf), group_rows=50)
+    return out.select("url", "snapshot_id", "hash", "check_status", "prev_id")
+
+
+@query
+def snapshot_store_round(spark, sf):
+    """Two rounds of fetches through the store: checked, stored, forgotten for some, compacted, read."""
+    store = SnapshotStore(spark, scratch_path(spark, "snapshots"))
+    log = view(spark, sf, "fetch_log")
+    playbooks.check_round(store, log, "2024-01-01 00:00:00")
+    page = F.col("page_id")
+    later = log.filter("page_id % 9 > 0").withColumn(
+        "html", F.when(page % 4 == 0, F.concat("html", F.lit("<p>added line</p>"))).otherwise(F.col("html"))
+    )
+    checks = cut_lineage(playbooks.check_round(store, later, "2024-01-02 00:00:00"))
+    store.forget(log.filter("page_id % 7 = 0").select("url").distinct(), "2024-01-01 12:00:00")
+    store.compact(keep=1)
+    kept = store.read().select("url", F.date_format("ts", "yyyy-MM-dd").alias("kept_day"), "hash")
+    return checks.join(kept, "url", "full").select(
+        "url", "check_status", "error", F.col("lines_added").cast("bigint").alias("lines_added"), "kept_day", "hash"
+    )
+
+
 @query
 def monitor_line_delta(spark, sf):
     out = monitor.line_delta(_snapshots(spark, sf))
@@ -598,6 +680,14 @@ def ping_cooldown(spark, sf):
     return usage.cooldown(_pings(spark, sf))
 
 
+@query
+def ping_cooldown_far(spark, sf):
+    """Pings without an id, and others thousands of years apart."""
+    pings = _pings(spark, sf).select(F.when(F.col("event_id") % 89 > 0, F.col("id")).alias("id"), "ts")
+    far = pings.select("id").distinct().select("id", F.explode(F.array(F.lit(1), F.lit(250_000_000_000))).alias("s"))
+    return usage.cooldown(pings.unionByName(far.select("id", F.timestamp_seconds("s").alias("ts"))))
+
+
 @query
 def sessions(spark, sf):
     out = usage.sessions(_timed(table(spark, sf, "events")), as_of=AS_OF)
@@ -626,7 +716,9 @@ def _run(spark, stream, label):
 def _snapshot_stream(spark, sf):
     return _event_stream(spark, sf).select(
         F.concat(F.lit("https://watch.test/"), F.col("user_id").cast("string")).alias("url"), "ts",
-        F.col("event_id").alias("snapshot_id"), F.concat("event_type", F.lit("\nstatic line")).alias("text"),
+        F.col("event_id").alias("snapshot_id"),
+        F.when(F.col("event_id") % 13 != 5, F.concat("event_type", F.lit("\nstatic line"))).alias("text"),
+        F.when(F.col("event_id") % 13 == 5, "timeout").alias("error"),
     )
 
 
@@ -657,9 +749,11 @@ def stream_ping_cooldown(spark, sf):
 
 @query
 def stream_daily_actives(spark, sf):
-    """Closed days only, users estimated by a sketch."""
+    """Closed days only: does the sketch's estimate lie within three times its error of the exact count?"""
     out = _run(spark, jobs.daily_actives(_ping_stream(spark, sf)), "daily")
-    return out.withColumn("day", F.col("day").cast("string"))
+    exact = _pings(spark, sf).groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("id").alias("exact"))
+    near = F.abs(F.col("users") - F.col("exact")) <= 0.15 * F.col("exact")
+    return out.join(exact, "day").select(F.col("day").cast("string").alias("day"), _flag(near).alias("near"))
 
 
 @query
@@ -676,14 +770,15 @@ def stream_sessions(spark, sf):
 
 @query
 def stream_attempt_checks(spark, sf):
-    pages = _stream(spark, sf, "pages").withColumn("status", F.lit(200))
-    out = _run(spark, jobs.attempt_checks(pages), "checks")
+    answered = view(spark, sf, "fetch_log", _stream).filter(F.col("error").isNull())
+    out = _run(spark, jobs.attempt_checks(answered), "checks")
     return out.select(
-        "url", "title", _flag(F.col("blocked")).alias("blocked"), _flag(F.col("skeleton")).alias("skeleton"),
+        "url", "tier", "title", _flag(F.col("blocked")).alias("blocked"), _flag(F.col("skeleton")).alias("skeleton"),
         F.size("links").cast("bigint").alias("link_count"),
     )
 
 
 @query
 def stream_first_seen(spark, sf):
-    return _run(spark, jobs.first_seen(_stream(spark, sf, "pages")), "first-seen").select("clean_url")
+    listed = view(spark, sf, "url_list", _stream).select(u.strip_space(F.col("raw_url")).alias("url")).filter("url <> ''")
+    return _run(spark, jobs.first_seen(listed), "first-seen").select("clean_url")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+from ..functions.text import CHALLENGE_MARKERS as MARKERS
+from ..functions.urls import ASSET_EXTENSIONS as ASSETS
 from .views import with_views
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 URI = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-MARKERS = ("cf-mitigated", "cf-chl-bypass", "challenge-platform", "Just a moment...", "cf-challenge")
-ASSETS = (
-    "css js mjs map png jpg jpeg gif svg webp ico bmp avif tiff woff woff2 ttf otf eot "
-    "mp3 mp4 webm ogg wav avi mov zip tar gz rar 7z"
-)
 
 
 def rep(x, pattern, by):
@@ -80,7 +77,7 @@ def clean(x):
 
 
 def is_page(scheme, path):
-    names = ", ".join(f"'{a}'" for a in ASSETS.split())
+    names = ", ".join(f"'{a}'" for a in ASSETS)
     return f"({scheme} IN ('http', 'https') AND lower(regexp_extract({path}, '\\.([^./]*)$', 1)) NOT IN ({names}))"
 
 
@@ -213,18 +210,18 @@ SELECT url, 'Page ' || r AS title, '<article><h1>Page ' || r || '</h1></article>
 )
 ORACLES["scoped_texts"] = with_views("SELECT url, 'r' || chr(10) || 'Page ' || r AS text FROM linked_pages", "linked_pages")
 _D = "'https://s.test/d' || doc_id"
-_T60 = strip_tags("substr(text, 1, 60)")
+_TEXT = strip_tags("text")
 ORACLES["serp_html"] = f"""
-SELECT doc_id, CAST(1 AS BIGINT) AS rank, {_D} AS url, 'T ' || lang AS title, {_T60} AS snippet FROM documents
+SELECT doc_id, CAST(1 AS BIGINT) AS rank, {_D} AS url, 'T ' || lang AS title, {_TEXT} AS snippet FROM documents
 UNION ALL SELECT doc_id, 2, 'https://p.test/' || source, 'U', 'v' FROM documents"""
 # the lite layout counts the skipped first anchor: snippets are s0, text, none
 ORACLES["serp_lite"] = f"""
-SELECT doc_id, CAST(1 AS BIGINT) AS rank, {_D} AS url, 'T ' || lang AS title, {_T60} AS snippet FROM documents
+SELECT doc_id, CAST(1 AS BIGINT) AS rank, {_D} AS url, 'T ' || lang AS title, {_TEXT} AS snippet FROM documents
 UNION ALL SELECT doc_id, 2, 'https://p.test/' || source, 'U', '' FROM documents"""
 # both walled: the lite answer holds the html layout; its only nofollow anchor has no lite snippet
 ORACLES["serp_first_answer"] = f"""
 SELECT doc_id, CAST(1 AS BIGINT) AS rank, {_D} AS url, 'T ' || lang AS title,
-  CASE WHEN doc_id % 9 = 0 THEN '' ELSE {_T60} END AS snippet FROM documents"""
+  CASE WHEN doc_id % 9 = 0 THEN '' ELSE {_TEXT} END AS snippet FROM documents"""
 
 # selection, batches, cache
 ORACLES["dedup_urls"] = with_views(
@@ -264,6 +261,21 @@ FROM wanted w LEFT JOIN got g ON g.url = w.url""",
     "url_list",
     "fetch_log",
 )
+ORACLES["batch_scrape_cached"] = with_views(
+    f"""
+WITH {_LADDER},
+wanted AS (SELECT trim(raw_url) AS url, min(pos) AS pos FROM url_list WHERE trim(raw_url) <> '' GROUP BY 1),
+hit AS (SELECT url FROM pages WHERE page_id % 4 = 0 AND page_id % 40 <= 15),
+got AS (SELECT url, good, serr, CASE WHEN good THEN fhtml ELSE coalesce(shtml, '') END AS html FROM paired)
+SELECT w.pos, w.url, CASE WHEN h.url IS NOT NULL THEN 'Cached' ELSE {title('g.html')} END AS title,
+  CASE WHEN h.url IS NOT NULL THEN 'fetch_fast' WHEN g.url IS NULL OR (NOT good AND serr IS NOT NULL) THEN 'error'
+    WHEN good THEN 'fetch_fast' ELSE 'fetch_stealth' END AS method,
+  CASE WHEN h.url IS NOT NULL THEN NULL WHEN g.url IS NULL THEN 'not attempted' WHEN NOT good THEN serr END AS error,
+  CASE WHEN h.url IS NOT NULL THEN 'hit' END AS cache
+FROM wanted w LEFT JOIN got g ON g.url = w.url LEFT JOIN hit h ON h.url = w.url""",
+    "url_list",
+    "fetch_log",
+)
 ORACLES["batch_report"] = with_views(
     f"""
 WITH {_LADDER},
@@ -284,6 +296,7 @@ FROM cache_requests r ASOF LEFT JOIN cache_puts p ON r.k = p.k AND r.ts >= p.ts"
     "cache_requests",
     "cache_puts",
 )
+ORACLES["cache_asof_sliced"] = ORACLES["cache_asof"]
 ORACLES["cache_compact"] = with_views(
     """
 WITH looked AS (SELECT r.k, r.ts, p.ts AS put_ts FROM cache_requests r ASOF JOIN cache_puts p ON r.k = p.k AND r.ts >= p.ts),
@@ -355,6 +368,8 @@ SELECT v.root, v.depth, v.rank, v.url, {title('p.html')} AS title,
 FROM visited v LEFT JOIN linked_pages p ON p.url = v.url""",
     "linked_pages",
 )
+ORACLES["crawl_recaptured_flat"] = ORACLES["crawl_flat"]
+ORACLES["crawl_recaptured"] = ORACLES["crawl_bfs"]
 ORACLES["crawl_bfs_every_page"] = with_views(f"{walk('true', 3, 12)} SELECT root, depth, rank, url FROM visited", "linked_pages")
 ORACLES["crawl_errors"] = with_views(
     f"""{walk('r = 0', 3, 1000)}
@@ -386,7 +401,7 @@ top AS (SELECT query_id, pass, rank, {doc_id}, score FROM ranked WHERE rank <= {
 
 
 ORACLES["search_bm25"] = bm25(5) + " SELECT query_id, rank, doc_id, score FROM top"
-ORACLES["search_snippets"] = bm25(1) + " SELECT query_id, doc_id, left(text, 200) AS snippet FROM top JOIN documents USING (doc_id)"
+ORACLES["search_snippets"] = bm25(1) + " SELECT query_id, doc_id, text AS snippet FROM top JOIN documents USING (doc_id)"
 ORACLES["expand_queries"] = """
 SELECT item_id AS query_id, text AS query, CAST(0 AS BIGINT) AS pass, text AS pass_query FROM benchmark
 UNION ALL SELECT item_id, text, 1, text || ' comparison alternatives' FROM benchmark
@@ -426,6 +441,10 @@ SELECT query_id, n, url, title FROM evidence WHERE error IS NULL""",
 )
 ORACLES["evidence_pack"] = with_views(f"{_EVIDENCE} SELECT * FROM evidence", "doc_pages")
 ORACLES["citations"] = with_views(f"{_EVIDENCE} SELECT query_id, n, url, title FROM evidence WHERE error IS NULL", "doc_pages")
+ORACLES["evidence_six_passes"] = """
+WITH firsts AS (SELECT user_id AS query_id, 'https://s.test/d' || (event_id % 23) AS url, min(event_id % 101) AS rank FROM events GROUP BY 1, 2),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS n FROM firsts)
+SELECT query_id, n, n - 1 AS pass, url FROM numbered WHERE n <= 6"""
 ORACLES["search_papers"] = with_views(
     """
 SELECT id, title FROM papers WHERE source = 'arxiv' AND (contains(lower(title), 'the and') OR contains(lower(summary), 'the and'))
@@ -441,11 +460,11 @@ ORACLES["search_papers_words"] = with_views(
 ORACLES["arxiv_entries"] = f"""
 SELECT doc_id, doc_id || 'v1' AS id, 'http://a.test/abs/' || doc_id || 'v1' AS url, 'http://a.test/pdf/' || doc_id AS pdf_url,
   source || ' paper' AS title, 'A ' || lang || '; B' AS authors,
-  left({collapse(rep('substr(text, 1, 3000)', '[^\\p{L}\\p{N} \\n]', ''))}, 1500) AS summary,
+  left({collapse(rep('text', '[^\\p{L}\\p{N} \\n]', ''))}, 1500) AS summary,
   '2024-01-0' || (doc_id % 9 + 1) AS published, 'cs.' || lang AS categories, CAST(NULL AS VARCHAR) AS error FROM documents"""
 ORACLES["crossref_entries"] = f"""
 SELECT doc_id, '10.1/' || doc_id AS id, 'https://doi.org/10.1/' || doc_id AS url, CAST(NULL AS VARCHAR) AS pdf_url, source AS title,
-  'Ann ' || lang || '; Group' AS authors, left({strip_tags("'<p>' || substr(text, 1, 2500) || '</p>'")}, 1500) AS summary,
+  'Ann ' || lang || '; Group' AS authors, left({strip_tags("'<p>' || text || '</p>'")}, 1500) AS summary,
   CASE WHEN doc_id % 4 > 0 THEN '2024-' || (doc_id % 12 + 1) END AS published, '' AS categories, CAST(NULL AS VARCHAR) AS error FROM documents"""
 
 # change detection
@@ -455,7 +474,15 @@ lagged AS (SELECT *, lag(hash) OVER w AS ph, lag(snapshot_id) OVER w AS prev_id,
   FROM hashed WINDOW w AS (PARTITION BY url ORDER BY ts, snapshot_id)),
 checked AS (SELECT *, CASE WHEN ph IS NULL THEN 'new' WHEN ph = hash THEN 'unchanged' ELSE 'changed' END AS check_status FROM lagged)"""
 ORACLES["monitor_status"] = with_views(f"WITH {_CHECKED} SELECT url, snapshot_id, hash, check_status, prev_id FROM checked", "snapshots")
-ORACLES["stream_page_changes"] = with_views(f"WITH {_CHECKED} SELECT url, snapshot_id, hash, check_status FROM checked", "snapshots")
+ORACLES["monitor_status_sliced"] = ORACLES["monitor_status"]
+ORACLES["stream_page_changes"] = with_views(
+    """
+WITH hashed AS (SELECT url, event_id AS snapshot_id, ts, CASE WHEN event_id % 13 <> 5 THEN sha256(text) END AS hash FROM snapshots),
+lagged AS (SELECT *, last_value(hash IGNORE NULLS) OVER (PARTITION BY url ORDER BY ts, snapshot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ph FROM hashed)
+SELECT url, snapshot_id, hash, CASE WHEN hash IS NULL THEN 'error' WHEN ph IS NULL THEN 'new' WHEN ph = hash THEN 'unchanged' ELSE 'changed' END AS check_status
+FROM lagged""",
+    "snapshots",
+)
 ORACLES["stream_page_changes_by_batch"] = ORACLES["stream_page_changes"]
 ORACLES["monitor_line_delta"] = with_views(
     f"""
@@ -554,6 +581,15 @@ accepted AS (SELECT id, min(s) AS s FROM secs GROUP BY id
 SELECT id, s AS accepted_at FROM accepted"""
 ORACLES["ping_cooldown"] = with_views(_COOLDOWN, "pings")
 ORACLES["stream_ping_cooldown"] = ORACLES["ping_cooldown"]
+ORACLES["ping_cooldown_far"] = with_views(
+    """
+WITH RECURSIVE p AS (SELECT CASE WHEN event_id % 89 > 0 THEN id END AS id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM pings),
+secs AS (SELECT DISTINCT id, s FROM (SELECT * FROM p UNION ALL SELECT id, 1 FROM p UNION ALL SELECT id, 250000000000 FROM p) x),
+accepted AS (SELECT id, min(s) AS s FROM secs GROUP BY id
+  UNION ALL SELECT a.id, min(p.s) FROM accepted a JOIN secs p ON p.id IS NOT DISTINCT FROM a.id AND p.s >= a.s + 86400 GROUP BY a.id, a.s)
+SELECT id, s AS accepted_at FROM accepted""",
+    "pings",
+)
 _SESSIONS = """
 WITH gaps AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1
     WHEN lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -574,8 +610,37 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(DISTINCT id) AS users, co
 WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM pings) - INTERVAL 1 DAY GROUP BY 1""",
     "pings",
 )
-ORACLES["stream_attempt_checks"] = f"""
-WITH {link_ctes('pages', 'page_id')}, counts AS (SELECT url, count(*) AS c FROM kept GROUP BY url)
-SELECT p.url, {title('p.html')} AS title, CAST({block('p.html', '200')} AS BIGINT) AS blocked, CAST({skeleton('p.html', '200')} AS BIGINT) AS skeleton,
-  coalesce(c, 0) AS link_count FROM pages p LEFT JOIN counts ON counts.url = p.url"""
-ORACLES["stream_first_seen"] = f"SELECT DISTINCT {clean('url')} AS clean_url FROM pages"
+ORACLES["stream_daily_actives"] = with_views(
+    """
+SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(1 AS BIGINT) AS near FROM pings
+WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM pings) - INTERVAL 1 DAY""",
+    "pings",
+)
+ORACLES["stream_attempt_checks"] = with_views(
+    f"""
+WITH answered AS (SELECT *, 2 * page_id + CASE WHEN tier = 'fast' THEN 0 ELSE 1 END AS k FROM fetch_log WHERE error IS NULL),
+{link_ctes('answered', 'k')}, counts AS (SELECT k, count(*) AS c FROM kept GROUP BY k)
+SELECT p.url, tier, {title('p.html')} AS title, CAST({block('p.html', 'p.status')} AS BIGINT) AS blocked,
+  CAST({skeleton('p.html', 'p.status')} AS BIGINT) AS skeleton, coalesce(c, 0) AS link_count FROM answered p LEFT JOIN counts USING (k)""",
+    "fetch_log",
+)
+ORACLES["stream_first_seen"] = with_views(f"SELECT DISTINCT {clean('trim(raw_url)')} AS clean_url FROM url_list WHERE trim(raw_url) <> ''", "url_list")
+ORACLES["snapshot_store_round"] = with_views(
+    f"""
+WITH {_LADDER},
+first AS (SELECT url, CASE WHEN good THEN fhtml ELSE shtml END AS html, NOT good AND serr IS NOT NULL AS failed, serr FROM paired),
+more AS (SELECT page_id, url, tier, status, elapsed_ms, error, CASE WHEN page_id % 4 = 0 THEN html || '<p>added line</p>' ELSE html END AS html
+  FROM fetch_log WHERE page_id % 9 > 0),
+judged2 AS (SELECT *, error IS NULL AND NOT {block()} AND length(html) > 500 AND NOT {skeleton()} AS good FROM more),
+second AS (SELECT f.page_id, f.url, CASE WHEN f.good THEN f.html ELSE s.html END AS html, NOT f.good AND s.error IS NOT NULL AS failed, s.error AS serr
+  FROM judged2 f JOIN judged2 s ON f.url = s.url AND f.tier = 'fast' AND s.tier = 'stealth'),
+texts AS (SELECT p.page_id, p.url, a.failed AS f1, b.failed AS f2, b.serr, b.url IS NOT NULL AS again,
+  {page_text('a.html')} AS t1, {page_text('b.html')} AS t2
+  FROM (SELECT DISTINCT page_id, url FROM fetch_log) p JOIN first a ON a.url = p.url LEFT JOIN second b ON b.url = p.url),
+said AS (SELECT *, CASE WHEN NOT again THEN NULL WHEN f2 THEN 'error' WHEN f1 THEN 'new' WHEN t1 = t2 THEN 'unchanged' ELSE 'changed' END AS check_status,
+  CASE WHEN again AND NOT f2 THEN '2024-01-02' WHEN NOT f1 AND page_id % 7 <> 0 THEN '2024-01-01' END AS kept_day FROM texts)
+SELECT url, check_status, CASE WHEN f2 THEN serr END AS error, CAST(CASE WHEN check_status = 'changed' THEN 1 END AS BIGINT) AS lines_added, kept_day,
+  CASE kept_day WHEN '2024-01-02' THEN sha256(t2) WHEN '2024-01-01' THEN sha256(t1) END AS hash
+FROM said WHERE check_status IS NOT NULL OR kept_day IS NOT NULL""",
+    "fetch_log",
+)

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.urls import path_filter
 from ..operators.batch import batch_scrape
 from ..operators.ladder import choose_attempt
-from ..operators.monitor import monitor_check, unified_diffs
+from ..operators.monitor import LINE_ENDS, check_incoming, monitor_check, unified_diffs
 from ..operators.research import SCRAPE_TOP, citations, evidence_pack, expand_queries
 from ..operators.search import search_corpus
 from ..operators.sitemap import DEFAULT_LIMIT, map_site
 from ..session import cut_lineage
-from ..sources.sinks import write_rag_jsonl
+from ..sources.sinks import SnapshotStore, write_rag_jsonl
 
 # Fixed value: hits per pass of a research job.
 RESEARCH_LIMIT = 5
@@ -66,6 +66,34 @@ def rag_ingest(
     write_rag_jsonl(pages.withColumn("fetched_at", fetched_at), path)
 
 
+def fetched_snapshots(fetch_log: DataFrame, at, prefer: str = "auto") -> DataFrame:
+    """One check per URL of a round of fetches at the moment ``at``: the ladder's choice, failures included."""
+    moment = F.lit(at).cast("timestamp")
+    return choose_attempt(fetch_log, prefer).select(
+        "url", moment.alias("ts"), F.xxhash64("url", moment).alias("snapshot_id"), "title", "status", "method",
+        F.when(F.col("error").isNull(), F.col("markdown")).alias("text"), "error",
+    )
+
+
+def check_round(store: SnapshotStore, fetch_log: DataFrame, at, prefer: str = "auto") -> DataFrame:
+    """Check a round of fetches against the store, then store it: url, check_status, error, lines_added, lines_removed.
+
+    Hashes decide; stored text is read for the changed URLs alone. Failed fetches are reported and not stored.
+    """
+    incoming = cut_lineage(fetched_snapshots(fetch_log, at, prefer))
+    latest = store.latest()
+    checked = cut_lineage(check_incoming(latest, incoming.select("url", "text", "error")).select("url", "check_status", "error"))
+    changed = checked.filter("check_status = 'changed'").select("url")
+    before = store.read().join(latest.join(changed, "url").select("url", "snapshot_id"), ["url", "snapshot_id"], "left_semi")
+    texts = before.select("url", F.col("text").alias("old")).join(incoming.select("url", F.col("text").alias("new")), "url")
+    old, new = (F.split(c, LINE_ENDS) for c in ("old", "new"))
+    delta = cut_lineage(
+        texts.select("url", F.size(F.array_except(new, old)).alias("lines_added"), F.size(F.array_except(old, new)).alias("lines_removed"))
+    )
+    store.append(incoming)
+    return checked.join(delta, "url", "left")
+
+
 def watch(snapshots: DataFrame) -> DataFrame:
     """Every check with its status, and the diff where a page changed."""
     diffs = unified_diffs(snapshots).select("snapshot_id", "diff", "diff_truncated")

@@ -11,8 +11,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.pages import spread
-
 TABLES = ("pages", "documents", "events", "benchmark")
 
 VIEWS = {
@@ -60,6 +58,11 @@ UNION ALL SELECT page_id, url, 5, 'HTTPS://Case.test/A/../B' FROM pages
 UNION ALL SELECT page_id, url, 6, '../../../..' FROM pages
 UNION ALL SELECT page_id, url, 7, concat('file', CAST(page_id AS STRING), '.PDF') FROM pages
 UNION ALL SELECT page_id, url, 8, '/img/logo.WEBP?v=2' FROM pages""",
+    # every page captured before with other links, and after that once more as it is
+    "recaptured_pages": """
+SELECT page_id, host, r, url, html FROM linked_pages
+UNION ALL SELECT page_id - 1000000, host, r, url, concat('<html><title>Old</title><a href="/p', CAST(r + 3 AS STRING), '">old</a></html>') FROM linked_pages
+UNION ALL SELECT page_id - 2000000, host, r, url, html FROM linked_pages WHERE r % 3 = 0""",
     "redirects": """
 SELECT doc_id, concat('//duckduckgo.com/l/?x=1&uddg=https%3A%2F%2Fs.test%2Fd', CAST(doc_id AS STRING), '%3Fa%3D1%252B2&rut=1') AS href FROM documents
 UNION ALL SELECT doc_id, concat(' //p.test/', source, ' ') FROM documents
@@ -95,15 +98,15 @@ SELECT CASE WHEN event_type = 'view' THEN 'views' ELSE 'clones' END AS kind, CAS
     # one result page per document, both layouts
     "serp_pages": """
 SELECT doc_id, concat('<a rel="nofollow" class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fs.test%2Fd', CAST(doc_id AS STRING),
-    '&rut=1">T <b>', lang, '</b></a><a class="result__snippet" href="#">', substr(text, 1, 60),
+    '&rut=1">T <b>', lang, '</b></a><a class="result__snippet" href="#">', text,
     '</a><a class="result__a" href="#">skip</a><a class="result__snippet">s</a>',
     '<a class="result__a" href="//p.test/', source, '">U</a><a class="result__snippet">v</a>') AS html,
   concat('<a rel="nofollow" href="#">skip</a><td class="result-snippet">s0</td><a rel="nofollow" href="https://s.test/d', CAST(doc_id AS STRING),
-    '">T ', lang, '</a><td class="result-snippet">', substr(text, 1, 60), '</td><a rel="nofollow" href="//p.test/', source, '">U</a>') AS lite
+    '">T ', lang, '</a><td class="result-snippet">', text, '</td><a rel="nofollow" href="//p.test/', source, '">U</a>') AS lite
 FROM documents""",
     "papers": """
-SELECT CASE WHEN doc_id % 2 = 0 THEN 'arxiv' ELSE 'crossref' END AS source, CAST(doc_id AS STRING) AS id, substr(text, 1, 80) AS title,
-  substr(text, 1, 1500) AS summary,
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'arxiv' ELSE 'crossref' END AS source, CAST(doc_id AS STRING) AS id, text AS title,
+  concat(lang, ' ', text) AS summary,
   CASE WHEN doc_id % 3 = 0 THEN 'cs.LG' WHEN doc_id % 3 = 1 THEN 'cs.CV' ELSE 'math.ST' END AS category FROM documents""",
     # documents as fetched pages, some of them failed
     "doc_pages": """
@@ -121,20 +124,15 @@ SELECT doc_id, concat('https://f.test/', source, CASE WHEN doc_id % 5 = 0 THEN '
 _READS = re.compile(r"\b(FROM|JOIN) (" + "|".join((*TABLES, *VIEWS)) + r")\b")
 
 
-# tables whose rows are heavy to work on
-_HEAVY = ("pages", "documents")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in _HEAVY else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame, without registering anything in the session."""
+def view(spark: SparkSession, sf_dir: str, name: str, read=table) -> DataFrame:
+    """A derived view as a DataFrame, without registering anything in the session. ``read`` may give streams."""
     sql = VIEWS[name]
     used = sorted({m[2] for m in _READS.finditer(sql)})
-    inputs = {t: table(spark, sf_dir, t) for t in used}
+    inputs = {t: view(spark, sf_dir, t, read) if t in VIEWS else read(spark, sf_dir, t) for t in used}
     escaped = sql.replace("{", "{{").replace("}", "}}")
     return spark.sql(_READS.sub(r"\1 {\2}", escaped), **inputs)
 

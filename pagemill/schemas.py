@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-PAGE = (
-    "url string, final_url string, status int, html string, markdown string, title string, "
-    "method string, elapsed_ms int, meta map<string,string>"
-)
 FETCH_LOG = (
     "url string, final_url string, tier string, attempt int, status int, html string, error string, elapsed_ms int"
 )
@@ -13,17 +9,6 @@ SNAPSHOT = (
     "url string, ts timestamp, snapshot_id bigint, iso string, hash string, title string, "
     "status int, method string, text string"
 )
-HIT = "query string, pass int, rank int, url string, title string, snippet string"
-PAPER = (
-    "source string, id string, doi string, url string, pdf_url string, title string, "
-    "authors array<string>, summary string, published string, categories array<string>"
-)
-DOCUMENT_TEXT = (
-    "url string, doc_type string, markdown string, pages_or_sections int, bytes bigint, error string"
-)
-PING = "id string, version string, python string, platform string, ts timestamp, received_at timestamp"
-DOWNLOADS = "category string, date date, downloads bigint"
-
 # Method names of the fetch tiers.
 FAST, STEALTH = "fast", "stealth"
 METHODS = {FAST: "fetch_fast", STEALTH: "fetch_stealth"}

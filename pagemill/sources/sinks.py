@@ -24,7 +24,7 @@ class SnapshotStore:
     which readers take once it is complete. One writer at a time.
     """
 
-    BUCKETS = 64
+    BUCKETS = 256
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -46,13 +46,15 @@ class SnapshotStore:
     def _bucket():
         return F.pmod(F.xxhash64("url"), F.lit(SnapshotStore.BUCKETS)).cast("int")
 
-    def _write(self, rows: DataFrame, generation: int) -> None:
+    def _write(self, rows: DataFrame, generation: int, mode: str = "append") -> None:
         # rebalancing gives each bucket few files and splits a bucket with a hot URL
-        placed = rows.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket"))
-        placed.write.mode("append").partitionBy("bucket").parquet(self._dir(generation))
+        placed = rows.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "url", "ts")
+        placed.write.mode(mode).partitionBy("bucket").parquet(self._dir(generation))
 
     def append(self, snapshots: DataFrame) -> None:
-        """Store checks. Rows need url, ts, snapshot_id, status, title, method, text."""
+        """Store checks. Rows need url, ts, snapshot_id, status, title, method, text; those with ``error`` set are not stored."""
+        if "error" in snapshots.columns:
+            snapshots = snapshots.filter(F.col("error").isNull())
         iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
         rows = snapshots.select(
             "url", "ts", "snapshot_id", iso.alias("iso"), content_hash(F.col("text")).alias("hash"),
@@ -103,4 +105,5 @@ class SnapshotStore:
         done = self._generations()
         if done:
             kept = snapshot_retention(self.read(), keep).drop("age_rank").withColumn("forgotten", F.lit(False))
-            self._write(kept, done[-1] + 1)
+            # a generation without its success mark is the rest of a broken run
+            self._write(kept, done[-1] + 1, "overwrite")

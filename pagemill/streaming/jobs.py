@@ -31,21 +31,32 @@ def attempt_checks(attempts: DataFrame) -> DataFrame:
     ).drop("html")
 
 
+def _hashed(snapshots: DataFrame) -> DataFrame:
+    error = F.col("error") if "error" in snapshots.columns else F.lit(None).cast("string")
+    digest = F.when(error.isNull(), content_hash(F.col("text")))
+    return snapshots.select("url", "ts", "snapshot_id", digest.alias("hash"), error.alias("error"))
+
+
 def page_changes(snapshots: DataFrame) -> DataFrame:
-    """new / unchanged / changed per check against the last hash kept per URL.
+    """new / unchanged / changed / error per check against the last hash kept per URL.
 
-    Only hashes enter the state operator, ordered by (ts, snapshot_id) inside a batch.
+    Only hashes enter the state operator, ordered by (ts, snapshot_id) inside a batch. A failed
+    check (``error`` set) is reported and never becomes the state.
     """
-    narrow = snapshots.select("url", "ts", "snapshot_id", content_hash(F.col("text")).alias("hash"))
+    narrow = _hashed(snapshots)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "snapshot_id"])
-        before = [last, *rows["hash"].iloc[:-1]]
-        status = [
-            "new" if old is None else "unchanged" if old == new else "changed" for old, new in zip(before, rows["hash"])
-        ]
-        state.update((rows["hash"].iloc[-1],))
+        status = []
+        for digest, failed in zip(rows["hash"], rows["error"].notna()):
+            if failed:
+                status.append("error")
+                continue
+            status.append("new" if last is None else "unchanged" if last == digest else "changed")
+            last = digest
+        if last is not None:
+            state.update((last,))
         yield rows.assign(url=key[0], check_status=status)[["url", "ts", "snapshot_id", "hash", "check_status"]]
 
     return narrow.groupBy("url").applyInPandasWithState(
@@ -65,8 +76,8 @@ def run_page_changes(snapshots: DataFrame, path: str) -> DataFrame:
     so a repeated batch replaces itself.
     """
     spark = snapshots.sparkSession
-    narrow = snapshots.select("url", "ts", "snapshot_id", content_hash(F.col("text")).alias("hash"))
-    state_schema = "url string, ts timestamp, snapshot_id bigint, hash string"
+    narrow = _hashed(snapshots)
+    state_schema = "url string, ts timestamp, snapshot_id bigint, hash string, error string"
 
     def check(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("fresh", F.lit(True))
@@ -76,7 +87,8 @@ def run_page_changes(snapshots: DataFrame, path: str) -> DataFrame:
         fresh = rows.filter("fresh").select("snapshot_id")
         checked = monitor_check(rows.drop("fresh")).join(fresh, "snapshot_id", "left_semi")
         checked.write.mode("overwrite").parquet(f"{path}/checks/batch={batch_id}")
-        latest = rows.groupBy("url").agg(F.max(F.struct("ts", "snapshot_id", "hash")).alias("l")).select("url", "l.*")
+        good = rows.filter(F.col("error").isNull())
+        latest = good.groupBy("url").agg(F.max(F.struct("ts", "snapshot_id", "hash", "error")).alias("l")).select("url", "l.*")
         latest.write.mode("overwrite").parquet(f"{path}/latest/batch={batch_id}")
 
     query = (
@@ -86,7 +98,7 @@ def run_page_changes(snapshots: DataFrame, path: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    schema = "url string, ts timestamp, snapshot_id bigint, hash string, check_status string, prev_id bigint"
+    schema = "url string, ts timestamp, snapshot_id bigint, hash string, check_status string, error string, prev_id bigint"
     return spark.read.schema(schema).parquet(f"{path}/checks/*")
 
 

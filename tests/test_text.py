@@ -15,10 +15,10 @@ def one(spark, expr, **values):
 
 
 SHELL = (
-    "<html><head><title>Shop</title><script>" + "var x=1;" * 1200 + "</script><style>" + ".a{color:red}" * 400
-    + "</style></head><body><div id='app'></div></body></html>"
+    "<html><head><title>Harbour</title><style>" + "#q i{top:0}" * 300 + "</style></head><body><main id='root'></main><script>"
+    + "boot(7);" * 900 + "</script></body></html>"
 )
-ARTICLE = "<html><body>" + "<p>Real readable content about Python packaging and releases.</p>" * 100 + "</body></html>"
+ARTICLE = "<html><body>" + "<p>The ferry leaves the northern quay at six and comes back at nine.</p>" * 90 + "</body></html>"
 
 
 def test_skeleton(spark):
@@ -26,7 +26,7 @@ def test_skeleton(spark):
     assert one(spark, flag, html=SHELL, status=200) is True
     assert one(spark, flag, html=SHELL, status=404) is False
     assert one(spark, flag, html=ARTICLE, status=200) is False
-    assert one(spark, flag, html="<html><body>hi</body></html>", status=200) is False
+    assert one(spark, flag, html="<body><p>short note</p></body>", status=200) is False
     assert one(spark, flag, html=None, status=200) is False
     assert one(spark, flag, html="<noscript>" + "x" * 9000 + "</noscript>", status=200) is True
 

@@ -51,11 +51,11 @@ def test_history_and_overview(spark):
 
 
 def test_download_window(spark):
-    rows = [("without_mirrors", "2026-09-10", 10), ("with_mirrors", "2026-09-10", 25), ("without_mirrors", "2026-08-01", 999)]
+    rows = [("without_mirrors", "2031-05-20", 7), ("with_mirrors", "2031-05-14", 40), ("without_mirrors", "2031-04-21", 300)]
     df = spark.createDataFrame(rows, "category string, d string, downloads long").withColumn("dl_date", F.to_date("d"))
-    assert {r.category: r.downloads for r in usage.download_summary(df, "2026-09-10").collect()} == {"without_mirrors": 10, "with_mirrors": 25}
-    assert usage.download_badge(df, "2026-08-31").first().downloads == 1009
-    assert usage.download_badge(df, "2026-09-01").first().downloads == 10
+    assert {r.category: r.downloads for r in usage.download_summary(df, "2031-05-20").collect()} == {"without_mirrors": 7, "with_mirrors": 40}
+    assert usage.download_badge(df, "2031-05-20").first().downloads == 307
+    assert usage.download_badge(df, "2031-05-22").first().downloads == 7
 
 
 def test_traffic(spark):
