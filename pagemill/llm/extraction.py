@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+
 # --- fixed values: html element names by kind ---
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("script style noscript template head title svg math object iframe canvas audio video select option textarea button".split())
@@ -37,20 +38,22 @@ NOTICE = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False):
-        self.tag, self.parent, self.aside = tag, parent, aside
+        self.tag, self.parent, self.aside, self.named = tag, parent, aside, False
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 def _names(attrs) -> set[str]:
+    """Words of class, id and role; a word denied or merely mentioned (no-sidebar, has-comments) does not count."""
     if not attrs:
         return set()
     said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-    return {w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower()) if w}
+    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower()) if w]
+    return {w for before, w in zip(["", *words], words) if before not in ("no", "has", "with", "without")}
 
 
 class _Tree(HTMLParser):
@@ -67,13 +70,27 @@ class _Tree(HTMLParser):
             self._close(tag, {"ul", "ol", "dl", "table", "tr"} - {tag})
         if tag == "body":
             self._close("head", set())
+        if tag in ("article", "main"):
+            # a part that holds the article is none of the furniture, whatever it is called
+            node = self.at
+            while node is not None:
+                node.aside = node.aside and not node.named
+                node = node.parent
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         marked = tag not in ("html", "body", "article", "main") and bool(_names(attrs) & NOTICE)
-        node = Node(tag, self.at, hidden or marked or tag in NO_TEXT or tag in FURNITURE)
+        furniture = tag in FURNITURE and not (tag == "header" and self._in_article())
+        node = Node(tag, self.at, hidden or marked or furniture or tag in NO_TEXT)
+        node.named = marked and not (hidden or furniture or tag in NO_TEXT)
         self.at.parts.append(node)
         if tag not in VOID:
             self.at = node
 
+    def _in_article(self) -> bool:
+        node = self.at
+        while node is not None and node.tag not in ("article", "main"):
+            node = node.parent
+        return node is not None
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.at.tag == tag and tag not in VOID:

@@ -33,6 +33,7 @@ TALK = "<p>" + "I have so much to say about this ferry that it will not fit. " *
         f"<body><div class='site-header'>Harbour News</div><div>{MENU}</div><div id=main><div>{STORY}</div></div><div class='footer'>(c) Harbour</div></body>",
         f"<html><head><title>x</title><style>p{{}}</style></head><body><nav>{MENU}</nav><article>{STORY}<aside>Buy a boat</aside></article><section id='comments'>{TALK}</section></body>",
         f"<body><div class='cookie-notice'>We use cookies. Agree?</div><main>{STORY}<form><input><p>Your mail</p></form><script>if (a < b) x('<p>no</p>')</script></main><div class=sidebar>{MENU}</div></body>",
+        f"<body class='has-comments'><div class='page sidebar-left'><div class=nav>{MENU}</div><main class='content no-sidebar'><header>{STORY[:30]}</header>{STORY[30:]}</main></div></body>",
         f"<body><div><div class='advert'>Great boats, cheap, buy now, every day of the week</div>{STORY}</div><div class=user-comments>{TALK}</div>",
     ],
 )
