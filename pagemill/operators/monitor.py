@@ -77,14 +77,21 @@ def changed_texts(snapshots: DataFrame, checks: DataFrame | None = None) -> Data
     return changed.join(old, "prev_id").join(new, "snapshot_id")
 
 
-def line_delta(snapshots: DataFrame) -> DataFrame:
-    """Distinct lines that came and went, per changed check."""
-    pairs = changed_texts(snapshots)
-    old, new = F.split("old_text", LINE_ENDS), F.split("new_text", LINE_ENDS)
-    return pairs.select(
+def line_delta(snapshots: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Distinct lines that came and went, per changed check.
+
+    Lines are hashed where the text is read; their hashes go through the one ordered pass, text does not.
+    """
+    error = F.col("error") if "error" in snapshots.columns else F.lit(None).cast("string")
+    lines = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), LINE_ENDS), lambda x: F.xxhash64(x)))
+    checks = snapshots.select("url", "ts", "snapshot_id", error.alias("error"), content_hash(F.col("text")).alias("hash"), lines.alias("lines"))
+    state = F.when(F.col("error").isNull(), F.struct("hash", "lines"))
+    prev = with_last(checks, ["url"], ["ts", "snapshot_id"], state, "_prev", group_rows=group_rows)
+    changed = prev.filter(F.col("error").isNull() & (F.col("_prev.hash") != F.col("hash")))
+    return changed.select(
         "url", "ts", "snapshot_id",
-        F.size(F.array_except(new, old)).alias("lines_added"),
-        F.size(F.array_except(old, new)).alias("lines_removed"),
+        F.size(F.array_except("lines", "_prev.lines")).alias("lines_added"),
+        F.size(F.array_except("_prev.lines", "lines")).alias("lines_removed"),
     )
 
 
@@ -99,11 +106,11 @@ def _unified(url: pd.Series, old: pd.Series, new: pd.Series, old_iso: pd.Series,
     return pd.Series([one(*row) for row in zip(url, old, new, old_iso, new_iso)], dtype=object)
 
 
-def unified_diffs(snapshots: DataFrame, max_chars: int = MAX_DIFF_CHARS) -> DataFrame:
-    """Unified diff of each changed check; none when only line endings changed."""
+def unified_diffs(snapshots: DataFrame, max_chars: int = MAX_DIFF_CHARS, checks: DataFrame | None = None) -> DataFrame:
+    """Unified diff of each changed check; none when only line endings changed. ``checks`` saves checking again."""
     full = _unified("url", "old_text", "new_text", F.date_format("prev_ts", ISO), F.date_format("ts", ISO))
     return (
-        changed_texts(snapshots)
+        changed_texts(snapshots, checks)
         .withColumn("_full", F.nullif(full, F.lit("")))
         .select(
             "url", "ts", "snapshot_id",

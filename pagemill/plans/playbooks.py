@@ -96,5 +96,6 @@ def check_round(store: SnapshotStore, fetch_log: DataFrame, at, prefer: str = "a
 
 def watch(snapshots: DataFrame) -> DataFrame:
     """Every check with its status, and the diff where a page changed."""
-    diffs = unified_diffs(snapshots).select("snapshot_id", "diff", "diff_truncated")
-    return monitor_check(snapshots).join(diffs, "snapshot_id", "left")
+    checks = cut_lineage(monitor_check(snapshots))
+    diffs = unified_diffs(snapshots, checks=checks).select("snapshot_id", "diff", "diff_truncated")
+    return checks.join(diffs, "snapshot_id", "left")

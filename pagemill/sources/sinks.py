@@ -96,6 +96,13 @@ class SnapshotStore:
         row = F.struct("ts", "snapshot_id", "hash", "iso")
         return self.read().groupBy("url").agg(F.max(row).alias("l")).select("url", "l.ts", "l.snapshot_id", "l.hash", "l.iso")
 
+    def drop_old(self) -> None:
+        """Delete the generations before the newest complete one; nobody may be reading them."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for generation in self._generations()[:-1]:
+            old = hadoop.Path(self._dir(generation))
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+
     def history(self, url: str) -> DataFrame:
         asked = self.spark.range(1).select(F.lit(url).alias("url"))
         return monitor_history(self.read(url), asked)

@@ -71,9 +71,9 @@ def page_changes(snapshots: DataFrame) -> DataFrame:
 def run_page_changes(snapshots: DataFrame, path: str) -> DataFrame:
     """``page_changes`` for streams with very hot URLs; runs what is there and returns the statuses.
 
-    Each micro-batch is checked by the batch operator, which splits a hot URL over tasks;
-    the latest hash per URL is a table per batch. Batches are written under their own id,
-    so a repeated batch replaces itself.
+    Each micro-batch is checked by the batch operator, which splits a hot URL over tasks. A batch
+    writes the latest hash of the URLs it met and reads those that earlier batches wrote for them.
+    Batches are written under their own id, so a repeated batch replaces itself.
     """
     spark = snapshots.sparkSession
     narrow = _hashed(snapshots)
@@ -82,7 +82,13 @@ def run_page_changes(snapshots: DataFrame, path: str) -> DataFrame:
     def check(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("fresh", F.lit(True))
         if batch_id > 0:
-            before = spark.read.schema(state_schema).parquet(f"{path}/latest/batch={batch_id - 1}")
+            written = spark.read.schema(f"{state_schema}, batch bigint").parquet(f"{path}/latest")
+            row = F.struct("ts", "snapshot_id", "hash", "error")
+            before = (
+                written.filter(F.col("batch") < batch_id)
+                .join(batch.select("url").distinct(), "url", "left_semi")
+                .groupBy("url").agg(F.max(row).alias("l")).select("url", "l.*")
+            )
             rows = rows.unionByName(before.withColumn("fresh", F.lit(False)))
         fresh = rows.filter("fresh").select("snapshot_id")
         checked = monitor_check(rows.drop("fresh")).join(fresh, "snapshot_id", "left_semi")

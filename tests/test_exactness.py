@@ -65,4 +65,6 @@ def test_failed_checks_are_no_state(spark, tmp_path):
     store._write(store.read().withColumn("forgotten", F.lit(False)), 1)  # left by a broken compaction
     (tmp_path / "store" / "gen=1" / "_SUCCESS").rename(tmp_path / "mark")
     store.compact()
+    store.drop_old()
+    assert store._generations() == [1] and not (tmp_path / "store" / "gen=0").exists()
     assert sorted(r.snapshot_id for r in store.read().collect()) == [1, 3]
