@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import whole
+from .common import whole, whole_text_batches
 
 #: Bytes of a repeat that is removed.
 LENGTH = 200
@@ -160,6 +160,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, large: int = LARGE_GROUP) -> DataFrame:
     """(row, spans) of documents with repeats: hash over doc_id and text, byte ranges that may overlap."""
+    whole_text_batches(docs)
     reach = length - anchor
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), whole("text").alias("text"))
 
@@ -179,10 +180,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                     rows, size = [], 0
 
     anchors = texts.mapInPandas(find, "row long, place long, key long, around long")
-    again = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # counts are tables of their own, so that a join with a frequent key can be split
+    again = cut_lineage(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     repeated = cut_lineage(anchors.join(again, "key"))
-    surroundings = repeated.groupBy("key", "around").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("one")
+    surroundings = cut_lineage(
+        repeated.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("one"))
     )
     place = F.col("place")
     at, before, behind = F.shiftright(place, 20), F.shiftright(place, 10).bitwiseAND(1023), place.bitwiseAND(1023)
