@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import whole_text_batches
 
 # --- fixed values: html element names by kind ---
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -217,6 +218,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) if isinstance(h, str) else "" for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
+    whole_text_batches(pages)
     kinds = dict(pages.dtypes)
     return pages.select("page_id", "url", "html").mapInPandas(
         run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
