@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import urls as u
 from ..operators import batch, cache, crawl, ladder, links, monitor, papers, research, search, selectors, serp, sitemap, usage
-from ..schemas import NOT_ATTEMPTED
 from ..session import cut_lineage, scratch_path
 from ..sources import documents as docs_source
 from ..sources import papers as papers_source
