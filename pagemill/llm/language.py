@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import whole_text_batches
 
 #: Bound of the labelled sample: so many training documents per language at most, whole texts.
 TRAIN_DOCUMENTS = 500
@@ -72,14 +73,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def _sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """Up to ``per_language`` labelled documents of each language, the first in a hash order."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """Up to ``per_language`` documents of each of at most MAX_LANGUAGES languages, the first in a hash order.
+
+    Ranks are taken of narrow rows; the chosen ones are few enough to go to the texts.
+    """
     order = F.xxhash64(F.lit("language"), "doc_id", "text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
     narrow = labelled.select("lang", "doc_id", order.alias("order"))
     chosen = narrow.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "order").distinct()
-    return labelled.withColumn("order", order).join(chosen, ["lang", "order"], "left_semi").select("lang", "text")
+    return labelled.withColumn("order", order).join(F.broadcast(chosen), ["lang", "order"], "left_semi").select("lang", "text")
 
 
 class LanguageFilter:
@@ -111,7 +114,11 @@ class LanguageFilter:
 
 def train_filter(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> LanguageFilter:
     """The filter of a bounded sample of ``docs`` (text, lang); the driver receives its slots, never the grams."""
-    sample = _sample(docs, per_language)
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    sample = _sample(labelled, per_language)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,9 +147,6 @@ def train_filter(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> Langua
         .select("lang", "gram")
     )
 
-    languages = sorted(r["lang"] for r in every.select("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
     place_of = {lang: i for i, lang in enumerate(languages)}
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,6 +169,7 @@ def identify_language(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     Null text and text without a letter give ``und`` and score 0, as does a model without languages. Ties
     go to the first language by code point. Equal rows get equal results, an empty table an empty one.
     """
+    whole_text_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
