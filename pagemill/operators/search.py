@@ -44,20 +44,22 @@ def search_corpus(
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct()
     fits = fits_broadcast(asked, broadcast_rows)
-    terms = asked.select("term").distinct()
+    # the empty term, which no text has, marks each document once: the corpus figures come from the same scan
+    terms = asked.select("term").unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     words = tokens(F.col(text))
-    corpus = docs.select(F.size(words).alias("dl")).agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")
-    )
-    stats = corpus.scalar()
     # a document's tokens sit in one row: occurrences are counted where they are read, counts are shuffled
-    listed = docs.select(doc_id, words.alias("words"))
-    tokenised = explode_once(listed, [doc_id, F.size("words").alias("dl")], "words", "at", "term")
-    tf = cut_lineage(
+    listed = docs.select(doc_id, words.alias("words")).select(doc_id, "words", F.size("words").alias("dl"))
+    tokenised = explode_once(listed, [doc_id, "dl"], F.array_append("words", F.lit("")), "at", "term")
+    counted = cut_lineage(
         join_checked(tokenised, terms, ["term"], doc_id, fits, "left_semi")
         .groupBy(doc_id, "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     )
+    corpus = counted.filter("term = ''").agg(
+        F.struct(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl")).alias("s")
+    )
+    stats = corpus.scalar()
+    tf = counted.filter("term <> ''")
     weights = asked.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select(
         query_id, "term", F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
