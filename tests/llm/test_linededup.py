@@ -85,3 +85,51 @@ def test_runs_cover_every_shared_block(words, data):
     keys = set(linededup.run_keys(h, w, 20).tolist())
     inside = set(linededup.run_keys(h[a:b], w[a:b], 20).tolist())
     assert inside and inside <= keys | inside and len(inside & keys) >= 1
+
+
+def contained(a, b, words, least):
+    """Lines of ``b`` in any stretch of ``least`` words that stands in ``a`` as it is, by looking at every stretch."""
+    gone = set()
+    for start in range(len(b)):
+        for end in range(start + 1, len(b) + 1):
+            if sum(words[start:end]) >= least and any(a[i : i + end - start] == b[start:end] for i in range(len(a))):
+                gone.update(range(start, end))
+    return gone
+
+
+def test_blocks_that_recur_or_cross(make):
+    p, q = ("\n".join(passage(f"{tag}{j}", 8) for j in range(4)) for tag in "pq")
+    own = {k: passage(k, 5) for k in "stuvwxyz"}
+    rows = [
+        (1, f"{own['s']}\n{p}\n{own['t']}\n{q}"),
+        (2, f"{own['u']}\n{p}\n{own['v']}\n{p}\n{own['w']}"),
+        (3, f"{q}\n{own['x']}\n{p}\n{own['y']}\n{q}\n{own['z']}\n{q}"),
+    ]
+    left = {r.doc_id: r.text for r in linededup.dedup_lines(make(rows)).collect()}
+    assert left == {1: rows[0][1], 2: "\n".join(own[k] for k in "uvw"), 3: "\n".join(own[k] for k in "xyz")}
+    # the first holder has it twice
+    rows = [(1, f"{p}\n{own['s']}\n{p}"), (2, f"{own['u']}\n{p}\n{own['v']}")]
+    left = {r.doc_id: r.text for r in linededup.dedup_lines(make(rows)).collect()}
+    assert left == {1: rows[0][1], 2: f"{own['u']}\n{own['v']}"}
+
+
+def test_against_every_stretch_of_earlier_documents(documents):
+    docs = documents.filter("doc_id % 2 = 0 AND n_chars < 6000")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs, least=8).collect()}
+    hashed = []
+    for doc_id, text in rows:
+        h, w = linededup.line_hashes(text)
+        at = np.flatnonzero(w > 0).tolist()
+        b, words = h[at].tolist(), w[at].tolist()
+        gone = {at[j] for a in hashed if set(a) & set(b) for j in contained(a, b, words, 8)}
+        assert got[doc_id] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+        hashed.append(b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), max_size=20))
+def test_no_shared_stretch_stays(a, b):
+    words = [3 + x for x in b]
+    gone = {j for start, end in linededup.common_blocks(a, b, words, 12) for j in range(start, end)}
+    assert gone == contained(a, b, words, 12)
