@@ -2,8 +2,9 @@
 
 Every node of the page tree gets a density: characters per tag, cut down where the characters sit in
 links. The density sum of a node adds the densities of its children; the subtree with the largest sum is
-the article, and the smallest density on the way from it to the body is the threshold below which parts
-inside it are dropped. Trees are built page by page inside the tasks; pages never meet.
+the core of the article, and the smallest density on the way from it to the body is the threshold. The
+article element round the core is the article; without one, each other subtree that reaches the threshold
+belongs to it as well. Trees are built page by page inside the tasks; pages never meet.
 """
 
 from __future__ import annotations
@@ -153,6 +154,32 @@ def _measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _dense_parts(nodes: list[Node], body: Node, best: Node, threshold: float) -> list[Node]:
+    """In page order, the subtree with the largest sum inside each block of ``body`` that reaches ``threshold``."""
+    top: dict[int, Node] = {}
+    for node in reversed(nodes):
+        inner = [top[id(p)] for p in node.parts if isinstance(p, Node) and not p.aside]
+        top[id(node)] = max([node, *inner], key=lambda n: (n.total, n.chars))
+    dense, stack = {id(best)}, [body]
+    while stack:
+        node = stack.pop()
+        if node is best:
+            continue
+        if node is not body and node.chars and node.density >= threshold:
+            dense.add(id(top[id(node)]))
+            if top[id(node)] is node:
+                continue
+        stack.extend(p for p in node.parts if isinstance(p, Node) and not p.aside and p.tag not in INLINE)
+    found, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if id(node) in dense:
+            found.append(node)
+        else:
+            stack.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.aside)
+    return found
+
+
 def main_text(html: str) -> str:
     """The article of a page: blocks in page order, joined by one space."""
     tree = _Tree()
@@ -165,12 +192,13 @@ def main_text(html: str) -> str:
     if best.total <= 0.0:
         best = body
     # the subtree with the largest sum; it grows to the article element around it
+    in_article = False
     for n in named:
         at = best
         while at is not None and at is not n:
             at = at.parent
         if at is n:
-            best = n
+            best, in_article = n, True
     threshold, at = best.density, best
     while at is not None:
         if at.chars and at.density:
@@ -185,7 +213,9 @@ def main_text(html: str) -> str:
             blocks.append(text)
         current.clear()
 
-    stack: list = [best]
+    roots = [best] if in_article or best is body else _dense_parts(nodes, body, best, threshold)
+    chosen = set(roots)
+    stack: list = [x for part in reversed(roots) for x in (None, part)]
     while stack:
         part = stack.pop()
         if part is None:
@@ -193,7 +223,7 @@ def main_text(html: str) -> str:
         elif isinstance(part, str):
             current.append(part)
         elif not part.aside:
-            if part is not best and part.tag != "a" and part.tag not in INLINE and part.chars:
+            if part not in chosen and part.tag != "a" and part.tag not in INLINE and part.chars:
                 if part.density < threshold and 2 * part.link_chars > part.chars:
                     continue
             if part.tag in INLINE:

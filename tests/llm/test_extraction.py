@@ -55,3 +55,17 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.url, r.n_chars) for r in extraction.extract_main_text(pages).collect()), key=repr)
     assert got == sorted([(1, "u", 0), (2, None, 0), (3, "w", 249_999), (4, "x", 1), (4, "x", 1), (None, None, 1)], key=repr)
     assert extraction.extract_main_text(pages.limit(0)).count() == 0
+
+
+def prose(tag, n, size):
+    """n paragraphs of about ``size`` characters."""
+    return [" ".join(f"{tag}{k}word{i}" for i in range(size // 9)) + "." for k in range(n)]
+
+
+@pytest.mark.parametrize("counts", [(3, 3), (6, 6, 6), (2, 5, 1, 3)])
+@pytest.mark.parametrize("wrap", ["section", "div"])
+def test_articles_in_several_sections(counts, wrap):
+    parts = [[f"Part {k} of it", *prose("abcd"[k], n, 450)] for k, n in enumerate(counts)]
+    body = "".join(f"<{wrap}><h2>{x[0]}</h2>{''.join(f'<p>{t}</p>' for t in x[1:])}</{wrap}>" for x in parts)
+    for page in (f"<body><div>{MENU}</div>{body}<div>{MENU}</div></body>", f"<body><ul>{MENU}</ul><div><div>{body}</div></div>"):
+        assert extraction.main_text(page) == " ".join(t for x in parts for t in x)
