@@ -29,6 +29,8 @@ INLINE = frozenset(
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Names in class, id or role that mark parts which are not the article.
 NOTICE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu "
@@ -36,14 +38,24 @@ NOTICE = frozenset(
     "consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended pagination pager toolbar complementary contentinfo search skip".split()
 )
+#: Those of them that say where a part stands, not what its text is: layouts use them for the article as well.
+PLACES = frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets footer header masthead overlay social "
+    "related recommended toolbar complementary contentinfo search skip".split()
+)
 # --- end of fixed values ---
 
+#: A place name that covers more than this share of a page's text names its layout; any other name, the second share.
+MOST_TEXT, ALL_TEXT = 0.5, 0.9
+#: Characters from which a part of the article with a place name can be prose.
+PROSE_CHARS = 140
+
 
 class Node:
     __slots__ = ("tag", "parent", "parts", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False):
-        self.tag, self.parent, self.aside, self.named = tag, parent, aside, False
+        self.tag, self.parent, self.aside, self.named = tag, parent, aside, frozenset()
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -70,19 +82,20 @@ class _Tree(HTMLParser):
             self._close("p", CLOSES_P - {"p"})
         elif tag in ("li", "dt", "dd", "tr", "td", "th"):
             self._close(tag, {"ul", "ol", "dl", "table", "tr"} - {tag})
-        if tag == "body":
-            self._close("head", set())
+        if tag not in IN_HEAD:
+            self._close("head", NO_TEXT - {"head"})
         if tag in ("article", "main"):
             # a part that holds the article is none of the furniture, whatever it is called
             node = self.at
             while node is not None:
-                node.aside = node.aside and not node.named
+                node.named = frozenset()
                 node = node.parent
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        marked = tag not in ("html", "body", "article", "main") and bool(_names(attrs) & NOTICE)
+        plain = tag not in ("html", "body", "article", "main") and tag not in HEADINGS
         furniture = tag in FURNITURE and not (tag == "header" and self._in_article())
-        node = Node(tag, self.at, hidden or marked or furniture or tag in NO_TEXT)
-        node.named = marked and not (hidden or furniture or tag in NO_TEXT)
+        node = Node(tag, self.at, hidden or furniture or tag in NO_TEXT)
+        if plain and not node.aside:
+            node.named = frozenset(_names(attrs) & NOTICE)
         self.at.parts.append(node)
         if tag not in VOID:
             self.at = node
@@ -115,6 +128,8 @@ class _Tree(HTMLParser):
         return j  # line numbers are not needed
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self._close("head", ())
         self.at.parts.append(data)
 
 
@@ -128,6 +143,45 @@ def _inside_out(root: Node) -> list[Node]:
     return found
 
 
+def _name_furniture(root: Node) -> None:
+    """Set aside what its name and its text mark as furniture.
+
+    A name that covers the text of a page says nothing about a part of it. Inside an article or main element,
+    a part that is named for its place stays if it is prose: long enough and not mostly links.
+    """
+    nodes = _inside_out(root)
+    if not any(n.named for n in nodes):
+        return
+    chars: dict[int, list[int]] = {}
+    for node in reversed(nodes):
+        own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+        inner = [chars[id(p)] for p in node.parts if isinstance(p, Node) and not p.aside]
+        every, linked = own + sum(c for c, _ in inner), sum(x for _, x in inner)
+        chars[id(node)] = [every, every if node.tag == "a" else linked]
+    plain = {k: every - linked for k, (every, linked) in chars.items()}
+    covered: dict[str, int] = {}
+    stack: list[tuple[Node, frozenset]] = [(root, frozenset())]
+    while stack:
+        node, above = stack.pop()
+        for name in node.named - above:
+            covered[name] = covered.get(name, 0) + plain[id(node)]
+        above = above | node.named
+        stack.extend((p, above) for p in node.parts if isinstance(p, Node) and not p.aside)
+    layout = {x for x, n in covered.items() if n > (MOST_TEXT if x in PLACES else ALL_TEXT) * plain[id(root)]}
+    walk = [(root, False)]
+    while walk:
+        node, inside = walk.pop()
+        inside = inside or node.tag in ("article", "main")
+        every, linked = chars[id(node)]
+        names = node.named
+        if not 2 * linked > every:
+            names = names - layout
+            if inside and plain[id(node)] >= PROSE_CHARS:
+                names = names - PLACES
+        node.aside = node.aside or bool(names)
+        walk.extend((p, inside) for p in node.parts if isinstance(p, Node) and not p.aside)
+
+
 def _measure(root: Node) -> list[Node]:
     nodes = _inside_out(root)
     for node in reversed(nodes):
@@ -185,6 +239,7 @@ def main_text(html: str) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _name_furniture(tree.root)
     nodes = _measure(tree.root)
     named = [n for n in nodes if n.tag in ("article", "main") and n.chars]
     body = next((n for n in nodes if n.tag == "body"), tree.root)
@@ -204,7 +259,7 @@ def main_text(html: str) -> str:
         if at.chars and at.density:
             threshold = min(threshold, at.density)
         at = at.parent if at is not body else None
-    # parts of mostly linked text whose density is below all of the body path are lists of links
+    # outside an article element, mostly linked parts whose density is below all of the body path are menus
     blocks, current = [], []
 
     def end_block():
@@ -223,7 +278,7 @@ def main_text(html: str) -> str:
         elif isinstance(part, str):
             current.append(part)
         elif not part.aside:
-            if part not in chosen and part.tag != "a" and part.tag not in INLINE and part.chars:
+            if not in_article and part not in chosen and part.tag != "a" and part.tag not in INLINE and part.chars:
                 if part.density < threshold and 2 * part.link_chars > part.chars:
                     continue
             if part.tag in INLINE:

@@ -69,3 +69,27 @@ def test_articles_in_several_sections(counts, wrap):
     body = "".join(f"<{wrap}><h2>{x[0]}</h2>{''.join(f'<p>{t}</p>' for t in x[1:])}</{wrap}>" for x in parts)
     for page in (f"<body><div>{MENU}</div>{body}<div>{MENU}</div></body>", f"<body><ul>{MENU}</ul><div><div>{body}</div></div>"):
         assert extraction.main_text(page) == " ".join(t for x in parts for t in x)
+
+
+LONG = [f"<p>{t}</p>" for t in prose("s", 6, 450)]
+SAID = " ".join(prose("s", 6, 450))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><article><h2 id='related-work'>Related work</h2>{LONG[0]}<h2 id=search>Search</h2>{''.join(LONG[1:])}</article></body>",
+         f"Related work {SAID[: len(prose('s', 1, 450)[0])]} Search {SAID[len(prose('s', 1, 450)[0]) + 1 :]}"),
+        (f"<body><nav>{MENU}</nav><div class='page sidebar-left'><div class=nav>{MENU}</div><div>{''.join(LONG)}</div></div></body>", SAID),
+        ("<body>" + "".join(f"<div class='elementor-widget'><div class='elementor-widget-container'>{p}</div></div>" for p in LONG) + "</body>", SAID),
+        (f"<body><article>{''.join(LONG[:5])}<section class=related>{LONG[5]}</section><div class=related>{MENU}</div></article></body>", SAID),
+        (f"<html><head><title>x</title><meta name=a><p>{LONG[0][3:]}{''.join(LONG[1:])}", SAID),
+        (f"<head><title>x</title><div id=page>{''.join(LONG)}</div>", SAID),
+        ("<head><title>x</title>bare words", "bare words"),
+        (f"<body><article>{''.join(LONG)}<h2>Sources</h2><ul><li><a href='/a'>First source</a></li><li><a href='/b'>Second source</a></li></ul></article>",
+         SAID + " Sources First source Second source"),
+        (f"<body><div>{''.join(LONG)}</div><div class='comments'>{TALK}</div><div class=widget><p>About us, in a few words</p></div>", SAID),
+    ],
+)
+def test_names_and_heads_do_not_empty_a_page(page, text):
+    assert extraction.main_text(page) == text
