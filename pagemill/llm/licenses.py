@@ -2,7 +2,8 @@
 
 A candidate block is a run of lines round words that licenses use. It is compressed alone and with each
 template as a zstandard raw dictionary; templates rank by the bytes they save. Winners are confirmed by the
-exact differences of wording between the template and the place of the block that it fits.
+exact differences of wording between the template and the place of the block that it fits. Names, SPDX tags
+and other customary short wordings, too short for a compressor, come from a table of license names.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ MIN_GAIN = 6
 #: Differing words allowed, as a share of the template's words.
 MAX_DIFFERENCE = 0.1
 LEVEL = 6
+#: Templates with fewer words are short wordings; a named license is compared with them.
+SHORT_WORDS = 20
 
-_CUE = re.compile(r"licen[cs]|copyright|\(c\)|©|rights reserved|permission|redistribut|warrant|public domain|spdx", re.I)
+_CUE = re.compile(r"licen[cs]|copyright|\(c\)|©|rights reserved|permission|redistribut|warrant|public domain|spdx|\b[al]?gpl|\bcc[ -]?(?:by|0)\b|creative commons|"
+    r"(?:released|distributed|available|published|provided|offered|issued|shared) under", re.I)
 _WORD = re.compile(r"\w+(?:[.'-]\w+)*")
 
 # --- fixed values: wordings of common licenses ---
@@ -77,9 +81,94 @@ TEMPLATES = {
         "that the above copyright notice and this permission notice appear in all copies."
     ),
     "all-rights-reserved": "All rights reserved.",
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright "
+        "holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific "
+        "prior written permission."
+    ),
+    "LGPL-3.0-header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
 }
+_LICENSE = "(?:public )?licen[cs]e"
+
+
+def _version(n: str) -> str:
+    return rf"[ -]?(?:version |v |v\.?)?{n.removesuffix('.0')}{r'(?:\.0)?' if n.endswith('.0') else ''}"
+
+
+def _gnu(kind: str, letter: str, n: str) -> str:
+    return rf"(?:gnu )?(?:{kind}general {_LICENSE}|{letter}gpl(?: licen[cs]e)?){_version(n)}(?:[ -](?:only|or[ -](?:any )?later(?: version)?))?"
+
+
+#: Names of licenses, as lower-case words without punctuation: a name must be whole, with its version.
+NAMES = {
+    "MIT": "(?:mit|expat)(?: licen[cs]e)?",
+    "Apache-2.0": rf"(?:apache(?: software)?|asl)(?: licen[cs]e)?{_version('2.0')}(?: licen[cs]e)?",
+    **{f"GPL-{n}": _gnu("", "", n) for n in ("2.0", "3.0")},
+    **{f"LGPL-{n}": _gnu("(?:lesser|library) ", "l", n) for n in ("2.0", "2.1", "3.0")},
+    "AGPL-3.0": _gnu("affero ", "a", "3.0"),
+    "MPL-2.0": rf"(?:mozilla {_LICENSE}|mpl){_version('2.0')}",
+    **{f"EPL-{n}": rf"(?:eclipse {_LICENSE}|epl){_version(n)}" for n in ("1.0", "2.0")},
+    "BSD-3-Clause": "(?:bsd[ -](?:3|three)[ -]clause|(?:3|three)[ -]clause bsd|(?:new|modified|revised) bsd)(?: licen[cs]e)?",
+    "BSD-2-Clause": "(?:bsd[ -](?:2|two)[ -]clause|(?:2|two)[ -]clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?",
+    "ISC": "isc(?: licen[cs]e)?",
+    "Unlicense": "unlicense",
+    "CC0-1.0": rf"(?:creative commons zero|(?:creative commons )?cc0)(?:{_version('1.0')})?(?: universal)?",
+    **{
+        f"CC-{short.upper()}-{n}": (
+            rf"(?:cc[ -]{short.replace('-', '[ -]')}|creative commons {long.replace('-', '[ -]')})[ -](?:version |v)?{re.escape(n)}"
+            "(?: (?:international|unported|generic))?(?: (?:public )?licen[cs]e)?"
+        )
+        for short, long in (
+            ("by", "attribution"), ("by-sa", "attribution-share-?alike"), ("by-nc", "attribution-non-?commercial"),
+            ("by-nd", "attribution-no-?deriv(?:ative)?s"), ("by-nc-sa", "attribution-non-?commercial-share-?alike"),
+            ("by-nc-nd", "attribution-non-?commercial-no-?deriv(?:ative)?s"),
+        )
+        for n in ("1.0", "2.0", "2.5", "3.0", "4.0")
+    },
+}
+#: Words before a name that put a work under it.
+_BEFORE = (
+    "spdx-license-identifier|(?:licen[cs]ed|released|distributed|available|published|provided|offered|issued|shared|is|are)"
+    "(?: to you)? under|covered by|governed by|subject to|under the (?:terms|conditions)(?: and conditions)? of"
+)
+_BETWEEN = "(?: (?:the|a|an|terms|conditions|and|of|their|its))*"
+#: A name of these needs no word before it: with its version, it stands for nothing else.
+_BARE = ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+#: Words that tell licenses of nearly one wording apart: no template fits where one of them differs.
+TELLING = frozenset("affero lesser library noncommercial sharealike noderivatives international".split())
 # --- end of fixed values ---
 
+_SHORT = [
+    (name, re.compile(rf"(?<!\S)(?:(?:{_BEFORE}){_BETWEEN} {said}{rf'|(?=[al]?gpl){said}' if name in _BARE else ''})(?!\S)"))
+    for name, said in NAMES.items()
+]
+
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
@@ -114,6 +203,8 @@ class TemplateSet:
     """Templates with their words and a compressor primed with each of them."""
 
     def __init__(self, templates: dict[str, str]):
+        self.named = templates is TEMPLATES  # a caller's own templates are all that counts
+        self.texts = {name: words_of(text) for name, text in templates.items()}
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.templates = []
         for name, text in templates.items():
@@ -160,6 +251,24 @@ def differences(template: list[str], words: list[str]) -> tuple[int, int, list[s
     return low + keep[0].b, low + b, changes
 
 
+def _told_apart(changes: list[str]) -> bool:
+    """Whether a change touches the name of a license or takes its version; numbers put in may count clauses."""
+    return any(c[1:] in TELLING or re.fullmatch(r"-[0-9]+(\.[0-9]+)*", c) for c in changes)
+
+
+def named_licenses(words: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(name, first word, end) of the short wordings among the words; taken words are empty."""
+    said = " ".join(words)
+    if not said.strip():
+        return
+    hits = sorted((m.start(), -m.end(), name) for name, pattern in _SHORT for m in pattern.finditer(said))
+    upto = -1
+    for start, end, name in hits:
+        if start > upto:
+            upto = -end
+            yield name, said.count(" ", 0, start), said.count(" ", 0, upto) + 1
+
+
 def licenses_of(text: str, templates: TemplateSet) -> list[tuple]:
     """(name, line of the block, word of the block, words, bytes saved, differences, changes) of each license found."""
     found = []
@@ -169,12 +278,17 @@ def licenses_of(text: str, templates: TemplateSet) -> list[tuple]:
             more = False
             for gain, name, said in templates.ranked(left, lines):
                 fit = differences(said, left)
-                if fit is None or len(fit[2]) > MAX_DIFFERENCE * len(said):
+                if fit is None or len(fit[2]) > MAX_DIFFERENCE * len(said) or _told_apart(fit[2]):
                     continue
                 left[fit[0] : fit[1]] = [""] * (fit[1] - fit[0])  # taken
                 lines = left
                 found.append((name, line, fit[0], fit[1] - fit[0], gain, len(fit[2]), " ".join(fit[2])))
                 more = True
+        for name, start, end in named_licenses(left) if templates.named else ():
+            short = templates.texts.get(name, [])
+            fit = differences(short, left[start:end]) if len(short) < SHORT_WORDS else None
+            changes = fit[2] if fit else []
+            found.append((name, line, start, end - start, 0, len(changes), " ".join(changes)))
     return found
 
 
@@ -182,7 +296,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     """One row per license found: doc_id, license, line, word, n_words, gain, n_changes, changes.
 
     Blocks cover the whole text. A license may occur more than once in a document; a word of a block belongs
-    to one license, that with the greater gain. Null and empty texts have none; equal rows give equal rows;
+    to one license, that with the greater gain. Short wordings by name have gain 0 and the changes against the
+    short template of their license, if there is one. Null and empty texts have none; equal rows give equal rows;
     an empty table gives an empty result. Of the input only doc_id and text are read.
     """
     wordings = TEMPLATES if templates is None else templates

@@ -44,3 +44,40 @@ def test_whole_table_and_odd_rows(documents, odd, nothing):
     want = sorted((r.doc_id, k) for r in documents.collect() for k, v in lines.items() for _ in range(r.text.count(v)))
     assert sorted((r.doc_id, r.license) for r in rows) == want
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(nothing).count() == 0
+
+
+@pytest.mark.parametrize(
+    "line, name",
+    [
+        ("Licensed under the MIT License", "MIT"),
+        ("This code is distributed under the terms of the MIT license.", "MIT"),
+        ("Licensed under the Apache License 2.0", "Apache-2.0"),
+        ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+        ("GPL v3", "GPL-3.0"),
+        ("Released under the GNU GPL version 2 or later.", "GPL-2.0"),
+        ("It is licensed under the GNU Lesser General Public License v2.1", "LGPL-2.1"),
+        ("Released under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("Available under the 2-clause BSD license", "BSD-2-Clause"),
+        ("The text is available under CC BY-NC-SA 3.0", "CC-BY-NC-SA-3.0"),
+        ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"),
+        ("Published under the Mozilla Public License 2.0", "MPL-2.0"),
+    ],
+)
+def test_customary_short_wordings(line, name):
+    for text in (line, f"some prose before it\n{line}\nand after"):
+        assert [x[0] for x in licenses.licenses_of(text, T)] == [name]
+
+
+def test_a_name_needs_its_version_and_its_words():
+    for text in ("Licensed under the Apache License 1.1", "Licensed under CC BY-NC-XX 4.0", "License mit der Bahn", "released under the MITRE license"):
+        assert found(text) == []
+    assert [x[:4] for x in licenses.licenses_of("a b\nLicensed under the MIT License or under it", T)] == [("MIT", 0, 2, 5)]
+
+
+def test_gnu_headers_and_third_clause_are_kept_apart():
+    for name in ("GPL-3.0-header", "GPL-2.0-header", "AGPL-3.0-header", "LGPL-2.1-header", "LGPL-3.0-header", "BSD-2-Clause", "BSD-3-Clause"):
+        assert found(licenses.TEMPLATES[name]) == [(name, 0)]
+    numbered = licenses.TEMPLATES["BSD-3-Clause"].replace("met: R", "met: 1. R").replace("disclaimer. R", "disclaimer. 2. R").replace("Neither", "3. Neither")
+    assert [x[0] for x in licenses.licenses_of(numbered, T)] == ["BSD-3-Clause"]
