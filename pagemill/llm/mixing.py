@@ -3,7 +3,8 @@
 Documents are aggregated by the set of sources they belong to. Each pattern can give its words once for
 nothing and again at a rising price (convex repetition costs); each source can take its quota. The cheapest
 flow says how many words every pattern gives; inside a pattern a seeded order says which documents give
-them. Only one row per pattern ever reaches the driver.
+them. Only one row per pattern ever reaches the driver. Where each document has one source and there are
+too many sources for the driver, the same targets and passes come from windows over the sources.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import count_words, whole
 
 MAX_REPEATS = 3
 SEED = "mix-1"
-#: Most membership patterns the flow is solved for; more raise an error instead of a partial mix.
+#: Most membership patterns the flow is solved for; with more, overlapping ones raise an error instead of a partial mix.
 MAX_PATTERNS = 4096
 BUCKET_DIGITS = 3
 
@@ -111,30 +112,45 @@ def _order_key(seed: str) -> Column:
     return F.md5(row.cast("binary"))
 
 
-def mix_sources(
-    docs: DataFrame,
-    members: Column | None = None,
-    quotas: dict | None = None,
-    weights: Sequence[int] = (1, 2, 3),
-    repeats: int = MAX_REPEATS,
-    seed: str = SEED,
-) -> DataFrame:
-    """All rows of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_taken`` (words, repeats counted).
+def _plan_of_many(patterns: DataFrame, quotas: dict | None, weights: Sequence[int], repeats: int) -> DataFrame:
+    """The plan of single sources by windows: what ``shared_targets`` and the flow give, for any number of them."""
+    sized = patterns.withColumn("source", F.get("mix_members", F.lit(0)))
+    if quotas is not None:
+        given = patterns.sparkSession.createDataFrame([(k, float(t)) for k, t in quotas.items()], "q_source string, quota double")
+        targets = sized.join(given, F.col("source").eqNullSafe(F.col("q_source")), "left").withColumn("target", F.coalesce("quota", F.lit(0.0)))
+    else:
+        turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
+        level = Window.orderBy(F.col("size").cast("double") / F.col("weight"), F.col("source").asc_nulls_last())
+        big = lambda c: c.cast("decimal(38,0)")
+        below = F.coalesce(F.sum("size").over(level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = sized.withColumn("weight", F.get(F.array(*[F.lit(int(w)) for w in weights]), turn).cast("long")).select(
+            "*",
+            F.row_number().over(level).alias("pos"),
+            (F.sum("size").over(Window.partitionBy()) - repeats * below).alias("left"),
+            F.sum("weight").over(level.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("weight_left"),
+        )
+        shared = big(repeats * F.col("size")) * F.col("weight_left") >= big(F.col("left")) * F.col("weight")
+        first = ranked.filter(shared).agg(F.min(F.struct("pos", "left", "weight_left")).alias("f"))
+        targets = ranked.crossJoin(F.broadcast(first)).withColumn(
+            "target",
+            F.when(F.col("f").isNull() | (F.col("pos") < F.col("f.pos")), (repeats * F.col("size")).cast("double")).otherwise(
+                (F.col("weight") * F.col("f.left")).cast("double") / F.col("f.weight_left")
+            ),
+        )
+    total = F.least(F.floor("target").cast("long"), repeats * F.col("size"))
+    return targets.select(
+        F.col("mix_members").alias("mix_p_members"),
+        total.alias("_total"), F.col("size").alias("mix_p_source_size"), F.col("target").alias("mix_p_target"),
+    ).select(
+        "mix_p_members",
+        F.when(F.col("mix_p_source_size") > 0, F.expr("_total div mix_p_source_size")).otherwise(0).cast("long").alias("mix_p_passes"),
+        F.when(F.col("mix_p_source_size") > 0, F.expr("_total % mix_p_source_size")).otherwise(0).cast("long").alias("mix_p_rest"),
+        "mix_p_source_size", "mix_p_target",
+    )
 
-    ``members`` is an array of the sources a document belongs to; by default its ``source`` alone. Without
-    ``quotas`` the targets are ``shared_targets``. Every document is taken a whole number of times, at most
-    ``repeats``; within a pattern the counts differ by one at most. Null text is empty (size 0, taken 0),
-    a null source is a source of its own, equal rows are treated alike, an empty table stays empty.
-    Columns whose names begin with ``mix_`` are replaced.
-    """
-    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    members = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(members))
-    sized = docs.withColumns({"mix_members": members, "mix_size": count_words(whole("text")), "mix_key": _order_key(seed)})
-    narrow = cut_lineage(sized.select("mix_members", "mix_size", "mix_key"))
 
-    patterns = narrow.groupBy("mix_members").agg(F.sum("mix_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+def _plan(docs: DataFrame, patterns: list, quotas: dict | None, weights: Sequence[int], repeats: int) -> DataFrame:
+    """Passes and rest of every pattern by the flow."""
     supply = sorted(((tuple(r[0] or ()), r[1] or 0) for r in patterns), key=lambda p: [(s is None, s or "") for s in p[0]])
     sizes: dict = {}
     for pattern, size in supply:
@@ -150,19 +166,47 @@ def mix_sources(
         targets = {s: float(t) for s, t in quotas.items()}
     flow = cheapest_flow(supply, targets, repeats)
 
-    spark = docs.sparkSession
     plan_rows = []
     for (pattern, size), sent in zip(supply, flow):
         total = sum(sent.values())
         passes, rest = divmod(total, size) if size else (0, 0)
         first = pattern[0] if pattern else None
         plan_rows.append((list(pattern), passes, rest, sizes.get(first, 0), targets.get(first, 0.0)))
-    plan = F.broadcast(  # at most MAX_PATTERNS rows
-        spark.createDataFrame(
-            plan_rows, "mix_p_members array<string>, mix_p_passes long, mix_p_rest long, mix_p_source_size long, mix_p_target double"
-        )
+    return docs.sparkSession.createDataFrame(
+        plan_rows, "mix_p_members array<string>, mix_p_passes long, mix_p_rest long, mix_p_source_size long, mix_p_target double"
     )
 
+
+def mix_sources(
+    docs: DataFrame,
+    members: Column | None = None,
+    quotas: dict | None = None,
+    weights: Sequence[int] = (1, 2, 3),
+    repeats: int = MAX_REPEATS,
+    seed: str = SEED,
+) -> DataFrame:
+    """All rows of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_taken`` (words, repeats counted).
+
+    ``members`` is an array of the sources a document belongs to; by default its ``source`` alone. Without
+    ``quotas`` the targets are ``shared_targets``. Every document is taken a whole number of times, at most
+    ``repeats``; within a pattern the counts differ by one at most. Null text is empty (size 0, taken 0),
+    a null source is a source of its own, equal rows are treated alike, an empty table stays empty.
+    Columns whose names begin with ``mix_`` are replaced.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
+    single = members is None
+    members = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(members))
+    sized = docs.withColumns({"mix_members": members, "mix_size": count_words(whole("text")), "mix_key": _order_key(seed)})
+    narrow = cut_lineage(sized.select("mix_members", "mix_size", "mix_key"))
+
+    grouped = narrow.groupBy("mix_members").agg(F.sum("mix_size").alias("size"))
+    patterns = grouped.limit(MAX_PATTERNS + 1).collect()
+    many = len(patterns) > MAX_PATTERNS
+    if many and not single:
+        raise ValueError(f"more than {MAX_PATTERNS} overlapping membership patterns")
+    small = F.broadcast if not many else lambda df: df  # at most MAX_PATTERNS rows
+    plan = small(cut_lineage(_plan_of_many(grouped, quotas, weights, repeats)) if many else _plan(docs, patterns, quotas, weights, repeats))
+
     # the last pass over a pattern stops at a key: found by hash buckets, then inside one bucket
     def planned(df: DataFrame) -> DataFrame:
         return df.join(plan, F.col("mix_members").eqNullSafe(F.col("mix_p_members")), "left")
@@ -178,7 +222,7 @@ def mix_sources(
         .select("mix_e_members", "e.bucket", "e.room")
     )
     inside = narrow.join(
-        F.broadcast(edge), F.col("mix_members").eqNullSafe(F.col("mix_e_members")) & (bucket == F.col("bucket"))
+        small(edge), F.col("mix_members").eqNullSafe(F.col("mix_e_members")) & (bucket == F.col("bucket"))
     )
     # equal keys go together; the key at the edge is taken if that comes nearer to the room left
     by_key = Window.partitionBy("mix_e_members", "bucket", "room").orderBy("mix_key")
@@ -190,7 +234,7 @@ def mix_sources(
         .agg(F.max(F.when(2 * F.col("upto") - F.col("words") <= 2 * F.col("room"), F.col("mix_key"))).alias("mix_e_last"))
         .select("mix_e_members", F.coalesce("mix_e_last", "bucket").alias("mix_e_last"))
     )
-    stops = F.broadcast(cut_lineage(last))  # at most one row per pattern
+    stops = small(cut_lineage(last))  # at most one row per pattern
     once_more = F.coalesce(F.col("mix_key") <= F.col("mix_e_last"), F.lit(True)).cast("long")
     return (
         planned(sized)

@@ -86,3 +86,12 @@ def test_sql_agrees(spark, small):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
     want = sorted(con.sql(queries.ORACLES["op9_mix_sources"]).select("doc_id, size, source_size, target, taken").fetchall())
     assert sorted(map(tuple, queries.op9_mix_sources(spark, small).collect())) == want
+
+
+def test_more_sources_than_the_driver_takes(spark, make, documents, monkeypatch):
+    rows = [(i, " ".join(["w"] * (1 + i % 13 + (400 if i % 1000 == 0 else 0))), "en", f"host{i % 4200}") for i in range(5000)]
+    check(mixing.mix_sources(make([*rows, (9000, "no source here", "en", None)])))
+    quotas = {r.source: 700 for r in documents.select("source").distinct().collect()}
+    want = [sorted(map(tuple, mixing.mix_sources(documents, **k).collect())) for k in ({}, {"quotas": quotas})]
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    assert [sorted(map(tuple, mixing.mix_sources(documents, **k).collect())) for k in ({}, {"quotas": quotas})] == want
