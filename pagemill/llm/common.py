@@ -34,3 +34,12 @@ def whole_text_batches(df: DataFrame, rows: int = 1000) -> None:
     held = int(df.sparkSession.conf.get(key))
     if held <= 0 or held > rows:
         df.sparkSession.conf.set(key, str(rows))
+
+
+def finite_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """Rows whose vector is neither null nor empty and has only finite components."""
+
+    def finite(x: Column) -> Column:
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+
+    return df.filter(F.coalesce(F.size(column) > 0, F.lit(False)) & F.coalesce(F.forall(column, finite), F.lit(False)))

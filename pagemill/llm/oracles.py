@@ -1,5 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
+from .centroids import CLUSTERS, COMPONENTS, ROUNDS, SCALE
+from .centroids import SEED as HASH_SEED
 from .mixing import SEED
 from .quality import MAX_DOCS_PER_HOST, MAX_REPEAT_PERCENT, MIN_KEPT_PERCENT, MIN_WORDS
 
@@ -66,3 +68,37 @@ c AS (
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)
 SELECT *, NOT base_failed AND 100 * (n_words - n_common_words) >= {MIN_KEPT_PERCENT} * n_words AS kept FROM f
 """
+
+
+def _rounds() -> str:
+    """Assignments a0, a1, ... to centroids c0, c1, ...: the smallest distance, then the smallest number."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (
+  SELECT rid, c, sum((v.x - k.x) * (v.x - k.x)) AS d FROM v JOIN c{r} k USING (i) GROUP BY rid, c),
+a{r} AS MATERIALIZED (
+  SELECT rid, c, d FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS n FROM d{r}) WHERE n = 1)""")
+        if r < ROUNDS:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT k.c, k.i, coalesce(m.x, k.x) AS x
+  FROM c{r} k LEFT JOIN (
+    SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM v JOIN a{r} USING (rid) GROUP BY c, i
+  ) m ON k.c = m.c AND k.i = m.i)""")
+    return ",\n".join(steps)
+
+
+CENTROID_CLUSTERING = f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {COMPONENTS} AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {COMPONENTS}),
+v AS MATERIALIZED (
+  SELECT rid, unnest(range({COMPONENTS})) AS i, CAST(floor({SCALE} * CAST(unnest(embedding) AS DOUBLE)) AS HUGEINT) AS x FROM e),
+s AS (SELECT rid, row_number() OVER (ORDER BY sha256('{HASH_SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) - 1 AS c FROM e),
+c0 AS MATERIALIZED (SELECT c, i, x FROM s JOIN v USING (rid) WHERE c < {CLUSTERS}),
+{_rounds()},
+t AS (SELECT c, sum(d) AS inertia FROM a{ROUNDS} GROUP BY c),
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS hash FROM c{ROUNDS} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(t.inertia AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(inertia) FROM t) AS BIGINT) AS inertia, hash AS centroid_sha256
+FROM a{ROUNDS} JOIN e USING (rid) JOIN t USING (c) JOIN h USING (c)
+"""

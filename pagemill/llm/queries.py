@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    centroids,
     decontamination,
+    embeddings,
     extraction,
     language,
     licenses,
@@ -68,6 +70,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -79,9 +89,12 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_mix_sources": op9_mix_sources,
     "op10_main_text": op10_main_text,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": oracles.QUALITY_RULES,
     "op9_mix_sources": oracles.MIX_SOURCES,
+    "op13_centroid_clustering": oracles.CENTROID_CLUSTERING,
 }
