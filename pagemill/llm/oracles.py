@@ -2,6 +2,7 @@
 
 from .centroids import CLUSTERS, COMPONENTS, ROUNDS, SCALE
 from .centroids import SEED as HASH_SEED
+from .collocations import HELD_PERCENT, LOWER, MAX_WORDS, MIN_COUNT, SCORE_UNIT, TOP, UPPER
 from .mixing import SEED
 from .quality import MAX_DOCS_PER_HOST, MAX_REPEAT_PERCENT, MIN_KEPT_PERCENT, MIN_WORDS
 
@@ -102,3 +103,30 @@ SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAS
   CAST((SELECT sum(inertia) FROM t) AS BIGINT) AS inertia, hash AS centroid_sha256
 FROM a{ROUNDS} JOIN e USING (rid) JOIN t USING (c) JOIN h USING (c)
 """
+
+COLLOCATIONS = f"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER.decode()}', '{LOWER.decode()}') AS t FROM documents)),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, {MAX_WORDS + 1})) AS k)),
+f AS MATERIALIZED (
+  SELECT lang, phrase, k, count(*) AS f
+  FROM (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM s) GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+q AS (
+  SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, CAST({SCORE_UNIT} * CAST(a AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1 : cut], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1 : k], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS turn FROM q) WHERE turn = 1),
+h AS (
+  SELECT lang, array_to_string(ws[pos : pos + size - 1], ' ') AS phrase, max(f) AS holder
+  FROM (SELECT lang, f, ws, size, unnest(range(1, k - size + 2)) AS pos
+    FROM (SELECT lang, f, k, string_split(phrase, ' ') AS ws, unnest(range(2, k)) AS size FROM f WHERE k > 2))
+  GROUP BY ALL)
+SELECT * FROM (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+  FROM b JOIN n USING (lang) LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase
+  WHERE holder IS NULL OR 100 * holder < {HELD_PERCENT} * a)
+WHERE rank <= {TOP}
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     centroids,
+    collocations,
     decontamination,
     embeddings,
     extraction,
@@ -70,6 +71,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_mix_sources": op9_mix_sources,
     "op10_main_text": op10_main_text,
+    "op11_collocations": op11_collocations,
     "op12_embedding_dedup": op12_embedding_dedup,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
@@ -96,5 +102,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_quality_rules": oracles.QUALITY_RULES,
     "op9_mix_sources": oracles.MIX_SOURCES,
+    "op11_collocations": oracles.COLLOCATIONS,
     "op13_centroid_clustering": oracles.CENTROID_CLUSTERING,
 }
