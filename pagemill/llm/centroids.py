@@ -4,7 +4,8 @@ The distances of a vector to a few pivots are taken once. They place it as the a
 pivots: its coordinates in the space the pivots span and, last, its height above that space. Of two apexes
 the plain Euclidean distance is never above the true distance, and the distance with one height turned
 round never below it. A centroid whose lower bound exceeds the least upper bound of a vector cannot be its
-nearest one; the rest are compared exactly, in integers.
+nearest one, nor can one whose lower bound exceeds the distance to the most promising centroid; the rest are
+compared exactly, in integers.
 
 Vectors stay where they are. A round sends the centroids and their apexes to the tasks and brings sums per
 cluster, component and digit back: both grow with clusters times components, not with the vectors.
@@ -27,8 +28,8 @@ CLUSTERS = 40
 ROUNDS = 5
 SCALE = 256
 SEED = "2"
-#: Most pivots of the simplex.
-PIVOTS = 16
+#: Most pivots of the simplex, chosen among the first centroids.
+PIVOTS = CLUSTERS
 #: Rows that are compared at a time.
 BLOCK = 1024
 #: Components below this size keep squared distances of 64 components inside 64 bits.
@@ -86,22 +87,36 @@ class Simplex:
         return np.hstack([inner, height[:, None]])
 
 
-def candidates(apexes: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Which centroids (columns) may be nearest to which vectors (rows), by the bounds of their apexes."""
+def bounds(apexes: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the squared distances of vectors (rows) and centroids (columns), with SLACK."""
     inner = ((apexes[:, None, :-1] - centres[None, :, :-1]) ** 2).sum(axis=2)
     high, low = apexes[:, None, -1], centres[None, :, -1]
-    length = (apexes**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :]
-    lower = inner + (high - low) ** 2 - SLACK * length
-    upper = inner + (high + low) ** 2 + SLACK * length
-    return lower <= upper.min(axis=1, keepdims=True)
+    slack = SLACK * ((apexes**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :])
+    return inner + (high - low) ** 2 - slack, inner + (high + low) ** 2 + slack
 
 
-def nearest(whole: np.ndarray, apexes: np.ndarray, centroids: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates(whole: np.ndarray, apexes: np.ndarray, centroids: np.ndarray, centres: np.ndarray, unit: float) -> np.ndarray:
+    """Which centroids (columns) may be nearest to which vectors (rows).
+
+    The one whose bounds promise most is measured exactly; it and the least upper bound say what a lower bound may reach.
+    """
+    lower, upper = bounds(apexes, centres)
+    guess = (lower + upper).argmin(axis=1)
+    measured = squared(whole, centroids[guess]).astype(np.float64) / unit**2
+    limit = np.minimum(measured * (1 + SLACK), upper.min(axis=1))
+    may = lower <= limit[:, None]
+    may[np.arange(len(whole)), guess] = True
+    return may
+
+
+def nearest(
+    whole: np.ndarray, apexes: np.ndarray, centroids: np.ndarray, centres: np.ndarray, unit: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Number and exact squared distance of the nearest centroid of every row; ties go to the smaller number."""
     cluster, distance = np.zeros(len(whole), dtype=np.int32), np.zeros(len(whole), dtype=object)
     for at in range(0, len(whole), BLOCK):
         part = exact(whole[at : at + BLOCK])
-        row, number = np.nonzero(candidates(apexes[at : at + BLOCK], centres))
+        row, number = np.nonzero(candidates(part, apexes[at : at + BLOCK], centroids, centres, unit))
         gap = squared(part[row], centroids[number])
         order = np.lexsort((number, gap, row)) if gap.dtype != object else np.array(
             sorted(range(len(row)), key=lambda k: (row[k], gap[k], number[k]))
@@ -127,13 +142,13 @@ def _digits(total: int) -> list[int]:
     return out
 
 
-def _cluster_sums(placed: DataFrame, centroids: np.ndarray, centres: np.ndarray) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+def _cluster_sums(placed: DataFrame, centroids: np.ndarray, centres: np.ndarray, unit: float) -> tuple[dict[int, int], dict[int, np.ndarray]]:
     """Vectors of every cluster and the exact sums of their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = scaled_components(_rows(batch, "embedding"))
-            cluster, _ = nearest(whole, _rows(batch, "apex"), centroids, centres)
+            cluster, _ = nearest(whole, _rows(batch, "apex"), centroids, centres, unit)
             c, at, n = [], [], []
             for k in np.unique(cluster):
                 mine = whole[cluster == k]
@@ -192,7 +207,7 @@ def cluster_vectors(
         return simplex.apex(centroids.astype(np.float64) / simplex.unit)
 
     for _ in range(rounds):
-        counts, sums = _cluster_sums(placed, centroids, centres())
+        counts, sums = _cluster_sums(placed, centroids, centres(), simplex.unit)
         moved = [[int(s) // counts[k] for s in sums.get(k, [0] * components)] if k in counts else list(map(int, c)) for k, c in enumerate(centroids)]
         centroids = np.array(moved, dtype=object)
         if max(abs(x) for c in moved for x in c) < SMALL:
@@ -201,7 +216,7 @@ def cluster_vectors(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cluster, distance = nearest(scaled_components(_rows(batch, "embedding")), _rows(batch, "apex"), last, tops)
+            cluster, distance = nearest(scaled_components(_rows(batch, "embedding")), _rows(batch, "apex"), last, tops, simplex.unit)
             fits = [int(d) if d < 1 << 63 else None for d in distance]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster), pa.array(fits, pa.int64())], names=["vec_id", "cluster", "distance"])
 

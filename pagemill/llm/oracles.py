@@ -117,7 +117,7 @@ c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws, unnest(ra
 q AS (
   SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, CAST({SCORE_UNIT} * CAST(a AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
   FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1 : cut], ' ')
-    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1 : k], ' ')),
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1 : c.k], ' ')),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS turn FROM q) WHERE turn = 1),
 h AS (
   SELECT lang, array_to_string(ws[pos : pos + size - 1], ' ') AS phrase, max(f) AS holder
