@@ -12,6 +12,7 @@ Four passes over the texts, which are never shuffled: words and masses, pairs, l
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ SCORE_UNIT = 2_000_000
 #: Bits of the bitmap of survivors: 16 MB, whatever the corpus is. A fuller one only lets more n-grams be counted.
 FILTER_BITS = 27
 #: Bytes of text that are hashed and counted together; whole pieces, so one long piece may be more.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Different phrases a task counts before it hands them on.
+TASK_PHRASES = 500_000
 #: Mass a summary takes at most on average; the partitions of the n-grams follow from it.
 PARTITION_MASS = 1 << 24
 MASS_BUCKET_BITS = 12
@@ -159,6 +162,14 @@ class Survivors:
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
+    def __reduce__(self):
+        # packed on its way to the tasks: what is sent follows the survivors, not the size of the bitmap
+        return Survivors._unpacked, (zlib.compress(self.bits.tobytes(), 1),)
+
+    @staticmethod
+    def _unpacked(packed: bytes) -> Survivors:
+        return Survivors(np.frombuffer(zlib.decompress(packed), dtype=np.uint8))
+
     @staticmethod
     def spots(h: Column) -> Column:
         """Numbers of its bits, from 1."""
@@ -324,6 +335,18 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataF
     longer = _survivors(read.mapInArrow(count_longer, "h long, n long"), masses[3], min_count)
 
     def count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[tuple[int, int], int] = {}
+        langs, said, size, many = [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(said, pa.string()), pa.array(size, pa.int32()), pa.array(many, pa.int64())],
+                names=["lang", "phrase", "k", "n"],
+            )
+            for held in (place, langs, said, size, many):
+                held.clear()
+            return out
+
         for chunk, names in _chunks(batches, hashes=2):
             ok = _pairs(chunk, words, pairs)
             for n in range(1, MAX_WORDS + 1):
@@ -334,13 +357,20 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataF
                 at = at[np.argsort(h[at])]
                 a, b = h[at], chunk.hashes[1][n - 1][at]
                 cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(at) else at
-                many = np.diff(np.append(cut, len(at)))
-                said = [chunk.phrase(i, n) for i in at[cut].tolist()]
-                spoken = [names[k] for k in chunk.language[at[cut]].tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spoken, pa.string()), pa.array(said, pa.string()), pa.array(np.full(len(cut), n, np.int32)), pa.array(many.astype(np.int64))],
-                    names=["lang", "phrase", "k", "n"],
-                )
+                times = np.diff(np.append(cut, len(at)))
+                for key, i, c in zip(zip(a[cut].tolist(), b[cut].tolist()), at[cut].tolist(), times.tolist()):
+                    k = place.get(key)
+                    if k is not None:
+                        many[k] += c
+                        continue
+                    place[key] = len(many)
+                    langs.append(names[chunk.language[i]])
+                    said.append(chunk.phrase(i, n))
+                    size.append(n)
+                    many.append(c)
+            if len(many) > TASK_PHRASES:
+                yield flush()
+        yield flush()
 
     strings = read.mapInArrow(count_strings, "lang string, phrase string, k int, n long")
     counts = strings.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
