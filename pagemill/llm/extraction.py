@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +21,7 @@ from .common import whole_text_batches
 
 # --- fixed values: html element names by kind ---
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("script style noscript template head title svg math object iframe canvas audio video select option textarea button".split())
+NO_TEXT = frozenset("script style noscript template title svg math object iframe canvas audio video select option textarea button".split())
 FURNITURE = frozenset("nav footer header aside form dialog menu fieldset label".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split()
@@ -30,7 +30,6 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Names in class, id or role that mark parts which are not the article.
 NOTICE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu "
@@ -52,10 +51,10 @@ PROSE_CHARS = 140
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "aside", "named", "holds_article", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False):
-        self.tag, self.parent, self.aside, self.named = tag, parent, aside, frozenset()
+        self.tag, self.parent, self.aside, self.named, self.holds_article = tag, parent, aside, frozenset(), False
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -70,67 +69,135 @@ def _names(attrs) -> set[str]:
     return {w for before, w in zip(["", *words], words) if before not in ("no", "has", "with", "without")}
 
 
-class _Tree(HTMLParser):
-    """A forgiving tree: unknown end tags are ignored, open paragraphs and items close by themselves."""
+#: A tag from its name to the > that ends it: quoted values may hold one, a quote that never closes is a plain character.
+_TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>"'=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+_COMMENT_END = re.compile(r"--!?>")
+RAW_TEXT = frozenset(("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"))
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TEXT}
+LIST_PARTS = frozenset(("li", "dt", "dd", "tr", "td", "th"))
+LIST_BOUNDS = frozenset(("ul", "ol", "dl", "table", "tr"))
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None)
 
-    def handle_starttag(self, tag, attrs):
+class _Tree:
+    """A forgiving tree of what the body holds, read in one pass.
+
+    Unknown end tags are ignored, open paragraphs and items close by themselves; html, head and body are no
+    nodes: whatever stands in them is the page. Declarations, processing instructions and damaged ones end at
+    the next >, comments at their end or with the page, and so does a tag that is never finished.
+    """
+
+    def __init__(self, page: str):
+        self.root = Node("#body", None)
+        self.stack = [self.root]
+        self.depths: dict[str, list[int]] = {}
+        at, size = 0, len(page)
+        while at < size:
+            lt = page.find("<", at)
+            if lt < 0:
+                self._text(page[at:])
+                break
+            after = page[lt + 1 : lt + 2]
+            if after == "!" or after == "?" or (after == "/" and not page[lt + 2 : lt + 3].isalpha()):
+                self._text(page[at:lt])
+                at = self._skipped(page, lt)
+            elif after.isascii() and after.isalpha() or after == "/":
+                self._text(page[at:lt])
+                tag = _TAG.match(page, lt)
+                if tag is None:
+                    if after == "/" and not page[lt + 2].isascii():
+                        at = self._skipped(page, lt)
+                        continue
+                    break  # it reaches to the end of the page
+                at = tag.end()
+                name = tag[1].lower()
+                if after == "/":
+                    self._end(name)
+                else:
+                    self._start(name, tag[2])
+                    if name in RAW_TEXT:
+                        end = _RAW_END[name].search(page, at)
+                        self._text(page[at : end.start() if end else size])
+                        at = end.start() if end else size
+            else:
+                self._text(page[at : lt + 1])
+                at = lt + 1
+
+    @staticmethod
+    def _skipped(page: str, lt: int) -> int:
+        """Where a comment or declaration at ``lt`` ends."""
+        if page.startswith("<!--", lt):
+            if page.startswith((">", "->"), lt + 4):
+                return page.index(">", lt) + 1
+            end = _COMMENT_END.search(page, lt + 4)
+            return end.end() if end else len(page)
+        gt = page.find(">", lt)
+        return gt + 1 if gt >= 0 else len(page)
+
+    def _text(self, data: str) -> None:
+        if data:
+            self.stack[-1].parts.append(unescape(data) if "&" in data else data)
+
+    def _depth(self, tag: str) -> int:
+        """Depth of the innermost open ``tag``, 0 if there is none."""
+        held = self.depths.get(tag)
+        return held[-1] if held else 0
+
+    def _close(self, tag: str, stops: frozenset = frozenset()) -> None:
+        depth = self._depth(tag)
+        if depth and depth >= max((self._depth(s) for s in stops), default=0):
+            while len(self.stack) > depth:
+                self.depths[self.stack.pop().tag].pop()
+
+    def _start(self, tag: str, said: str) -> None:
+        if tag in ("html", "head", "body"):
+            return
         if tag in CLOSES_P:
             self._close("p", CLOSES_P - {"p"})
-        elif tag in ("li", "dt", "dd", "tr", "td", "th"):
-            self._close(tag, {"ul", "ol", "dl", "table", "tr"} - {tag})
-        if tag not in IN_HEAD:
-            self._close("head", NO_TEXT - {"head"})
+        elif tag in LIST_PARTS:
+            self._close(tag, LIST_BOUNDS - {tag})
+        in_article = self._depth("article") or self._depth("main")
         if tag in ("article", "main"):
             # a part that holds the article is none of the furniture, whatever it is called
-            node = self.at
-            while node is not None:
-                node.named = frozenset()
-                node = node.parent
+            for node in reversed(self.stack):
+                if node.holds_article:
+                    break
+                node.named, node.holds_article = frozenset(), True
+        attrs = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(said)] if said.strip() else []
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        plain = tag not in ("html", "body", "article", "main") and tag not in HEADINGS
-        furniture = tag in FURNITURE and not (tag == "header" and self._in_article())
-        node = Node(tag, self.at, hidden or furniture or tag in NO_TEXT)
-        if plain and not node.aside:
+        furniture = tag in FURNITURE and not (tag == "header" and in_article)
+        node = Node(tag, self.stack[-1], hidden or furniture or tag in NO_TEXT)
+        if tag not in ("article", "main") and tag not in HEADINGS and not node.aside:
             node.named = frozenset(_names(attrs) & NOTICE)
-        self.at.parts.append(node)
-        if tag not in VOID:
-            self.at = node
+        self.stack[-1].parts.append(node)
+        if tag not in VOID and not said.endswith("/"):
+            self.stack.append(node)
+            self.depths.setdefault(tag, []).append(len(self.stack) - 1)
 
-    def _in_article(self) -> bool:
-        node = self.at
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        return node is not None
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self.at.tag == tag and tag not in VOID:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
+    def _end(self, tag: str) -> None:
         if tag not in VOID:
-            self._close(tag, ())
-
-    def _close(self, tag, stops):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            if node.tag in stops:
-                return
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+            self._close(tag)
 
-    def updatepos(self, i, j):
-        return j  # line numbers are not needed
 
-    def handle_data(self, data):
-        if self.at.tag == "head" and data.strip():
-            self._close("head", ())
-        self.at.parts.append(data)
+def _set_runs(root: Node) -> None:
+    """Text and inline parts that stand beside blocks, or in the body itself, become blocks of their own."""
+    for node in _inside_out(root):
+        blocks = [isinstance(p, Node) and not (p.tag in INLINE or p.tag in VOID or p.tag in NO_TEXT) for p in node.parts]
+        if node.tag in INLINE or not (any(blocks) or node is root):
+            continue
+        parts, run = [], None
+        for part, block in zip(node.parts, blocks):
+            if block:
+                run = None
+                parts.append(part)
+            elif run is not None or isinstance(part, Node) or part.strip():
+                if run is None:
+                    run = Node("#run", node)
+                    parts.append(run)
+                run.parts.append(part)
+                if isinstance(part, Node):
+                    part.parent = run
+        node.parts = parts
 
 
 def _inside_out(root: Node) -> list[Node]:
@@ -195,8 +262,7 @@ def _measure(root: Node) -> list[Node]:
                 node.link_tags += part.link_tags + (part.tag == "a")
         if node.tag == "a":
             node.link_chars = node.chars
-    body = next((n for n in nodes if n.tag == "body"), root)
-    ratio = body.link_chars / body.chars if body.chars else 0.0
+    ratio = root.link_chars / root.chars if root.chars else 0.0
     for node in reversed(nodes):
         if node.chars:
             tags, links = max(node.tags, 1), max(node.link_tags, 1)
@@ -234,26 +300,33 @@ def _dense_parts(nodes: list[Node], body: Node, best: Node, threshold: float) ->
     return found
 
 
+def _articles(body: Node, best: Node, threshold: float) -> list[Node]:
+    """In page order, ``best`` and every outermost article element that reaches the threshold and is not mostly links."""
+    found, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if node is best or (node.tag == "article" and node.density >= threshold and 2 * node.link_chars <= node.chars):
+            found.append(node)
+        else:
+            stack.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.aside)
+    return found
+
+
 def main_text(html: str) -> str:
     """The article of a page: blocks in page order, joined by one space."""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    _name_furniture(tree.root)
-    nodes = _measure(tree.root)
-    named = [n for n in nodes if n.tag in ("article", "main") and n.chars]
-    body = next((n for n in nodes if n.tag == "body"), tree.root)
+    body = _Tree(html).root
+    _set_runs(body)
+    _name_furniture(body)
+    nodes = _measure(body)
+    # the subtree with the largest sum, the body if its own parts have it; it grows to the article element around it
     best = max(nodes, key=lambda n: (n.total, n.chars))
     if best.total <= 0.0:
         best = body
-    # the subtree with the largest sum; it grows to the article element around it
-    in_article = False
-    for n in named:
-        at = best
-        while at is not None and at is not n:
-            at = at.parent
-        if at is n:
-            best, in_article = n, True
+    in_article, at = False, best
+    while at is not None:
+        if at.tag in ("article", "main"):
+            best, in_article = at, True
+        at = at.parent
     threshold, at = best.density, best
     while at is not None:
         if at.chars and at.density:
@@ -268,7 +341,10 @@ def main_text(html: str) -> str:
             blocks.append(text)
         current.clear()
 
-    roots = [best] if in_article or best is body else _dense_parts(nodes, body, best, threshold)
+    if in_article:
+        roots = _articles(body, best, threshold)
+    else:
+        roots = [best] if best is body else _dense_parts(nodes, body, best, threshold)
     chosen = set(roots)
     stack: list = [x for part in reversed(roots) for x in (None, part)]
     while stack:

@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -93,3 +96,101 @@ SAID = " ".join(prose("s", 6, 450))
 )
 def test_names_and_heads_do_not_empty_a_page(page, text):
     assert extraction.main_text(page) == text
+
+
+PROSE = " ".join(prose("o", 3, 400))
+SECOND = " ".join(prose("q", 3, 400))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<html><body>{PROSE}<br>{SECOND}</body></html>", f"{PROSE} {SECOND}"),
+        (f"<body><h1>Head</h1>{PROSE}</body>", f"Head {PROSE}"),
+        (f"<body><font size='2'>{PROSE}</font></body>", PROSE),
+        (f"<body>{PROSE} <a href='/x'>a link</a> {SECOND}", f"{PROSE} a link {SECOND}"),
+        (f"<body><nav>{MENU}</nav>{PROSE}<p>{SECOND}</p></body>", f"{PROSE} {SECOND}"),
+        (f"<body><p>{PROSE}</p></body></html> {SECOND}", f"{PROSE} {SECOND}"),
+        (f"<body><div><![foo</div><p>{PROSE}</p></body>", PROSE),
+        (f"<body><p>{PROSE}</p><![endif--></body>", PROSE),
+        (f"<body><![-- x --><p>{PROSE}</p>", PROSE),
+        (f"<?xml version='1.0'?><!DOCTYPE html><p>{PROSE}</p></>", PROSE),
+        (f"<body><p>{PROSE}</p><!-- never closed <p>{SECOND}</p>", PROSE),
+        (f"<body><!--><p>{PROSE}</p><!-- a -- b --!><p>{SECOND}</p>", f"{PROSE} {SECOND}"),
+        (f"<body><p title='a > b' data-x=\"it's\">{PROSE}</p><p title='the hidden class=comment'>{SECOND}</p>", f"{PROSE} {SECOND}"),
+        (f"<body><article><h2>A</h2><p>{PROSE}</p></article><article><h2>B</h2><p>{SECOND}</p></article></body>", f"A {PROSE} B {SECOND}"),
+        (f"<body><article><p>{PROSE}</p></article><article><a href='/1'>Other news of the day</a></article></body>", PROSE),
+        (f"<body><p>{PROSE} 3 < 4 &amp; 5 > 4</p>", f"{PROSE} 3 < 4 & 5 > 4"),
+        (f"<body><p>{PROSE}</p><p>cut <a href='/never", f"{PROSE} cut"),
+    ],
+)
+def test_common_and_damaged_pages(page, text):
+    assert extraction.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 20_000 + "x", "<b>" * 20_000 + "x", "<article>" * 20_000 + "x", "<a " * 20_000, "<a x='>' " * 20_000, "<a x='" * 20_000, "<!--" * 20_000,
+     "<ul><li>" + "<b>" * 20_000 + "<li></li>" * 20_000, "<p>" * 50_000, "<" * 100_000, "<script>" * 20_000, f"<a {'= ' * 50_000}>x"],
+    ids=lambda page: page[:12],
+)
+def test_long_and_deep_pages_take_linear_time(page):
+    t0 = time.process_time()
+    extraction.main_text(page)
+    assert time.process_time() - t0 < 1
+
+
+def test_odd_pages_do_not_stop_the_others(spark):
+    rows = [(k, "u", h) for k, h in enumerate(["<div><![foo</div>", "<![endif-->", "<![-- x -->", "<!", "<", "</", "<a", "<p>fine", "\x00<é>&#0;&#xffffffff;"])]
+    got = {r.page_id: r.text for r in extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[7] == "fine"
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.4 or depth > 6:
+            out.append("word " * rng.randint(1, 30))
+        else:
+            tag = rng.choice("div p span a b section ul li nav script em table br".split())
+            out.append(f"<{tag}>" if tag == "br" else f"<{tag}>{random_page(rng, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def slow_counts(node):
+    """(chars, tags, link chars, link tags) by plain recursion."""
+    chars = tags = link_chars = link_tags = 0
+    for part in node.parts:
+        if isinstance(part, str):
+            chars += sum(not c.isspace() for c in part)
+        elif not part.aside:
+            c, t, lc, lt = slow_counts(part)
+            chars, tags, link_chars, link_tags = chars + c, tags + t, link_chars + lc, link_tags + lt
+            tags += part.tag not in extraction.VOID
+            link_tags += part.tag == "a"
+    return chars, tags, chars if node.tag == "a" else link_chars, link_tags
+
+
+def slow_density(node, ratio):
+    c, t, lc, lt = slow_counts(node)
+    if not c:
+        return 0.0
+    t, lt = max(t, 1), max(lt, 1)
+    base = math.log(c * lc / max(c - lc, 1) + ratio * c + math.e)
+    return c / t * math.log(max(c / max(lc, 1) * (t / lt), 1.0)) / base
+
+
+def test_densities_by_recursion():
+    rng = random.Random(4)
+    for _ in range(150):
+        body = extraction._Tree(random_page(rng)).root
+        extraction._set_runs(body)
+        nodes = extraction._measure(body)
+        c, _, lc, _ = slow_counts(body)
+        ratio = lc / c if c else 0.0
+        for node in nodes:
+            assert (node.chars, node.tags, node.link_chars, node.link_tags) == slow_counts(node)
+            assert math.isclose(node.density, slow_density(node, ratio), abs_tol=1e-9)
+            inner = [p for p in node.parts if isinstance(p, extraction.Node) and not p.aside]
+            assert math.isclose(node.total, sum(slow_density(p, ratio) for p in inner), abs_tol=1e-9)
