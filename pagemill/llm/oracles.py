@@ -52,13 +52,13 @@ rep AS (
   FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM x) WHERE c > 1)
   GROUP BY rid),
 l AS (SELECT *, len(regexp_extract_all(ln, {_WORD})) AS n
-  FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS ln FROM d)),
+  FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS ln, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
 h AS (
-  SELECT *, CAST('0x' || substr(md5(trim(regexp_replace(regexp_replace(lower(ln), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')), 1, 15) AS BIGINT) AS h
+  SELECT *, trim(regexp_replace(regexp_replace(lower(ln), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS h
   FROM l WHERE n > 0),
-b AS (SELECT rid, min(h) AS lo, max(h) AS hi, count(*) - count(DISTINCT ln) AS dup FROM h GROUP BY rid),
+b AS (SELECT rid, md5(string_agg(h, chr(10) ORDER BY pos)) AS whole, count(*) - count(DISTINCT ln) AS dup FROM h GROUP BY rid),
 common AS (
-  SELECT source, h FROM (SELECT DISTINCT source, h, lo, hi FROM h JOIN b USING (rid)) GROUP BY source, h HAVING count(*) > {MAX_DOCS_PER_HOST}),
+  SELECT source, h FROM (SELECT DISTINCT source, h, whole FROM h JOIN b USING (rid)) GROUP BY source, h HAVING count(*) > {MAX_DOCS_PER_HOST}),
 lost AS (SELECT rid, sum(n) AS n FROM h JOIN common c ON h.source IS NOT DISTINCT FROM c.source AND h.h = c.h GROUP BY rid),
 c AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

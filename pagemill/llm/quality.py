@@ -23,9 +23,8 @@ SYMBOLS = "#*$%&|<>"
 
 
 def line_hash(line: Column) -> Column:
-    """63-bit hash of a line in lower case, numbers as 0, white space as one space."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE, " ")
-    return F.conv(F.substring(F.md5(F.trim(text).cast("binary")), 1, 15), 16, 10).cast("long")
+    """64-bit hash of a line in lower case, numbers as 0, white space as one space."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE, " ")))
 
 
 def _bind(value: Column, body) -> Column:
@@ -81,9 +80,9 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document: counts, ``base_failed``, ``n_common_words`` (in lines above the limit) and ``kept``.
 
-    A line of a host is common when more than ``max_docs`` distinct documents of that host have it. Documents
-    with the same least and greatest line hash count as one, so copies and near copies of one text don't
-    make its lines common. A document is depleted when its other lines hold less than ``min_kept_percent``
+    A line of a host is common when more than ``max_docs`` distinct documents of that host have it; documents are
+    distinct when the sequences of their normalised lines differ, so copies of one text don't make its lines
+    common. A document is depleted when its other lines hold less than ``min_kept_percent``
     of its words. Null text is empty and fails; a null host is a host of its own; equal rows get equal
     results; an empty table gives an empty result. Of the input only doc_id, text and the host are read.
     """
@@ -91,19 +90,18 @@ def quality_rules(
         "*", words_of(F.col("_text")).alias("_words"), F.filter(F.split(F.col("_text"), "\n", -1), _has_word).alias("_kept")
     )
     hashed = F.transform("_kept", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    # rows are numbered once and kept: numbers must not change when a task runs again
     base = cut_lineage(
         read.select(
             "doc_id",
             "_host",
-            F.xxhash64("doc_id", "_host", "_text").alias("_row"),
+            F.xxhash64("doc_id", "_host", "_text").alias("row_hash"),
             *[c.alias(name) for name, c in text_counts(F.col("_text"), F.col("_words"), F.col("_kept")).items()],
             hashed.alias("_lines"),
+            F.monotonically_increasing_id().alias("_row"),
         )
     )
-    hashes = F.col("_lines")["h"]
-    seen = base.select(
-        "_host", F.explode(F.array_distinct(hashes)).alias("h"), F.array_min(hashes).alias("lo"), F.array_max(hashes).alias("hi")
-    )
+    seen = base.select("_host", F.explode(F.array_distinct("_lines.h")).alias("h"), F.xxhash64("_lines.h").alias("text"))
     common = (
         seen.distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs)
         .select(F.col("_host").alias("_c_host"), F.col("h").alias("_c_h"))
@@ -114,9 +112,6 @@ def quality_rules(
         .groupBy(F.col("_row").alias("_l_row"))
         .agg(F.sum("w").alias("_lost"))
     )
-    # equal rows share one hash: their lost words were summed over all of them
-    copies = base.groupBy(F.col("_row").alias("_l_row")).agg(F.count(F.lit(1)).alias("_copies"))
-    lost = lost.join(copies, "_l_row").select("_l_row", (F.col("_lost") / F.col("_copies")).cast("long").alias("_lost"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     n_lost = F.coalesce(F.col("_lost"), F.lit(0).cast("long"))
     return base.join(lost, F.col("_row") == F.col("_l_row"), "left").select(
@@ -124,5 +119,5 @@ def quality_rules(
         failed.alias("base_failed"),
         n_lost.alias("n_common_words"),
         (~failed & (100 * (F.col("n_words") - n_lost) >= min_kept_percent * F.col("n_words"))).alias("kept"),
-        F.col("_row").alias("row_hash"),
+        "row_hash",
     )

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from pagemill.llm import quality
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,10 +32,9 @@ def verdicts(rows, limit, percent=50):
     """(doc, base, kept) by brute force; rows are (doc_id, text, host)."""
     held = defaultdict(set)
     for _, text, host in rows:
-        lines = [norm(x) for x in (text or "").split("\n") if WORDS.search(x)]
-        hashes = [quality_hash(x) for x in lines]
+        lines = tuple(norm(x) for x in (text or "").split("\n") if WORDS.search(x))
         for x in set(lines):
-            held[host, x].add((min(hashes), max(hashes)))
+            held[host, x].add(lines)
     out = []
     for doc_id, text, host in rows:
         lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
@@ -43,12 +44,6 @@ def verdicts(rows, limit, percent=50):
     return out
 
 
-def quality_hash(line):
-    import hashlib
-
-    return int(hashlib.md5(line.encode()).hexdigest()[:15], 16)
-
-
 def got(df):
     names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed n_common_words kept".split()
     return sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)
@@ -72,6 +67,18 @@ def test_depleted_documents_go_and_copies_do_not_count(make):
     assert all(kept[k] for k in (10, 11, *range(20, 26)))
 
 
+@pytest.mark.parametrize("k, pages", [(10, 50), (20, 50), (40, 200)])
+def test_pages_that_are_mostly_furniture_go(make, k, pages):
+    words = lambda tag, n: " ".join(f"{tag}{chr(97 + i)}" for i in range(n))
+    furniture = [words("menu" + "abcdefghij"[i % 10] * (1 + i // 10), 6) for i in range(k)]
+    rows = [(p, "\n".join([*furniture[p % k :], words("own" + "xyz"[p % 3] * (1 + p // 3), 8), *furniture[: p % k]]), "en", "host") for p in range(pages)]
+    rows += [(1000 + p, "\n".join(words("good" + "xyz"[p % 3] * (1 + p // 3) + "klmnop"[j], 12) for j in range(6)), "en", "host") for p in range(20)]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(make(rows)).collect()}
+    assert not any(kept[p] for p in range(pages))
+    assert all(kept[1000 + p] for p in range(20))
+    assert got(quality.quality_rules(make(rows))) == sorted(verdicts([(r[0], r[1], r[3]) for r in rows], 10), key=repr)
+
+
 def test_odd_rows(odd, nothing):
     rows = [(r.doc_id, r.text, r.source) for r in odd.collect()]
     assert got(quality.quality_rules(odd)) == sorted(verdicts(rows, 10), key=repr)
