@@ -5,7 +5,8 @@ pass hashes the words of all texts, keeps what such a filter lets through and ha
 the hash partition of each n-gram. There a Misra-Gries summary with more counters than the mass of the
 partition divided by the threshold takes them in; what it lost of any n-gram stays below the threshold, so
 every frequent one survives. Survivors go back to the texts as a bitmap of fixed size: it can only let too
-much through, never too little. The last pass counts survivors as strings, exactly.
+much through, never too little. The last pass counts survivors as strings, exactly; their words were counted in
+the first one, told apart by two hashes of 64 bits.
 
 Four passes over the texts, which are never shuffled: words and masses, pairs, longer phrases, strings.
 """
@@ -33,8 +34,6 @@ SCORE_UNIT = 2_000_000
 FILTER_BITS = 27
 #: Bytes of text that are hashed and counted together; whole pieces, so one long piece may be more.
 CHUNK_BYTES = 2 << 20
-#: Different phrases a task counts before it hands them on.
-TASK_PHRASES = 500_000
 #: Mass a summary takes at most on average; the partitions of the n-grams follow from it.
 PARTITION_MASS = 1 << 24
 MASS_BUCKET_BITS = 12
@@ -96,29 +95,33 @@ class Chunk:
     """Words of a stretch of text: where they are, the language of each, and hashes of phrases by language."""
 
     def __init__(self, text: np.ndarray, language: Callable[[np.ndarray], np.ndarray], tags: np.ndarray, powers: tuple[_Powers, ...]):
-        self.text = text
+        self.text, self.tags, self.powers = text, tags, powers
         edge = np.flatnonzero(np.diff(_IS_WORD[text].view(np.int8), prepend=0, append=0))
         self.starts, self.ends = edge[::2], edge[1::2]
         piece = np.searchsorted(np.flatnonzero(_IS_BREAK[text]), self.starts)
         self.language = language(self.starts)
-        #: hashes[j][n - 1] of the phrase of n words that begins at each word
-        self.hashes = []
-        for j, power in enumerate(powers):
-            words = _mix(_word_hashes(text, self.starts, self.ends, power) ^ tags[self.language])
-            levels = [words]
-            for n in range(1, MAX_WORDS):
-                levels.append(_mix(levels[-1][:-1] * _WORD_BASE[j] + words[n:]) if len(words) > n else words[:0])
-            self.hashes.append(levels)
-        #: inside[n - 1]: the n words lie in one piece
+        self._made: list[list[np.ndarray]] = [[] for _ in powers]
+        #: inside[n - 1]: the n words from each word on lie in one piece
         self.inside = [piece[n:] == piece[: len(piece) - n] if len(piece) > n else np.zeros(0, dtype=bool) for n in range(MAX_WORDS)]
 
+    def hashes(self, n: int, which: int = 0) -> np.ndarray:
+        """Of the phrase of n words that begins at each word, by the first or the second of two independent hashes."""
+        made = self._made[which]
+        while len(made) < n:
+            if not made:
+                made.append(_mix(_word_hashes(self.text, self.starts, self.ends, self.powers[which]) ^ self.tags[self.language]))
+            else:
+                k = len(made)
+                made.append(_mix(made[-1][:-1] * _WORD_BASE[which] + made[0][k:]) if len(made[0]) > k else made[0][:0])
+        return made[n - 1]
+
     def phrase(self, at: int, n: int) -> str:
         return b" ".join(self.text[a:b].tobytes() for a, b in zip(self.starts[at : at + n], self.ends[at : at + n])).decode()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], hashes: int = 1) -> Iterator[tuple[Chunk, list[str]]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[str]]]:
     """Chunks of about CHUNK_BYTES with the languages they number; batches have text, lang and the hash of lang."""
-    powers = tuple(_Powers(b) for b in _BYTE_BASE[:hashes])
+    powers = tuple(_Powers(b) for b in _BYTE_BASE)
     texts, names, tags, size = [], [], [], 0
 
     def cut() -> Iterator[tuple[Chunk, list[str]]]:
@@ -199,6 +202,14 @@ def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), n
 
 
+def _told_apart(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal hash pairs: one row of each and how many it has. A pair may come in several groups."""
+    order = np.argsort(a)
+    x, y = a[order], b[order]
+    cut = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else order
+    return order[cut], np.diff(np.append(cut, len(x)))
+
+
 class MisraGries:
     """Counters of the heaviest keys; ``lost`` bounds what any key's count may be short of."""
 
@@ -270,26 +281,36 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 
 
 def _words_and_masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 1: words by hash; 0: words of a language; 2 and 3: occurrences of pairs and of longer phrases by top bits."""
+    """Kind 1: words by both hashes; 0: words of a language; 2 and 3: occurrences of pairs and of longer phrases by top bits."""
+    none = np.zeros(0, dtype=np.int64)
     for chunk, names in _chunks(batches):
-        rows: list[tuple[int, np.ndarray, np.ndarray]] = [(1, *_counted(chunk.hashes[0][0]))]
+        first, times = _told_apart(chunk.hashes(1), chunk.hashes(1, 1))
+        rows = [(1, chunk.hashes(1)[first].view(np.int64), chunk.hashes(1, 1)[first].view(np.int64), times)]
         top = np.uint64(64 - MASS_BUCKET_BITS)
-        for kind, levels in ((2, (1,)), (3, range(2, MAX_WORDS))):
-            n = sum(np.bincount((chunk.hashes[0][k][chunk.inside[k]] >> top).astype(np.int64), minlength=1 << MASS_BUCKET_BITS) for k in levels)
-            rows.append((kind, np.flatnonzero(n), n[n > 0]))
-        total = np.bincount(chunk.language, minlength=len(names))
-        for kind, h, n in rows:
-            yield _batch("kind h lang n", np.full(len(h), kind, np.int32), h.astype(np.int64), pa.nulls(len(h), pa.string()), n.astype(np.int64))
-        yield _batch("kind h lang n", np.zeros(len(names), np.int32), np.zeros(len(names), np.int64), names, total.astype(np.int64))
+        for kind, sizes in ((2, (2,)), (3, range(3, MAX_WORDS + 1))):
+            n = sum(np.bincount((chunk.hashes(k)[chunk.inside[k - 1]] >> top).astype(np.int64), minlength=1 << MASS_BUCKET_BITS) for k in sizes)
+            rows.append((kind, np.flatnonzero(n), none, n[n > 0]))
+        for kind, h, h2, n in rows:
+            h2 = h2 if len(h2) == len(h) else np.zeros(len(h), np.int64)
+            yield _batch("kind h h2 lang n", np.full(len(h), kind, np.int32), h, h2, pa.nulls(len(h), pa.string()), n.astype(np.int64))
+        total, zeros = np.bincount(chunk.language, minlength=len(names)), np.zeros(len(names), np.int64)
+        yield _batch("kind h h2 lang n", zeros.astype(np.int32), zeros, zeros, names, total.astype(np.int64))
+
+
+def _word_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both hashes of texts that are one word each."""
+    for chunk, names in _chunks(batches):
+        said = [chunk.phrase(i, 1) for i in range(len(chunk.starts))]
+        yield _batch("lang phrase h h2", [names[k] for k in chunk.language], said, chunk.hashes(1).view(np.int64), chunk.hashes(1, 1).view(np.int64))
 
 
 def _pairs(chunk: Chunk, words: Survivors, pairs: Survivors | None = None) -> np.ndarray:
     """Positions of pairs of frequent words, and frequent pairs only where they are known."""
-    able = words.have(chunk.hashes[0][0])
+    able = words.have(chunk.hashes(1))
     ok = chunk.inside[1] & able[:-1] & able[1:] if len(able) > 1 else np.zeros(0, dtype=bool)
     if pairs is not None:
         at = np.flatnonzero(ok)
-        ok[at] = pairs.have(chunk.hashes[0][1][at])
+        ok[at] = pairs.have(chunk.hashes(2)[at])
     return ok
 
 
@@ -302,17 +323,17 @@ def _longer(ok: np.ndarray, chunk: Chunk, n: int) -> np.ndarray:
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, f) of every phrase of 1 to MAX_WORDS words with ``min_count`` occurrences, and (lang, n).
+    """(lang, phrase, k, f) of every phrase of 2 to MAX_WORDS words with ``min_count`` occurrences and of their words, and (lang, n).
 
-    A null language is ``und``, a null text empty. Words that occur in no frequent phrase may be missing.
+    A null language is ``und``, a null text empty.
     """
     lang = F.coalesce(F.col("lang"), F.lit("und"))
     read = docs.select(F.col("text"), lang.alias("lang")).select(
         whole("text").cast("binary").alias("text"), "lang", F.xxhash64("lang").alias("tag")
     )
     first = cut_lineage(
-        read.mapInArrow(_words_and_masses, "kind int, h long, lang string, n long")
-        .groupBy("kind", "h", "lang").agg(F.sum("n").alias("n")).filter(f"kind <> 1 OR n >= {min_count}")
+        read.mapInArrow(_words_and_masses, "kind int, h long, h2 long, lang string, n long")
+        .groupBy("kind", "h", "h2", "lang").agg(F.sum("n").alias("n")).filter(f"kind <> 1 OR n >= {min_count}")
     )
     totals = first.filter("kind = 0").select("lang", "n")
     masses: dict[int, dict[int, int]] = {2: {}, 3: {}}
@@ -322,7 +343,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataF
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _ in _chunks(batches):
-            yield _batch("h n", *_counted(chunk.hashes[0][1][_pairs(chunk, words)]))
+            yield _batch("h n", *_counted(chunk.hashes(2)[_pairs(chunk, words)]))
 
     pairs = _survivors(read.mapInArrow(count_pairs, "h long, n long"), masses[2], min_count)
 
@@ -330,51 +351,35 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataF
         for chunk, _ in _chunks(batches):
             ok = _pairs(chunk, words, pairs)
             for n in range(3, MAX_WORDS + 1):
-                yield _batch("h n", *_counted(chunk.hashes[0][n - 1][_longer(ok, chunk, n)]))
+                yield _batch("h n", *_counted(chunk.hashes(n)[_longer(ok, chunk, n)]))
 
     longer = _survivors(read.mapInArrow(count_longer, "h long, n long"), masses[3], min_count)
 
     def count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[tuple[int, int], int] = {}
-        langs, said, size, many = [], [], [], []
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(said, pa.string()), pa.array(size, pa.int32()), pa.array(many, pa.int64())],
-                names=["lang", "phrase", "k", "n"],
-            )
-            for held in (place, langs, said, size, many):
-                held.clear()
-            return out
-
-        for chunk, names in _chunks(batches, hashes=2):
+        for chunk, names in _chunks(batches):
             ok = _pairs(chunk, words, pairs)
-            for n in range(1, MAX_WORDS + 1):
-                h = chunk.hashes[0][n - 1]
-                at = np.flatnonzero(words.have(h) if n == 1 else ok if n == 2 else _longer(ok, chunk, n))
+            for n in range(2, MAX_WORDS + 1):
+                at = np.flatnonzero(ok if n == 2 else _longer(ok, chunk, n))
                 if n > 2:
-                    at = at[longer.have(h[at])]
-                at = at[np.argsort(h[at])]
-                a, b = h[at], chunk.hashes[1][n - 1][at]
-                cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(at) else at
-                times = np.diff(np.append(cut, len(at)))
-                for key, i, c in zip(zip(a[cut].tolist(), b[cut].tolist()), at[cut].tolist(), times.tolist()):
-                    k = place.get(key)
-                    if k is not None:
-                        many[k] += c
-                        continue
-                    place[key] = len(many)
-                    langs.append(names[chunk.language[i]])
-                    said.append(chunk.phrase(i, n))
-                    size.append(n)
-                    many.append(c)
-            if len(many) > TASK_PHRASES:
-                yield flush()
-        yield flush()
+                    at = at[longer.have(chunk.hashes(n)[at])]
+                first, times = _told_apart(chunk.hashes(n)[at], chunk.hashes(n, 1)[at])
+                some = at[first]
+                yield _batch(
+                    "lang phrase k n", pa.array([names[k] for k in chunk.language[some].tolist()], pa.string()),
+                    pa.array([chunk.phrase(i, n) for i in some.tolist()], pa.string()), np.full(len(some), n, np.int32), times.astype(np.int64),
+                )
 
     strings = read.mapInArrow(count_strings, "lang string, phrase string, k int, n long")
-    counts = strings.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-    return cut_lineage(counts), totals
+    several = cut_lineage(strings.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
+    # the words of these phrases were all counted in the first pass, by both hashes
+    used = several.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
+    named = used.select(F.col("phrase").cast("binary").alias("text"), "lang", F.xxhash64("lang").alias("tag")).mapInArrow(
+        _word_names, "lang string, phrase string, h long, h2 long"
+    )
+    single = named.join(first.filter("kind = 1").select("h", "h2", F.col("n").alias("f")), ["h", "h2"]).select(
+        "lang", "phrase", F.lit(1).alias("k"), "f"
+    )
+    return several.unionByName(single), totals
 
 
 def _big(c: Column | str) -> Column:
