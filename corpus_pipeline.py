@@ -18,9 +18,10 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    goes = quality.quality_rules(docs).filter("NOT kept").select(F.col("row_hash").alias("_row")).distinct()
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "source", F.coalesce("text", F.lit(""))))
-    return marked.join(goes, "_row", "left_anti").select(*DOCUMENT_COLUMNS)
+    goes = quality.quality_rules(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row")).distinct()
+    marked = docs.withColumn("_hash", F.xxhash64("doc_id", "source", F.coalesce("text", F.lit(""))))
+    same = (F.col("_hash") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return marked.join(goes, same, "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
