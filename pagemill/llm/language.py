@@ -112,12 +112,17 @@ class LanguageFilter:
         return self.languages[best], float(true[best] / every) if every else 1.0 / len(self.languages)
 
 
-def train_filter(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> LanguageFilter:
-    """The filter of a bounded sample of ``docs`` (text, lang); the driver receives its slots, never the grams."""
+def train_filter(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS, max_languages: int = MAX_LANGUAGES) -> LanguageFilter:
+    """The filter of a bounded sample of ``docs`` (text, lang); the driver receives its slots, never the grams.
+
+    The sample has at most ``per_language`` documents of each of the ``max_languages`` labels with the most
+    documents (equally frequent ones in code point order); rarer labels are not learned.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    languages = sorted(r["lang"] for r in most.collect())
+    if len(languages) == max_languages:
+        labelled = labelled.filter(F.col("lang").isin(languages))
     sample = _sample(labelled, per_language)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,3 +55,11 @@ def test_odd_rows(odd, nothing, documents):
     assert all(r.lang_pred == "und" and r.score == 0 for r in language.identify_language(odd, language.train_filter(nothing)).collect())
     assert language.identify_language(nothing, model).count() == 0
     assert model.predict("123 ²² !?")[0] == "und"
+
+
+def test_the_most_frequent_labels_are_learned(make):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} here", f"l{i:04d}") for i in range(300)] + [(1000 + i, "many of these", "zz") for i in range(3)]
+    model = language.train_filter(make(rows))
+    assert len(model.languages) == 301 and len(model.slots) == 5 and model.predict("many of these")[0] == "zz"
+    few = language.train_filter(make(rows), max_languages=2)
+    assert few.languages == ["l0000", "zz"]
