@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_once
@@ -14,8 +14,13 @@ K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
 SEARCH_LIMIT = 10
-# sums of parts are exact in this many decimals, so ranks do not depend on the order of a sum
-PART_TYPE = "decimal(20,10)"
+# parts are whole numbers of this unit: sums are exact, so ranks do not depend on the order of a sum
+UNITS = 10**10
+# scores are rounded before they are ranked: a document this near below a bound may still draw level
+ROUNDING = 2 * UNITS // 10**SCORE_DIGITS
+# postings of a query's rarest terms that are summed to find the first bound
+SEED_POSTINGS = 1000
+INDEX_BUCKETS = 256
 
 
 # ASCII is tested first; \p classes are costly and only needed beyond it
@@ -27,6 +32,99 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NO_TOKEN), "")
 
 
+def term_counts(docs: DataFrame, doc_id: str, text: str, terms: DataFrame | None = None, fits: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, term, tf, dl) of the corpus or of the given ``terms`` only, and its figures (n, avgdl) as one row.
+
+    A document's tokens sit in one row, so they are counted where they are read; counts are shuffled, tokens
+    never. Terms that fit a broadcast are picked before counting, others after it.
+    """
+    words = docs.select(doc_id, tokens(F.col(text)).alias("words")).select(doc_id, "words", F.size("words").alias("dl"))
+    # the empty term, which no text has, marks each document: the corpus figures come from the same scan
+    rows = explode_once(words, [doc_id, "dl"], F.array_append("words", F.lit("")), "at", "term").select(doc_id, "dl", "term")
+
+    def counted(tokenised: DataFrame) -> DataFrame:
+        return tokenised.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+    if terms is None:
+        counts = counted(rows)
+    else:
+        wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+        first, then = (rows, counted) if fits else (counted(rows), lambda df: df)
+        counts = then(join_checked(first, wanted, ["term"], doc_id, fits, "left_semi"))
+    counts = cut_lineage(counts)
+    corpus = counts.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    return counts.filter("term <> ''"), corpus
+
+
+def impacts(counts: DataFrame, corpus: DataFrame, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, doc_id, impact in UNITS) and terms (term, df, most).
+
+    The impact of a term in a document is its BM25 part; it does not depend on the query, so a list can be
+    ordered by it and its greatest value bounds what the term adds to any document.
+    """
+    stats = corpus.select(F.struct("n", "avgdl")).scalar()
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1 - B + B * F.col("dl") / stats["avgdl"])
+    impact = (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
+    postings = counts.join(df.select("term", idf.alias("idf")), "term").select("term", doc_id, F.round(impact * UNITS).cast("long").alias("impact"))
+    return postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))
+
+
+def best_documents(
+    asked: DataFrame, postings: DataFrame, terms: DataFrame, limit: int, query_id: str, doc_id: str, fits: bool = True, seed_postings: int = SEED_POSTINGS
+) -> DataFrame:
+    """query_id, rank, doc_id, score of the ``limit`` best documents, with lists of frequent terms read for finalists only.
+
+    A query's rarest terms are summed first: the ``limit``-th best sum is a score that ``limit`` documents reach.
+    Terms whose greatest impacts together stay below it cannot bring up a document by themselves, so no
+    (query, document) pair is made from their lists. Documents that could still reach the bound with all of
+    those terms get them looked up; only they are scored in full. The result is that of a full scoring.
+    """
+    limit = max(limit, 1)
+    known = asked.join(terms, "term").select(query_id, "term", "df", "most")
+    rarest = Window.partitionBy(query_id).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = known.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).filter(F.col("before") < seed_postings)
+
+    def sums(chosen: DataFrame) -> DataFrame:
+        met = join_checked(postings, chosen.select(query_id, "term"), ["term"], doc_id, fits)
+        return met.groupBy(query_id, doc_id).agg(F.sum("impact").alias("part"))
+
+    def bound(parts: DataFrame) -> DataFrame:
+        best = Window.partitionBy(query_id).orderBy(F.desc("part"), doc_id)
+        return parts.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= limit).groupBy(query_id).agg(
+            F.max(F.when(F.col("at") == limit, F.col("part"))).alias("bound")
+        )
+
+    weakest = Window.partitionBy(query_id).orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    split = cut_lineage(
+        known.join(bound(sums(seeds)), query_id, "left")
+        .withColumn("reach", F.sum("most").over(weakest))
+        .withColumn("weak", F.coalesce(F.col("reach") + ROUNDING < F.col("bound"), F.lit(False)))
+    )
+    strong, weak = split.filter("NOT weak"), split.filter("weak")
+    parts = cut_lineage(sums(strong))
+    rest = weak.groupBy(query_id).agg(F.sum("most").alias("rest"))
+    finalists = cut_lineage(
+        parts.join(bound(parts), query_id).join(rest, query_id, "left")
+        .filter(F.col("bound").isNull() | (F.col("part") + F.coalesce("rest", F.lit(0)) + ROUNDING >= F.col("bound")))
+        .select(query_id, doc_id, "part")
+    )
+    # the lists of weak terms meet finalists only, by document
+    looked_up = finalists.join(weak.select(query_id, "term"), query_id)
+    near = pick_rows(postings, finalists.select(doc_id).distinct(), doc_id)
+    added = looked_up.join(near, ["term", doc_id]).select(query_id, doc_id, F.col("impact").alias("part"))
+    scored = finalists.unionByName(added).groupBy(query_id, doc_id).agg(
+        F.round(F.sum("part") / UNITS, SCORE_DIGITS).alias("score")
+    )
+    best = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).select(query_id, "rank", doc_id, "score")
+
+
+def _asked_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
+    return queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct()
+
+
 def search_corpus(
     queries: DataFrame,
     docs: DataFrame,
@@ -39,43 +137,54 @@ def search_corpus(
 ) -> DataFrame:
     """Top ``limit`` documents per query: query_id, rank from 1, doc_id, score.
 
-    Tokens are matched against the query terms where the text is read; only counts of
-    matched (document, term) pairs are shuffled, and text never is. Ties go to the lower id.
+    One scan of the corpus counts the query terms; for many searches over the same corpus write a
+    ``SearchIndex`` once. Ties go to the lower id.
     """
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct()
+    asked = cut_lineage(_asked_terms(queries, query_id, query))
     fits = fits_broadcast(asked, broadcast_rows)
-    # the empty term, which no text has, marks each document once: the corpus figures come from the same scan
-    terms = asked.select("term").unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    words = tokens(F.col(text))
-    # a document's tokens sit in one row: occurrences are counted where they are read, counts are shuffled
-    listed = docs.select(doc_id, words.alias("words")).select(doc_id, "words", F.size("words").alias("dl"))
-    tokenised = explode_once(listed, [doc_id, "dl"], F.array_append("words", F.lit("")), "at", "term")
-    counted = cut_lineage(
-        join_checked(tokenised, terms, ["term"], doc_id, fits, "left_semi")
-        .groupBy(doc_id, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
-    corpus = counted.filter("term = ''").agg(
-        F.struct(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl")).alias("s")
-    )
-    stats = corpus.scalar()
-    tf = counted.filter("term <> ''")
-    weights = asked.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select(
-        query_id, "term", F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    norm = K1 * (1 - B + B * F.col("dl") / stats["avgdl"])
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = (
-        join_checked(tf, weights, ["term"], doc_id, fits)
-        .groupBy(query_id, doc_id)
-        .agg(F.round(F.sum(part.cast(PART_TYPE)).cast("double"), SCORE_DIGITS).alias("score"))
-    )
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return (
-        scored.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= max(limit, 1))
-        .select(query_id, "rank", doc_id, "score")
-    )
+    counts, corpus = term_counts(docs, doc_id, text, asked, fits)
+    postings, terms = impacts(counts, corpus, doc_id)
+    return best_documents(asked, cut_lineage(postings), cut_lineage(terms), limit, query_id, doc_id, fits)
+
+
+class SearchIndex:
+    """Postings of a corpus kept between searches.
+
+    ``postings`` (term, doc_id, impact) lie in buckets of terms, each list ordered by impact from high to low;
+    ``terms`` has the figures of every term. A long list is written by several tasks.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def write(cls, docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> SearchIndex:
+        """Index all of ``docs``, into a folder that is not there yet."""
+        index = cls(docs.sparkSession, path)
+        counts, corpus = term_counts(docs, doc_id, text)
+        postings, terms = impacts(counts, corpus, doc_id)
+        kept = postings.select(index.bucket().alias("bucket"), "term", F.col(doc_id).alias("doc_id"), "impact")
+        order = ["bucket", "term", F.desc("impact"), "doc_id"]
+        kept.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{index.path}/postings")
+        stored = docs.sparkSession.read.parquet(f"{index.path}/postings")
+        stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most")).write.parquet(f"{index.path}/terms")
+        return index
+
+    @staticmethod
+    def bucket() -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int")
+
+    def search(
+        self, queries: DataFrame, limit: int = SEARCH_LIMIT, query_id: str = "query_id", query: str = "query", broadcast_rows: int = BROADCAST_ROWS
+    ) -> DataFrame:
+        """As ``search_corpus`` over the indexed documents; only the buckets of the query's terms are read."""
+        asked = cut_lineage(_asked_terms(queries, query_id, query))
+        fits = fits_broadcast(asked, broadcast_rows)
+        buckets = [r[0] for r in asked.select(self.bucket()).distinct().collect()]  # at most INDEX_BUCKETS
+        mine = F.col("bucket").isin(buckets) if buckets else F.lit(False)
+        postings = self.spark.read.parquet(f"{self.path}/postings").filter(mine).drop("bucket")
+        terms = self.spark.read.parquet(f"{self.path}/terms")
+        return best_documents(asked, postings, terms, limit, query_id, "doc_id", fits)
 
 
 def with_hit_text(

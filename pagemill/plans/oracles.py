@@ -401,6 +401,10 @@ top AS (SELECT query_id, pass, rank, {doc_id}, score FROM ranked WHERE rank <= {
 
 
 ORACLES["search_bm25"] = bm25(5) + " SELECT query_id, rank, doc_id, score FROM top"
+_FIRST_WORDS = "SELECT item_id AS query_id, 1 AS pass, array_to_string(string_split(text, ' ')[1:3], ' ') AS q FROM benchmark"
+ORACLES["search_index"] = (
+    bm25(5, f"{_PLAIN} UNION ALL {_FIRST_WORDS}") + " SELECT query_id, CAST(pass AS BIGINT) AS pass, rank, doc_id, score FROM top"
+)
 ORACLES["search_snippets"] = bm25(1) + " SELECT query_id, doc_id, text AS snippet FROM top JOIN documents USING (doc_id)"
 ORACLES["expand_queries"] = """
 SELECT item_id AS query_id, text AS query, CAST(0 AS BIGINT) AS pass, text AS pass_query FROM benchmark

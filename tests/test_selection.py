@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import batch, cache, ladder, papers, research, search
@@ -136,6 +137,86 @@ def test_search_without_broadcast_agrees(spark):
     assert small == salted and {r[0] for r in small} == {1, 2} and len(small) == 14
 
 
+def plain_bm25(asked, docs, limit):
+    """Every document scored for every query; asked and docs are (id, text)."""
+    import math
+    import re
+    from collections import Counter
+
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    held = {d: Counter(cut(t)) for d, t in docs}
+    size = {d: sum(c.values()) for d, c in held.items()}
+    mean = sum(size.values()) / len(docs)
+    df = Counter(w for c in held.values() for w in c)
+    out = []
+    for q, text in asked:
+        scores = []
+        for d, c in held.items():
+            terms = [w for w in set(cut(text)) if w in c]
+            if terms:
+                parts = (
+                    math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for w in terms
+                )
+                scores.append((-round(sum(parts), 6), d))
+        out += [(q, r, d, -s) for r, (s, d) in enumerate(sorted(scores)[:limit], 1)]
+    return sorted(out)
+
+
+def skewed_corpus(n=400):
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    weight = [1 / (1 + i) for i in range(300)]
+    docs = [(i, " ".join(rng.choices(words, weight, k=rng.randint(0, 60)))) for i in range(n)]
+    docs += [(n + i, t) for i, t in enumerate([None, "", "w0 w0 w0", "w299 w298", docs[5][1], docs[5][1]])]
+    asked = [(q, " ".join(rng.choices(words, weight, k=rng.randint(1, 12)) + (["w250"] if q % 3 else []))) for q in range(25)]
+    return [*asked, (90, "unknown"), (91, ""), (92, "w0"), (93, "w299 w0 w1 w2")], docs
+
+
+@pytest.mark.parametrize("limit, seeds", [(1, 1), (5, 10), (50, 1000)])
+def test_pruned_search_gives_the_full_ranking(spark, monkeypatch, limit, seeds):
+    asked, docs = skewed_corpus()
+    monkeypatch.setattr(search.best_documents, "__defaults__", (True, seeds))
+    frames = spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame(docs, "doc_id int, text string")
+    got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in search.search_corpus(*frames, limit).collect())
+    want = plain_bm25(asked, docs, limit)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) <= 1e-6 for g, w in zip(got, want))
+
+
+def test_search_index_is_searched_again_and_read_in_part(spark, tmp_path):
+    asked, docs = skewed_corpus()
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    index = search.SearchIndex.write(df, str(tmp_path / "index"))
+    for part in (asked[:9], asked[9:]):
+        frame = spark.createDataFrame(part, "query_id int, query string")
+        again = search.SearchIndex(spark, index.path).search(frame, 4)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, search.search_corpus(frame, df, 4).collect()))
+    lists = spark.read.parquet(f"{index.path}/postings")
+    # each list from high to low impact, in as many files as the writing tasks needed
+    for path in {r[0] for r in lists.select("_metadata.file_path").distinct().collect()}:
+        rows = [(r.term, -r.impact) for r in spark.read.parquet(path).collect()]
+        assert rows == sorted(rows)
+
+
+def test_lists_of_weak_terms_make_no_pairs(spark, monkeypatch):
+    """The common term cannot lift a document over the bound: its 2,000 documents never meet the query."""
+    docs = [(i, "common " * (1 + i % 2) + ("rare special" if i % 400 == 0 else "")) for i in range(2000)]
+    frames = spark.createDataFrame([(1, "rare special common")], "query_id int, query string"), spark.createDataFrame(docs, "doc_id int, text string")
+    made = []
+    plain = search.cut_lineage
+
+    def seen(df):
+        out = plain(df)
+        if "part" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "cut_lineage", seen)
+    assert [r.doc_id for r in search.search_corpus(*frames, 5).orderBy("rank").collect()] == [0, 400, 800, 1200, 1600]
+    assert made == [5, 5]
+
+
 def test_search_papers(spark):
     rows = [("arxiv", str(i), f"Deep nets {i}", "on learning of things", ["cs.LG"] if i % 2 else ["cs.CV"]) for i in range(30)]
     df = spark.createDataFrame(rows, "source string, id string, title string, summary string, categories array<string>")
