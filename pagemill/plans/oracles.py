@@ -508,6 +508,14 @@ FROM checked WHERE check_status = 'changed'""",
 _KEPT = """
 ranked AS (SELECT url, event_id AS snapshot_id, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS age_rank FROM snapshots),
 newest AS (SELECT * FROM ranked WHERE age_rank <= 20)"""
+ORACLES["latest_hashes"] = with_views(
+    """
+WITH gone AS (SELECT url, max(ts) AS at FROM snapshots WHERE event_id % 3 = 1 AND url LIKE '%7' GROUP BY url),
+alive AS (SELECT s.* FROM snapshots s LEFT JOIN gone g ON g.url = s.url WHERE g.at IS NULL OR s.ts > g.at),
+newest AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS n FROM alive)
+SELECT url, epoch_us(ts) AS ts_us, event_id AS snapshot_id, sha256(text) AS hash FROM newest WHERE n = 1""",
+    "snapshots",
+)
 ORACLES["snapshot_retention"] = with_views(f"WITH {_KEPT} SELECT url, snapshot_id, age_rank FROM newest", "snapshots")
 ORACLES["monitor_history"] = with_views(
     f"""

@@ -78,13 +78,14 @@ def fetched_snapshots(fetch_log: DataFrame, at, prefer: str = "auto") -> DataFra
 def check_round(store: SnapshotStore, fetch_log: DataFrame, at, prefer: str = "auto") -> DataFrame:
     """Check a round of fetches against the store, then store it: url, check_status, error, lines_added, lines_removed.
 
-    Hashes decide; stored text is read for the changed URLs alone. Failed fetches are reported and not stored.
+    Hashes from the store's index decide, of the buckets of this round's URLs; stored text is read for the buckets
+    of the changed URLs alone. Failed fetches are reported and not stored.
     """
     incoming = cut_lineage(fetched_snapshots(fetch_log, at, prefer))
-    latest = store.latest()
+    latest = cut_lineage(store.latest(incoming))
     checked = cut_lineage(check_incoming(latest, incoming.select("url", "text", "error")).select("url", "check_status", "error"))
     changed = checked.filter("check_status = 'changed'").select("url")
-    before = store.read().join(latest.join(changed, "url").select("url", "snapshot_id"), ["url", "snapshot_id"], "left_semi")
+    before = store.read(urls=changed).join(latest.join(changed, "url").select("url", "snapshot_id"), ["url", "snapshot_id"], "left_semi")
     texts = before.select("url", F.col("text").alias("old")).join(incoming.select("url", F.col("text").alias("new")), "url")
     old, new = (F.split(c, LINE_ENDS) for c in ("old", "new"))
     delta = cut_lineage(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 from ..operators.monitor import KEEP_SNAPSHOTS, monitor_history, snapshot_retention
 from ..schemas import SNAPSHOT
+from .latest import BUCKETS, LatestIndex, buckets_of, rows_at, url_bucket
 
 
 def write_rag_jsonl(pages: DataFrame, path: str, fetched_at: str = "fetched_at", mode: str = "errorifexists") -> None:
@@ -21,36 +22,45 @@ class SnapshotStore:
     """Append-only snapshots in parquet, partitioned by a hash bucket of the URL.
 
     Forgetting appends a tombstone; ``compact`` writes the kept rows as a new generation,
-    which readers take once it is complete. One writer at a time.
+    which readers take once its mark is written. The newest hash of every URL is kept beside
+    the snapshots in a ``LatestIndex``, one batch per round. One writer at a time.
     """
 
-    BUCKETS = 256
+    BUCKETS = BUCKETS
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.index = LatestIndex(spark, f"{self.path}/latest")
 
-    def _generations(self) -> list[int]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(conf)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = (n for n in names if n.startswith("gen=") and fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS")))
-        return sorted(int(n[4:]) for n in done)
+    def _numbers(self, name: str) -> list[int]:
+        marks = rows_at(self.spark, f"{self.path}/{name}", "n bigint")
+        return [] if marks is None else sorted(r[0] for r in marks.collect())
+
+    def _mark(self, name: str, n: int) -> None:
+        self.spark.range(1).select(F.lit(n).cast("long").alias("n")).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _generation(self) -> int:
+        """The newest complete generation; the first one is there from the start."""
+        return max(self._numbers("generations"), default=0)
+
+    def _round(self) -> int:
+        return max(self._numbers("rounds"), default=-1) + 1
 
     def _dir(self, generation: int) -> str:
         return f"{self.path}/gen={generation}"
 
-    @staticmethod
-    def _bucket():
-        return F.pmod(F.xxhash64("url"), F.lit(SnapshotStore.BUCKETS)).cast("int")
-
     def _write(self, rows: DataFrame, generation: int, mode: str = "append") -> None:
         # rebalancing gives each bucket few files and splits a bucket with a hot URL
-        placed = rows.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "url", "ts")
+        placed = rows.withColumn("bucket", url_bucket()).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "url", "ts")
         placed.write.mode(mode).partitionBy("bucket").parquet(self._dir(generation))
 
+    def _store(self, rows: DataFrame) -> None:
+        """Rows to the newest generation, their newest hashes to the index."""
+        n = self._round()
+        self._write(rows, self._generation())
+        self.index.put(rows, n)
+        self._mark("rounds", n)
+
     def append(self, snapshots: DataFrame) -> None:
         """Store checks. Rows need url, ts, snapshot_id, status, title, method, text; those with ``error`` set are not stored."""
         if "error" in snapshots.columns:
@@ -61,7 +71,7 @@ class SnapshotStore:
             "title", F.col("status").cast("int").alias("status"), "method", "text",
             F.lit(False).alias("forgotten"),
         )
-        self._write(rows, (self._generations() or [0])[-1])
+        self._store(rows)
 
     def forget(self, urls: DataFrame, at: str) -> None:
         """Drop everything stored for the URLs up to the moment ``at``."""
@@ -72,17 +82,18 @@ class SnapshotStore:
             *(F.lit(None).cast("string").alias(c) for c in ("method", "text")),
             F.lit(True).alias("forgotten"),
         )
-        self._write(rows, (self._generations() or [0])[-1])
+        self._store(rows)
 
-    def read(self, url: str | None = None) -> DataFrame:
-        """Live snapshots; a single URL reads one bucket only."""
-        done = self._generations()
-        if not done:
+    def read(self, url: str | None = None, urls: DataFrame | None = None) -> DataFrame:
+        """Live snapshots; for a single URL, or some ``urls``, only their buckets are read."""
+        rows = rows_at(self.spark, self._dir(self._generation()), f"{SNAPSHOT}, forgotten boolean, bucket int")
+        if rows is None:
             return self.spark.createDataFrame([], SNAPSHOT)
-        rows = self.spark.read.schema(f"{SNAPSHOT}, forgotten boolean, bucket int").parquet(self._dir(done[-1]))
         if url is not None:
-            bucket = self.spark.range(1).select(F.lit(url).alias("url")).select(self._bucket()).first()[0]
-            rows = rows.filter((F.col("bucket") == bucket) & (F.col("url") == url))
+            urls = self.spark.range(1).select(F.lit(url).alias("url"))
+        if urls is not None:
+            buckets = buckets_of(urls)
+            rows = rows.filter(F.col("bucket").isin(buckets) if buckets else F.lit(False)).join(urls.select("url").distinct(), "url", "left_semi")
         gone = rows.filter("forgotten").groupBy("url").agg(F.max("ts").alias("_gone"))
         return (
             rows.filter(~F.col("forgotten"))
@@ -91,17 +102,16 @@ class SnapshotStore:
             .drop("_gone", "forgotten", "bucket")
         )
 
-    def latest(self) -> DataFrame:
-        """Newest hash and time per URL, one narrow row each."""
-        row = F.struct("ts", "snapshot_id", "hash", "iso")
-        return self.read().groupBy("url").agg(F.max(row).alias("l")).select("url", "l.ts", "l.snapshot_id", "l.hash", "l.iso")
+    def latest(self, urls: DataFrame | None = None) -> DataFrame:
+        """url, ts, snapshot_id, hash of the newest snapshot per URL, from the index; with ``urls`` from their buckets."""
+        return self.index.latest(self._round(), urls)
 
     def drop_old(self) -> None:
-        """Delete the generations before the newest complete one; nobody may be reading them."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        for generation in self._generations()[:-1]:
-            old = hadoop.Path(self._dir(generation))
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        """Empty the generations before the newest complete one; nobody may be reading them."""
+        for old in self._numbers("generations") + [0]:
+            held = rows_at(self.spark, self._dir(old), f"{SNAPSHOT}, forgotten boolean, bucket int")
+            if old < self._generation() and held is not None:
+                held.limit(0).drop("bucket").write.mode("overwrite").parquet(self._dir(old))
 
     def history(self, url: str) -> DataFrame:
         asked = self.spark.range(1).select(F.lit(url).alias("url"))
@@ -109,8 +119,8 @@ class SnapshotStore:
 
     def compact(self, keep: int = KEEP_SNAPSHOTS) -> None:
         """Keep the newest ``keep`` snapshots per URL, as a new generation."""
-        done = self._generations()
-        if done:
-            kept = snapshot_retention(self.read(), keep).drop("age_rank").withColumn("forgotten", F.lit(False))
-            # a generation without its success mark is the rest of a broken run
-            self._write(kept, done[-1] + 1, "overwrite")
+        now = self._generation()
+        kept = snapshot_retention(self.read(), keep).drop("age_rank").withColumn("forgotten", F.lit(False))
+        # a generation without its mark is the rest of a broken run
+        self._write(kept, now + 1, "overwrite")
+        self._mark("generations", now + 1)

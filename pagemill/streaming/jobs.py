@@ -14,6 +14,7 @@ from ..functions.urls import clean_url
 from ..operators.links import with_links
 from ..operators.monitor import monitor_check
 from ..operators.usage import COOLDOWN_SECONDS, SESSION_GAP_SECONDS
+from ..sources.latest import LatestIndex
 
 
 def attempt_checks(attempts: DataFrame) -> DataFrame:
@@ -71,31 +72,22 @@ def page_changes(snapshots: DataFrame) -> DataFrame:
 def run_page_changes(snapshots: DataFrame, path: str) -> DataFrame:
     """``page_changes`` for streams with very hot URLs; runs what is there and returns the statuses.
 
-    Each micro-batch is checked by the batch operator, which splits a hot URL over tasks. A batch
-    writes the latest hash of the URLs it met and reads those that earlier batches wrote for them.
-    Batches are written under their own id, so a repeated batch replaces itself.
+    Each micro-batch is checked by the batch operator, which splits a hot URL over tasks. The latest hashes lie
+    in a ``LatestIndex``: a batch reads the buckets of its URLs, from one base and the deltas of one epoch,
+    and writes one delta. Batches are written under their own id, so a repeated batch replaces itself.
     """
     spark = snapshots.sparkSession
     narrow = _hashed(snapshots)
-    state_schema = "url string, ts timestamp, snapshot_id bigint, hash string, error string"
+    index = LatestIndex(spark, f"{path}/latest")
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("fresh", F.lit(True))
-        if batch_id > 0:
-            written = spark.read.schema(f"{state_schema}, batch bigint").parquet(f"{path}/latest")
-            row = F.struct("ts", "snapshot_id", "hash", "error")
-            before = (
-                written.filter(F.col("batch") < batch_id)
-                .join(batch.select("url").distinct(), "url", "left_semi")
-                .groupBy("url").agg(F.max(row).alias("l")).select("url", "l.*")
-            )
-            rows = rows.unionByName(before.withColumn("fresh", F.lit(False)))
+        before = index.latest(batch_id, batch).withColumns({"error": F.lit(None).cast("string"), "fresh": F.lit(False)})
+        rows = batch.withColumn("fresh", F.lit(True)).unionByName(before)
         fresh = rows.filter("fresh").select("snapshot_id")
         checked = monitor_check(rows.drop("fresh")).join(fresh, "snapshot_id", "left_semi")
         checked.write.mode("overwrite").parquet(f"{path}/checks/batch={batch_id}")
         good = rows.filter(F.col("error").isNull())
-        latest = good.groupBy("url").agg(F.max(F.struct("ts", "snapshot_id", "hash", "error")).alias("l")).select("url", "l.*")
-        latest.write.mode("overwrite").parquet(f"{path}/latest/batch={batch_id}")
+        index.put(good.withColumn("forgotten", F.lit(False)), batch_id)
 
     query = (
         narrow.writeStream.foreachBatch(check)
