@@ -9,9 +9,9 @@ from ..functions.text import trim_page
 from ..functions.urls import strip_space, url_host
 from ..schemas import NOT_ATTEMPTED
 from ..session import cut_lineage
-from .cache import TTL_SECONDS, cached_pages
+from .cache import TTL_SECONDS, cached_pages, fresh_entries
 from .joins import pick_rows
-from .ladder import attach_content, ladder_decisions
+from .ladder import attach_content, ladder_decisions, page_shape, with_final_url
 
 TOTAL = "(all)"
 
@@ -56,10 +56,47 @@ def batch_scrape(
         .withColumn("_missing", F.col("tier").isNull())
         .withColumn("error", F.when(F.col("_missing"), NOT_ATTEMPTED).otherwise(F.col("error")))
     )
-    pages = attach_content(decided, log)
-    # a URL nobody tried has no page at all
+    return trim_page(_blank_missing(attach_content(decided, log)), include_html=include_html, **sizes)
+
+
+def _blank_missing(pages: DataFrame) -> DataFrame:
+    """A URL nobody tried has no page at all."""
     blank = ("final_url", "status", "html", "markdown", "title")
-    pages = pages.withColumns({c: F.when(~F.col("_missing"), F.col(c)) for c in blank}).drop("_missing")
+    return pages.withColumns({c: F.when(~F.col("_missing"), F.col(c)) for c in blank}).drop("_missing")
+
+
+def batch_scrape_bucketed(
+    urls: DataFrame,
+    fetch_log: DataFrame,
+    prefer: str = "auto",
+    include_html: bool = False,
+    max_markdown: int | None = None,
+    cache: DataFrame | None = None,
+    as_of=None,
+    ttl: int = TTL_SECONDS,
+) -> DataFrame:
+    """As ``batch_scrape``, over a log and a cache that are stored by URL (``sources.bucketed``).
+
+    Only the URL list is dealt to the buckets. Decision, content and cache entry of a URL meet where they lie:
+    one grouping of each table picks them, with the html, and no exchange lies above either scan. Text is
+    derived after the join, for the page that counts.
+    """
+    sizes = {} if max_markdown is None else {"max_markdown": max_markdown}
+    wanted = cut_lineage(dedup_urls(urls))
+    log = pick_rows(with_final_url(fetch_log), wanted, "url")
+    decided = (
+        wanted.join(ladder_decisions(log, prefer, carry=("final_url", "html")), "url", "left")
+        .withColumn("_missing", F.col("tier").isNull())
+        .withColumn("error", F.when(F.col("_missing"), NOT_ATTEMPTED).otherwise(F.col("error")))
+    )
+    if cache is None:
+        return trim_page(_blank_missing(page_shape(decided)), include_html=include_html, **sizes)
+    columns = ("final_url", "status", "html", "markdown", "title", "method", "elapsed_ms", "meta")
+    hits = decided.join(fresh_entries(cache, columns, as_of, prefer, ttl), "url", "left")
+    pages = _blank_missing(page_shape(hits, text=True))
+    hit = F.col("_cached").isNotNull()
+    cached = {c: F.when(hit, F.col(f"_cached.{c}")).otherwise(F.col(c)) for c in columns}
+    pages = pages.withColumns({**cached, "error": F.when(~hit, F.col("error"))}).drop("_cached")
     return trim_page(pages, include_html=include_html, **sizes)
 
 

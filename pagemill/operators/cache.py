@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,16 @@ def cached_pages(urls: DataFrame, cache: DataFrame, as_of, prefer: str = "auto",
     return urls.withColumn("key", cache_key(F.col("url"), F.lit(prefer))).join(page, "key").drop("key").withColumn("error", F.lit(None).cast("string"))
 
 
+def fresh_entries(cache: DataFrame, columns: Sequence[str], as_of, prefer: str = "auto", ttl: int = TTL_SECONDS) -> DataFrame:
+    """url and ``_cached``, the page of its newest fresh entry with ``meta.cache = hit``: one grouping by URL."""
+    age = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("put_ts")
+    mine = (F.col("key") == cache_key(F.col("url"), F.lit(prefer))) & (age >= 0) & (age <= ttl * 1_000_000)
+    hit = F.create_map(F.lit("cache"), F.lit("hit"))
+    meta = F.map_concat(F.coalesce("meta", F.create_map().cast("map<string,string>")), hit) if "meta" in cache.columns else hit
+    page = F.struct(*(meta.alias(c) if c == "meta" else F.col(c) for c in columns))
+    return cache.filter(mine).groupBy("url").agg(F.max_by(page, "put_ts").alias("_cached"))
+
+
 def cache_lookup(
     requests: DataFrame,
     puts: DataFrame,

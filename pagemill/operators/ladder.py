@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from ..schemas import FAST, METHODS, NOT_ATTEMPTED, STEALTH
 MIN_FAST_HTML = 500
 
 
-def ladder_decisions(fetch_log: DataFrame, prefer: str = "auto") -> DataFrame:
-    """One narrow row per URL: the chosen tier and attempt, without any html.
+def ladder_decisions(fetch_log: DataFrame, prefer: str = "auto", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per URL: the chosen tier and attempt, and the columns to ``carry`` of that attempt.
+
+    Without ``carry`` rows are narrow. Html is carried only where the log is stored by URL, so that no row moves.
 
     The log has one row per (url, tier, attempt); the latest attempt of a tier
     counts. Judgements on the html are made where the log is read, so that the
@@ -28,7 +32,7 @@ def ladder_decisions(fetch_log: DataFrame, prefer: str = "auto") -> DataFrame:
         ~is_js_skeleton(html, status),
     ).otherwise(False)
     row = F.struct("attempt", status.cast("int").alias("status"), "elapsed_ms", "error",
-                   blocked.alias("blocked"), good.alias("good"))
+                   blocked.alias("blocked"), good.alias("good"), *carry)
     last = (
         fetch_log.select("url", "tier", row.alias("row"))
         .groupBy("url")
@@ -55,6 +59,7 @@ def ladder_decisions(fetch_log: DataFrame, prefer: str = "auto") -> DataFrame:
         (escalated & (F.col("row.blocked") | fast_error.isNotNull())).alias("notes_fast_error"),
         F.when(escalated, fast_error).alias("fast_error"),
         error.alias("error"),
+        *(F.col(f"row.{c}").alias(c) for c in carry),
     )
 
 
@@ -64,14 +69,22 @@ def attach_content(decisions: DataFrame, fetch_log: DataFrame, text: bool = True
     The html joins by the full attempt key, so a URL with very many attempts does not
     load one task, and text is built for chosen attempts only.
     """
-    log = fetch_log if "final_url" in fetch_log.columns else fetch_log.withColumn("final_url", F.col("url"))
-    body = log.select("url", "tier", "attempt", "final_url", "html")
-    used = ("tier", "attempt", "blocked", "notes_fast_error", "fast_error", "status", "elapsed_ms", "error", "url")
+    body = with_final_url(fetch_log).select("url", "tier", "attempt", "final_url", "html")
+    return page_shape(decisions.join(body, ["url", "tier", "attempt"], "left"), text)
+
+
+def with_final_url(fetch_log: DataFrame) -> DataFrame:
+    return fetch_log if "final_url" in fetch_log.columns else fetch_log.withColumn("final_url", F.col("url"))
+
+
+def page_shape(decisions: DataFrame, text: bool = True) -> DataFrame:
+    """Page columns of decisions that have their attempt's ``final_url`` and ``html``; other columns stay."""
+    used = ("tier", "attempt", "blocked", "notes_fast_error", "fast_error", "status", "elapsed_ms", "error", "url", "final_url", "html")
     extra = [c for c in decisions.columns if c not in used]
     failed = F.col("error").isNotNull()
     no_meta = F.create_map().cast("map<string,string>")
     meta = F.when(F.col("notes_fast_error"), F.create_map(F.lit("fast_error"), F.col("fast_error"))).otherwise(no_meta)
-    out = decisions.join(body, ["url", "tier", "attempt"], "left").withColumns(
+    out = decisions.withColumns(
         {
             "final_url": F.coalesce("final_url", "url"),
             "status": F.when(failed, 0).otherwise(F.col("status")),

@@ -11,6 +11,7 @@ from ..operators import batch, cache, crawl, ladder, links, monitor, papers, res
 from ..session import cut_lineage, scratch_path
 from ..sources import documents as docs_source
 from ..sources import papers as papers_source
+from ..sources.bucketed import BucketedTable
 from ..sources.latest import LatestIndex
 from ..sources.pages import as_pages
 from ..sources.pings import check_pings
@@ -280,8 +281,7 @@ def batch_scrape(spark, sf):
     )
 
 
-@query
-def batch_scrape_cached(spark, sf):
+def _cached_pages(spark, sf):
     """Every fourth page was put into the cache up to 40 minutes ago."""
     stored = table(spark, sf, "pages").filter("page_id % 4 = 0").select(
         "page_id", "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("").alias("html"),
@@ -289,11 +289,39 @@ def batch_scrape_cached(spark, sf):
         F.lit("fetch_fast").alias("method"), F.lit(5).alias("elapsed_ms"),
     )
     put = F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), (F.col("page_id") % 40).cast("int"))
-    entries = cache.cache_entries(stored.withColumn("put", put), F.col("put")).drop("put", "page_id")
+    return cache.cache_entries(stored.withColumn("put", put), F.col("put")).drop("put", "page_id")
+
+
+@query
+def batch_scrape_cached(spark, sf):
+    entries = _cached_pages(spark, sf)
     out = batch.batch_scrape(view(spark, sf, "url_list"), view(spark, sf, "fetch_log"), max_markdown=2000, cache=entries, as_of=AS_OF)
     return out.select("pos", "url", "title", "method", "error", F.element_at("meta", "cache").alias("cache"))
 
 
+def _by_url(spark, rows, label, sort=()):
+    return BucketedTable.write(rows, scratch_path(spark, label), sort=sort, buckets=8).read()
+
+
+@query
+def batch_scrape_bucketed(spark, sf):
+    """As ``batch_scrape``, over the log stored by URL."""
+    log = _by_url(spark, view(spark, sf, "fetch_log"), "log", ("tier", "attempt"))
+    out = batch.batch_scrape_bucketed(view(spark, sf, "url_list"), log, max_markdown=2000)
+    return out.select(
+        "pos", "url", "final_url", F.col("status").cast("bigint").alias("status"), "title", "markdown", "method", "error"
+    )
+
+
+@query
+def batch_scrape_bucketed_cached(spark, sf):
+    """As ``batch_scrape_cached``, with log and cache stored by URL."""
+    log = _by_url(spark, view(spark, sf, "fetch_log"), "log", ("tier", "attempt"))
+    entries = _by_url(spark, _cached_pages(spark, sf), "cache", ("put_ts",))
+    out = batch.batch_scrape_bucketed(view(spark, sf, "url_list"), log, max_markdown=2000, cache=entries, as_of=AS_OF)
+    return out.select("pos", "url", "title", "method", "error", F.element_at("meta", "cache").alias("cache"))
+
+
 @query
 def batch_report(spark, sf):
     return batch.batch_report(view(spark, sf, "url_list"), view(spark, sf, "fetch_log"))

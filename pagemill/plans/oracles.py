@@ -276,6 +276,8 @@ FROM wanted w LEFT JOIN got g ON g.url = w.url LEFT JOIN hit h ON h.url = w.url"
     "url_list",
     "fetch_log",
 )
+ORACLES["batch_scrape_bucketed"] = ORACLES["batch_scrape"]
+ORACLES["batch_scrape_bucketed_cached"] = ORACLES["batch_scrape_cached"]
 ORACLES["batch_report"] = with_views(
     f"""
 WITH {_LADDER},
