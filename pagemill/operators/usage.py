@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .ordered import GROUP_ROWS, with_last
 
 # Windows and gaps of the usage reports.
 DAY_SECONDS = 86_400
@@ -107,56 +108,42 @@ def traffic_summary(traffic: DataFrame, series: str = "series") -> DataFrame:
     )
 
 
-def cooldown(
-    pings: DataFrame, key: str = "id", gap: int = COOLDOWN_SECONDS, chunk_days: int = 31
-) -> DataFrame:
+def cooldown(pings: DataFrame, key: str = "id", gap: int = COOLDOWN_SECONDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Accepted pings (key, accepted_at in epoch seconds): the first, then each one at least
-    ``gap`` seconds after the last accepted one.
+    ``gap`` seconds after the last accepted one. A null key is a key like any other.
 
-    The choice is sequential per key. Pings have whole-second times, so equal seconds are
-    merged first; a key then holds at most 86,400 values per day whatever its row count, and
-    time is walked in chunks that bound what one row can hold. Only chunks that hold pings are
-    walked, however far apart they lie. The last accepted time per key (null is a key too) is
-    carried from chunk to chunk.
+    Equal seconds are merged first. Every second then points to the first one of its key that is ``gap`` later,
+    found in one ordered pass over seconds and seconds plus gap. Accepted ones are those that the first second
+    of a key reaches. Pointers of one, two, four, ... steps come from joining a table of pointers with itself,
+    so a chain of n accepted pings takes about log2(n) rounds; its joins are on (key, second), which is unique,
+    so a key with most of the pings is spread like any other.
     """
-    width = chunk_days * DAY_SECONDS
-    second = F.unix_seconds("ts")
-    placed = pings.filter(F.col("ts").isNotNull()).select(F.col(key), second.alias("s"), F.floor(second / width).alias("_chunk"))
-    chunks = sorted(r[0] for r in placed.select("_chunk").distinct().collect())  # one number per month with pings
-    if not chunks:
-        return placed.select(key, F.col("s").alias("accepted_at"))
-    empty = F.array().cast("array<bigint>")
-    results, state = [], None
-    for chunk in chunks:
-        times = (
-            placed.filter((F.col("s") >= chunk * width) & (F.col("s") < (chunk + 1) * width))
-            .select(key, "s").distinct()
-            .groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("times"))
-        )
-        if state is None:
-            times = times.withColumn("last", F.lit(None).cast("bigint"))
-        else:
-            # one side of a full join is always there, so an absent key and a null key need telling apart
-            met = times.withColumn("_new", F.lit(True)).join(state, F.col(key).eqNullSafe(F.col("_key")), "full")
-            times = met.select(F.when(F.col("_new"), F.col(key)).otherwise(F.col("_key")).alias(key), "times", "last")
-        start = F.struct(F.col("last").alias("last"), empty.alias("taken"))
-        folded = F.aggregate(
-            F.coalesce("times", empty),
-            start,
-            lambda acc, s: F.when(
-                acc["last"].isNull() | (s - acc["last"] >= gap),
-                F.struct(s.alias("last"), F.array_append(acc["taken"], s).alias("taken")),
-            ).otherwise(acc),
-        )
-        done = times.select(key, folded.alias("f")).select(key, "f.last", "f.taken")
-        if len(chunks) > 1:
-            done = cut_lineage(done)
-        results.append(done.select(key, F.explode("taken").alias("accepted_at")))
-        state = done.select(F.col(key).alias("_key"), "last")
-    out = results[0]
-    for part in results[1:]:
-        out = out.unionByName(part)
-    return out
+    seconds = cut_lineage(pings.filter(F.col("ts").isNotNull()).select(F.col(key).alias("_key"), F.unix_seconds("ts").alias("s")).distinct())
+    if gap <= 0:
+        return seconds.select(F.col("_key").alias(key), F.col("s").alias("accepted_at"))
+    # the ordered pass runs from late to early: the last second met before s + gap is the first one after it
+    probed = seconds.select("_key", (-F.col("s")).alias("down"), F.lit(0).alias("probe"), "s").unionByName(
+        seconds.select("_key", (-F.col("s") - gap).alias("down"), F.lit(1).alias("probe"), "s")
+    )
+    met = with_last(probed, ["_key"], ["down", "probe", "s"], F.when(F.col("probe") == 0, F.col("s")), "next", group_rows=group_rows)
+    jump = cut_lineage(met.filter("probe = 1 AND next IS NOT NULL").select("_key", "s", "next"))
+    longest = seconds.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("hi"), F.min("s").alias("lo")).agg(
+        F.max(F.least(F.col("n"), F.expr(f"(hi - lo) div {gap} + 1")))
+    )
+    jumps, steps, most = [jump], 1, (longest.first()[0] or 1) - 1
+    while 2 * steps <= most:
+        first, then = jump.alias("a"), jump.alias("b")
+        onward = F.col("a._key").eqNullSafe(F.col("b._key")) & (F.col("a.next") == F.col("b.s"))
+        jump = cut_lineage(first.join(then, onward).select("a._key", "a.s", "b.next"))
+        jumps.append(jump)
+        steps *= 2
+    # from the longest pointers to the shortest: each one doubles what is reached, in one plan
+    reached = seconds.groupBy("_key").agg(F.min("s").alias("s"))
+    for jump in reversed(jumps):
+        ahead = jump.select(F.col("_key").alias("_k"), F.col("s").alias("_s"), "next")
+        both = reached.join(ahead, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("s") == F.col("_s")), "left")
+        reached = both.select("_key", F.explode(F.array_compact(F.array("s", "next"))).alias("s"))
+    return reached.select(F.col("_key").alias(key), F.col("s").alias("accepted_at"))
 
 
 def sessions(events: DataFrame, key: str = "user_id", gap: int = SESSION_GAP_SECONDS, as_of=None) -> DataFrame:

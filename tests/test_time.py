@@ -77,14 +77,28 @@ def plain_cooldown(rows, gap):
     return out
 
 
-@pytest.mark.parametrize("chunk_days", [400, 37])
-def test_cooldown_like_a_plain_loop(spark, chunk_days):
+@pytest.mark.parametrize("group_rows", [5_000_000, 50])
+def test_cooldown_like_a_plain_loop(spark, group_rows):
     rows = random_pings()
     df = spark.createDataFrame(rows, "id string, s long").select("id", F.timestamp_seconds("s").alias("ts"))
-    got = [tuple(r) for r in usage.cooldown(df, chunk_days=chunk_days).collect()]
+    got = [tuple(r) for r in usage.cooldown(df, group_rows=group_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_cooldown(rows, 86_400)
 
 
+def test_cooldown_of_ten_years_and_of_a_hot_key(spark):
+    random.seed(10)
+    rows = [("decade", d * 86_400 + random.randint(-3000, 3000)) for d in range(3650) for _ in range(2)]
+    rows += [("hot", random.randint(0, 40 * 86_400)) for _ in range(20_000)] + [("one", 5), (None, 7), (None, 86_407), (None, 86_406)]
+    df = spark.createDataFrame(rows, "id string, s long").select("id", F.timestamp_seconds("s").alias("ts"))
+    for group_rows in (5_000_000, 2_000):
+        got = [tuple(r) for r in usage.cooldown(df, group_rows=group_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_cooldown(rows, 86_400)
+    assert usage.cooldown(df.limit(0)).count() == 0
+    assert {tuple(r) for r in usage.cooldown(df, gap=0).collect()} == set(rows)
+    plan = usage.cooldown(df)._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan and "Window" not in plan.split("Physical Plan")[1]
+
+
 def test_sessions_like_a_plain_loop(spark):
     rows = [(k, s // 40) for k, s in random_pings()] + [("edge", 0), ("edge", 1800), ("edge", 3601)]
     df = spark.createDataFrame(rows, "user_id string, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
