@@ -13,9 +13,10 @@ from ..sources import documents as docs_source
 from ..sources import papers as papers_source
 from ..sources.bucketed import BucketedTable
 from ..sources.latest import LatestIndex
+from ..sources import pages as pages_source
 from ..sources.pages import as_pages
 from ..sources.pings import check_pings
-from ..sources.sinks import SnapshotStore
+from ..sources.sinks import SnapshotStore, write_rag_jsonl
 from ..streaming import jobs
 from . import playbooks
 from .views import table, view
@@ -96,6 +97,53 @@ def skeleton_flags(spark, sf):
     )
 
 
+def _log_lines(spark, sf):
+    """The fetch log as JSON lines, every 20th page with a line that was cut off."""
+    path = scratch_path(spark, "fetch-log")
+    log = view(spark, sf, "fetch_log").withColumn("final_url", F.col("url"))
+    line = F.to_json(F.struct("url", "final_url", "tier", "attempt", "status", "html", "error", "elapsed_ms"))
+    cut = F.concat(F.lit('{"url": "'), F.col("url"), F.lit('", "tier"'))
+    log.select(F.when(F.col("page_id") % 20 == 3, cut).otherwise(line).alias("value")).repartition(6).write.text(path)
+    return path
+
+
+def _log_rows(rows):
+    return rows.select(
+        "url", "tier", F.col("attempt").cast("bigint").alias("attempt"), F.col("status").cast("bigint").alias("status"), "error",
+        t.content_hash(F.col("html")).alias("html_hash"), F.lit(None).cast("string").alias("line"),
+    )
+
+
+@query
+def fetch_log_json(spark, sf):
+    """Attempts read from JSON lines, and the lines that are none."""
+    path = _log_lines(spark, sf)
+    good = _log_rows(pages_source.read_fetch_log(spark, path, "json"))
+    return good.unionByName(pages_source.fetch_log_rejects(spark, path).select("line"), allowMissingColumns=True)
+
+
+@query
+def stream_fetch_log(spark, sf):
+    """The same files as a stream, two a trigger."""
+    stream = pages_source.stream_fetch_log(spark, _log_lines(spark, sf), "json", files_per_trigger=2)
+    return _run(spark, _log_rows(stream), "log-rows").drop("line")
+
+
+@query
+def rag_lines(spark, sf):
+    """Pages written as JSON lines and read back."""
+    path = scratch_path(spark, "rag")
+    write_rag_jsonl(_pages(spark, sf).withColumn("fetched_at", F.lit("2024-01-01T00:00:00Z")), path)
+    lines = spark.read.schema("url string, title string, markdown string, fetched_at string").json(path)
+    return lines.select("url", "title", t.content_hash(F.col("markdown")).alias("markdown_hash"), "fetched_at")
+
+
+@query
+def page_expression(spark, sf):
+    """A user's expression on every page."""
+    return pages_source.with_expression(_pages(spark, sf), "cast(length(markdown) - length(replace(markdown, ' ', '')) as bigint)", "blanks").select("url", "blanks")
+
+
 @query
 def page_titles(spark, sf):
     return table(spark, sf, "pages").select("url", t.page_title(F.col("html")).alias("title"))
@@ -539,16 +587,36 @@ def search_papers_words(spark, sf):
 @query
 def arxiv_entries(spark, sf):
     """Every document wrapped as an Atom feed of one entry."""
-    words = F.regexp_replace(F.col("text"), "[^\\p{L}\\p{N} \\n]", "")
+    feed = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), _entry(), F.lit("</feed>"))
+    feeds = table(spark, sf, "documents").select("doc_id", feed.alias("xml"))
+    return _flat_papers(papers_source.parse_arxiv(feeds))
+
+
+def _entry():
+    """A document as an Atom entry; what XML does not allow in its text is escaped."""
+    words = F.col("text")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        words = F.replace(words, F.lit(sign), F.lit(name))
     d, k = F.col("doc_id").cast("string"), F.lit
-    xml = F.concat(
-        k('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://a.test/abs/'), d, k("v1</id><title> "), F.col("source"),
+    return F.concat(
+        k('<entry><id>http://a.test/abs/'), d, k("v1</id><title> "), F.col("source"),
         k("\n  paper </title><summary>"), words, k("</summary><published>2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"),
         k('</published><author><name> A '), F.col("lang"), k(' </name></author><author><name>B</name></author><category term="cs.'),
-        F.col("lang"), k('"/><link href="http://a.test/abs/x"/><link title="pdf" href="http://a.test/pdf/'), d, k('"/></entry></feed>'),
+        F.col("lang"), k('"/><link href="http://a.test/abs/x"/><link title="pdf" href="http://a.test/pdf/'), d, k('"/></entry>'),
+    )
+
+
+@query
+def arxiv_feed_scan(spark, sf):
+    """The documents as feed files, an entry a line and every 50th cut off; scanned by entry."""
+    path = scratch_path(spark, "feeds")
+    whole = F.when(F.col("doc_id") % 50 != 7, F.regexp_replace(_entry(), "[\\r\\n]", " "))
+    broken = F.concat(F.lit("<entry><id>http://a.test/abs/"), F.col("doc_id").cast("string"), F.lit("</title></entry>"))
+    table(spark, sf, "documents").select(F.coalesce(whole, broken).alias("value")).write.text(path)
+    return papers_source.read_arxiv_feeds(spark, path).select(
+        "id", "url", "pdf_url", "title", F.array_join("authors", "; ").alias("authors"), "summary", "published",
+        F.array_join("categories", "; ").alias("categories"), "error", "unread",
     )
-    feeds = table(spark, sf, "documents").select("doc_id", xml.alias("xml"))
-    return _flat_papers(papers_source.parse_arxiv(feeds))
 
 
 @query
@@ -692,6 +760,21 @@ def active_users(spark, sf):
     return usage.active_users(_pings(spark, sf))
 
 
+@query
+def active_users_sketched(spark, sf):
+    """Estimates from daily sketches, the last five days added later; is each within three errors of the exact count?"""
+    pings = _pings(spark, sf)
+    late = F.col("ts") >= F.lit("2024-01-26").cast("timestamp")
+    sketches = usage.merged_sketches(usage.daily_sketches(pings.filter(~late)), usage.daily_sketches(pings.filter(late)))
+    found = usage.active_users_sketched(sketches, "2024-01-30")
+    age = F.datediff(F.lit("2024-01-30").cast("date"), F.to_date("ts"))
+    exact = pings.agg(*(F.count_distinct(F.when((age >= 0) & (age < d), F.col("id"))).alias(n) for n, d in usage.ACTIVE_DAYS.items()), F.count_distinct("id").alias("total_unique"))
+    names = [*usage.ACTIVE_DAYS, "total_unique"]
+    truth = exact.select(F.explode(F.array(*(F.struct(F.lit(n).alias("period"), F.col(n).alias("exact")) for n in names))).alias("x")).select("x.*")
+    near = F.abs(F.coalesce("users", F.lit(0)) - F.col("exact")) <= 3 * usage.SKETCH_ERROR * F.col("exact")
+    return truth.join(found, "period", "left").select("period", "exact", _flag(near).alias("near"))
+
+
 @query
 def users_by_version(spark, sf):
     return usage.users_by(_pings(spark, sf), "version", top=usage.TOP_VERSIONS)

@@ -380,6 +380,19 @@ WHERE v.url NOT IN (SELECT url FROM linked_pages) GROUP BY 1""",
     "linked_pages",
 )
 
+_LOG_ROWS = "url, tier, CAST(attempt AS BIGINT) AS attempt, CAST(status AS BIGINT) AS status, error, sha256(coalesce(html, '')) AS html_hash"
+ORACLES["stream_fetch_log"] = with_views(f"SELECT {_LOG_ROWS} FROM fetch_log WHERE page_id % 20 <> 3", "fetch_log")
+ORACLES["fetch_log_json"] = with_views(
+    f"""
+SELECT {_LOG_ROWS}, CAST(NULL AS VARCHAR) AS line FROM fetch_log WHERE page_id % 20 <> 3
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, '{{"url": "' || url || '", "tier"' FROM fetch_log WHERE page_id % 20 = 3""",
+    "fetch_log",
+)
+ORACLES["rag_lines"] = f"""
+SELECT url, {title('html')} AS title, sha256({page_text('html')}) AS markdown_hash, '2024-01-01T00:00:00Z' AS fetched_at FROM pages"""
+ORACLES["page_expression"] = f"""
+SELECT url, CAST(length(m) - length(replace(m, ' ', '')) AS BIGINT) AS blanks FROM (SELECT url, {page_text('html')} AS m FROM pages)"""
+
 # search, research, papers
 _TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -463,11 +476,14 @@ ORACLES["search_papers_words"] = with_views(
     + " ORDER BY id LIMIT 9",
     "papers",
 )
-ORACLES["arxiv_entries"] = f"""
-SELECT doc_id, doc_id || 'v1' AS id, 'http://a.test/abs/' || doc_id || 'v1' AS url, 'http://a.test/pdf/' || doc_id AS pdf_url,
-  source || ' paper' AS title, 'A ' || lang || '; B' AS authors,
-  left({collapse(rep('text', '[^\\p{L}\\p{N} \\n]', ''))}, 1500) AS summary,
-  '2024-01-0' || (doc_id % 9 + 1) AS published, 'cs.' || lang AS categories, CAST(NULL AS VARCHAR) AS error FROM documents"""
+_PAPER = f"""doc_id || 'v1' AS id, 'http://a.test/abs/' || doc_id || 'v1' AS url, 'http://a.test/pdf/' || doc_id AS pdf_url,
+  source || ' paper' AS title, 'A ' || lang || '; B' AS authors, left({collapse('text')}, 1500) AS summary,
+  '2024-01-0' || (doc_id % 9 + 1) AS published, 'cs.' || lang AS categories"""
+ORACLES["arxiv_entries"] = f"SELECT doc_id, {_PAPER}, CAST(NULL AS VARCHAR) AS error FROM documents"
+ORACLES["arxiv_feed_scan"] = f"""
+SELECT {_PAPER}, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS unread FROM documents WHERE doc_id % 50 <> 7
+UNION ALL SELECT NULL, NULL, NULL, '', '', '', NULL, '', 'unreadable entry', '<entry><id>http://a.test/abs/' || doc_id || '</title></entry>'
+FROM documents WHERE doc_id % 50 = 7"""
 ORACLES["crossref_entries"] = f"""
 SELECT doc_id, '10.1/' || doc_id AS id, 'https://doi.org/10.1/' || doc_id AS url, CAST(NULL AS VARCHAR) AS pdf_url, source AS title,
   'Ann ' || lang || '; Group' AS authors, left({strip_tags("'<p>' || text || '</p>'")}, 1500) AS summary,
@@ -561,6 +577,16 @@ SELECT count(DISTINCT id) FILTER (WHERE ts > {_NOW} - INTERVAL 1 DAY) AS dau_24h
   count(DISTINCT id) FILTER (WHERE ts > {_NOW} - INTERVAL 30 DAY) AS mau_30d, count(DISTINCT id) AS total_unique FROM pings""",
     "pings",
 )
+_AGE = "date_diff('day', CAST(ts AS DATE), DATE '2024-01-30')"
+ORACLES["active_users_sketched"] = with_views(
+    f"""
+WITH p AS (SELECT id, {_AGE} AS age FROM pings),
+e AS (SELECT count(DISTINCT id) FILTER (WHERE age >= 0 AND age < 1) AS dau_24h, count(DISTINCT id) FILTER (WHERE age >= 0 AND age < 7) AS wau_7d,
+  count(DISTINCT id) FILTER (WHERE age >= 0 AND age < 30) AS mau_30d, count(DISTINCT id) AS total_unique FROM p)
+SELECT 'dau_24h' AS period, dau_24h AS exact, CAST(1 AS BIGINT) AS near FROM e UNION ALL SELECT 'wau_7d', wau_7d, 1 FROM e
+UNION ALL SELECT 'mau_30d', mau_30d, 1 FROM e UNION ALL SELECT 'total_unique', total_unique, 1 FROM e""",
+    "pings",
+)
 ORACLES["users_by_version"] = with_views(
     f"""
 SELECT version, count(DISTINCT id) AS users FROM pings WHERE ts > {_NOW} - INTERVAL 30 DAY GROUP BY 1 ORDER BY users DESC, version LIMIT 10""",

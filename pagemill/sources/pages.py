@@ -35,14 +35,40 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Captured attempts, parquet or JSON lines."""
-    return spark.read.schema(FETCH_LOG).format(fmt).load(path)
+    """Captured attempts, parquet or JSON lines. Of JSON, lines that cannot be read are left to ``fetch_log_rejects``."""
+    rows = spark.read.schema(_with_rest(fmt)).format(fmt).options(**_REST).load(path)
+    return _read_lines(rows) if fmt == "json" else rows
+
+
+def fetch_log_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of the JSON lines that are no attempt."""
+    rows = spark.read.schema(_with_rest("json")).format("json").options(**_REST).load(path)
+    return rows.filter(_broken()).select(F.input_file_name().alias("file"), F.col("_broken").alias("line"))
+
+
+#: Broken JSON lines arrive whole in a column of their own.
+_REST = {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}
+
+
+def _with_rest(fmt: str) -> str:
+    return f"{FETCH_LOG}, _broken string" if fmt == "json" else FETCH_LOG
+
+
+def _broken():
+    return F.col("_broken").isNotNull() | F.col("url").isNull()
+
+
+def _read_lines(rows: DataFrame) -> DataFrame:
+    return rows.filter(~_broken()).drop("_broken")
 
 
 def stream_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(FETCH_LOG)
+    """The same attempts as a stream of files, so many of them a trigger."""
+    rows = (
+        spark.readStream.schema(_with_rest(fmt))
         .option("maxFilesPerTrigger", files_per_trigger)
+        .options(**_REST)
         .format(fmt)
         .load(path)
     )
+    return _read_lines(rows) if fmt == "json" else rows

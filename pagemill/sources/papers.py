@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space, strip_tags
@@ -18,6 +18,10 @@ _ATOM = (
     "author:array<struct<name:string>>,category:array<struct<_term:string>>,"
     "link:array<struct<_title:string,_href:string>>>>"
 )
+_ENTRY = (
+    "id string, title string, summary string, published string, author array<struct<name:string>>, "
+    "category array<struct<_term:string>>, link array<struct<_title:string,_href:string>>"
+)
 _JSON = (
     "message struct<items:array<struct<DOI:string,URL:string,title:array<string>,abstract:string,"
     "author:array<struct<given:string,family:string>>,issued:struct<`date-parts`:array<array<int>>>>>>"
@@ -39,6 +43,29 @@ def parse_arxiv(df: DataFrame, xml: str = "xml") -> DataFrame:
         F.when(~readable, "unreadable feed").alias("error"),
         F.posexplode_outer("feed.entry").alias("entry_pos", "e"),
     ).filter(F.col("e").isNotNull() | F.col("error").isNotNull())
+    return _atom_papers(rows, [*others, "entry_pos"])
+
+
+def read_arxiv_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Atom feeds as files, one row per entry; an entry that cannot be read is a row with ``error`` and its text.
+
+    Files are read in pieces that end with an entry, so a large feed is split over many tasks and never held
+    whole. An entry that is cut off by the end of its file is read as far as it goes.
+    """
+    ends = spark.read.option("lineSep", "</entry>").text(path)
+    # what stands before the first entry is the head of the feed; an entry before the last one of a piece has no end
+    pieces = F.split("value", r"<entry(?=[\s>])")
+    begun = ends.select(F.posexplode(pieces).alias("at", "body"), (F.size(pieces) - 1).alias("last")).filter("at > 0")
+    text = F.concat(F.lit("<entry"), F.col("body"), F.when(F.col("at") == F.col("last"), "</entry>").otherwise(""))
+    options = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = begun.select(text.alias("text")).select("text", F.from_xml("text", f"{_ENTRY}, _corrupt string", options).alias("e"))
+    unread = F.col("e").isNull() | F.col("e._corrupt").isNotNull()
+    rows = parsed.select("e", F.when(unread, F.col("text")).alias("unread"), F.when(unread, "unreadable entry").alias("error"))
+    return _atom_papers(rows, ["unread"])
+
+
+def _atom_papers(rows: DataFrame, others: list[str]) -> DataFrame:
+    """Entries ``e`` in paper shape."""
     abs_id = strip_space(_blank(F.col("e.id")))
     names = F.transform("e.author", lambda a: strip_space(_blank(a["name"])))
     terms = F.transform("e.category", lambda c: _blank(c["_term"]))
@@ -46,7 +73,6 @@ def parse_arxiv(df: DataFrame, xml: str = "xml") -> DataFrame:
     none = F.array().cast("array<string>")
     return rows.select(
         *others,
-        "entry_pos",
         F.lit("arxiv").alias("source"),
         F.nullif(F.element_at(F.split(abs_id, "/"), -1), F.lit("")).alias("id"),
         F.lit(None).cast("string").alias("doi"),
