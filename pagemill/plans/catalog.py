@@ -578,6 +578,22 @@ def search_papers(spark, sf):
     return papers.search_papers(_papers(spark, sf), "the and", limit=25).select("id", "title")
 
 
+@query
+def search_papers_many(spark, sf):
+    """Phrases of three words and lists of six, taken from every 20th document, over one table of postings."""
+    words = search.tokens(F.col("text"))
+    asked = table(spark, sf, "documents").filter("doc_id % 20 = 0").select(
+        F.explode(F.array(
+            F.struct(F.concat("doc_id", F.lit("p")).alias("query_id"), F.array_join(F.slice(words, 3, 3), " ").alias("query")),
+            F.struct(F.concat("doc_id", F.lit("w")).alias("query_id"), F.array_join(F.slice(words, 2, 6), " ").alias("query")),
+        )).alias("q")
+    ).select("q.*")
+    path = scratch_path(spark, "paper-postings")
+    papers.paper_postings(_papers(spark, sf)).sortWithinPartitions("term").write.parquet(path)
+    out = papers.search_papers_many(spark.read.parquet(path), asked, limit=25)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query
 def search_papers_words(spark, sf):
     out = papers.search_papers(_papers(spark, sf), 'of "the" and in on', limit=9, category="cs.CV")

@@ -476,6 +476,19 @@ ORACLES["search_papers_words"] = with_views(
     + " ORDER BY id LIMIT 9",
     "papers",
 )
+_P_TOKENS = _TOKENS.format
+ORACLES["search_papers_many"] = with_views(
+    f"""
+WITH d AS (SELECT doc_id, {_P_TOKENS('text')} AS w FROM documents WHERE doc_id % 20 = 0),
+q AS (SELECT doc_id || 'p' AS query_id, w[3:5] AS w FROM d UNION ALL SELECT doc_id || 'w', w[2:7] FROM d),
+p AS (SELECT id, {_P_TOKENS('title')} AS t, {_P_TOKENS('summary')} AS s FROM papers WHERE source = 'arxiv'),
+x AS (SELECT id, t, s, ' ' || array_to_string(t, ' ') || ' ' AS tt, ' ' || array_to_string(s, ' ') || ' ' AS ss FROM p),
+m AS (SELECT query_id, id FROM q, x WHERE len(w) > 0 AND CASE WHEN len(w) <= 4
+  THEN contains(tt, ' ' || array_to_string(w, ' ') || ' ') OR contains(ss, ' ' || array_to_string(w, ' ') || ' ')
+  ELSE list_has_all(list_concat(t, s), w) END)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank, id FROM m QUALIFY rank <= 25""",
+    "papers",
+)
 _PAPER = f"""doc_id || 'v1' AS id, 'http://a.test/abs/' || doc_id || 'v1' AS url, 'http://a.test/pdf/' || doc_id AS pdf_url,
   source || ' paper' AS title, 'A ' || lang || '; B' AS authors, left({collapse('text')}, 1500) AS summary,
   '2024-01-0' || (doc_id % 9 + 1) AS published, 'cs.' || lang AS categories"""

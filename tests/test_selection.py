@@ -217,6 +217,26 @@ def test_lists_of_weak_terms_make_no_pairs(spark, monkeypatch):
     assert made == [5, 5]
 
 
+def test_many_paper_searches_match_whole_tokens(spark):
+    rows = [
+        ("arxiv", "1", "Bathe andes", "the sea and the and", ["Ann Lee"]), ("arxiv", "2", "The And", None, None),
+        ("arxiv", "3", "deep nets", "of learning things", ["Bo"]), ("arxiv", "4", "nets deep deep nets", "", ["Ann"]),
+        ("crossref", "5", "deep nets", "the and", []), ("arxiv", "6", "deep, nets!", "x x x x", ["x"]),
+    ]
+    df = spark.createDataFrame(rows, "source string, id string, title string, summary string, authors array<string>")
+    asked = [(1, "the and"), (2, "deep nets"), (3, "nets deep deep"), (4, "things of deep nets learning"), (5, ""), (6, None), (7, "ann lee"), (8, "x x x"), (9, "x x x x x"), (10, "bo deep")]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    postings = papers.paper_postings(df)
+    got = {}
+    for r in sorted(papers.search_papers_many(postings, queries, 25).collect()):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {1: ["1", "2"], 2: ["3", "4", "6"], 3: ["4"], 4: ["3"], 7: ["1"], 8: ["6"], 9: ["6"]}
+    other = papers.search_papers_many(postings, queries, 25, source="crossref")
+    assert sorted((r.query_id, r.id) for r in other.collect()) == [(1, "5"), (2, "5"), (3, "5")]
+    assert papers.search_papers_many(postings, queries, 25, source="web").count() == 0
+    assert papers.search_papers_many(postings, queries, 1).filter("query_id = 2").collect()[0].id == "3"
+
+
 def test_search_papers(spark):
     rows = [("arxiv", str(i), f"Deep nets {i}", "on learning of things", ["cs.LG"] if i % 2 else ["cs.CV"]) for i in range(30)]
     df = spark.createDataFrame(rows, "source string, id string, title string, summary string, categories array<string>")
