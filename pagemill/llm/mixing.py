@@ -3,8 +3,7 @@
 Documents are aggregated by the set of sources they belong to. Each pattern can give its words once for
 nothing and again at a rising price (convex repetition costs); each source can take its quota. The cheapest
 flow says how many words every pattern gives; inside a pattern a seeded order says which documents give
-them. Only one row per pattern ever reaches the driver. Where each document has one source and there are
-too many sources for the driver, the same targets and passes come from windows over the sources.
+them. Each connected component of patterns and sources is a flow of its own, solved in a task.
 """
 
 from __future__ import annotations
@@ -12,16 +11,18 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import count_words, whole
+from .graph import star_components
 
 MAX_REPEATS = 3
 SEED = "mix-1"
-#: Most membership patterns the flow is solved for; with more, overlapping ones raise an error instead of a partial mix.
-MAX_PATTERNS = 4096
+#: Tables of at most so many patterns are broadcast; larger ones are joined.
+BROADCAST_PATTERNS = 4096
 BUCKET_DIGITS = 3
 
 
@@ -112,68 +113,80 @@ def _order_key(seed: str) -> Column:
     return F.md5(row.cast("binary"))
 
 
-def _plan_of_many(patterns: DataFrame, quotas: dict | None, weights: Sequence[int], repeats: int) -> DataFrame:
-    """The plan of single sources by windows: what ``shared_targets`` and the flow give, for any number of them."""
-    sized = patterns.withColumn("source", F.get("mix_members", F.lit(0)))
+def _targets(sizes: DataFrame, total: int, quotas: dict | None, weights: Sequence[int], repeats: int) -> DataFrame:
+    """(source, source_size, target) of every source: the given quotas, or what ``shared_targets`` says, for any number of them.
+
+    Where sources overlap, ``total`` words are shared, not the words per membership.
+    """
     if quotas is not None:
-        given = patterns.sparkSession.createDataFrame([(k, float(t)) for k, t in quotas.items()], "q_source string, quota double")
-        targets = sized.join(given, F.col("source").eqNullSafe(F.col("q_source")), "left").withColumn("target", F.coalesce("quota", F.lit(0.0)))
-    else:
-        turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-        level = Window.orderBy(F.col("size").cast("double") / F.col("weight"), F.col("source").asc_nulls_last())
-        big = lambda c: c.cast("decimal(38,0)")
-        below = F.coalesce(F.sum("size").over(level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = sized.withColumn("weight", F.get(F.array(*[F.lit(int(w)) for w in weights]), turn).cast("long")).select(
-            "*",
-            F.row_number().over(level).alias("pos"),
-            (F.sum("size").over(Window.partitionBy()) - repeats * below).alias("left"),
-            F.sum("weight").over(level.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("weight_left"),
-        )
-        shared = big(repeats * F.col("size")) * F.col("weight_left") >= big(F.col("left")) * F.col("weight")
-        first = ranked.filter(shared).agg(F.min(F.struct("pos", "left", "weight_left")).alias("f"))
-        targets = ranked.crossJoin(F.broadcast(first)).withColumn(
-            "target",
-            F.when(F.col("f").isNull() | (F.col("pos") < F.col("f.pos")), (repeats * F.col("size")).cast("double")).otherwise(
-                (F.col("weight") * F.col("f.left")).cast("double") / F.col("f.weight_left")
-            ),
+        given = sizes.sparkSession.createDataFrame([(k, float(t)) for k, t in quotas.items()], "q_source string, quota double")
+        return sizes.join(given, F.col("source").eqNullSafe(F.col("q_source")), "left").select(
+            "source", F.col("size").alias("source_size"), F.coalesce("quota", F.lit(0.0)).alias("target")
         )
-    total = F.least(F.floor("target").cast("long"), repeats * F.col("size"))
-    return targets.select(
-        F.col("mix_members").alias("mix_p_members"),
-        total.alias("_total"), F.col("size").alias("mix_p_source_size"), F.col("target").alias("mix_p_target"),
-    ).select(
-        "mix_p_members",
-        F.when(F.col("mix_p_source_size") > 0, F.expr("_total div mix_p_source_size")).otherwise(0).cast("long").alias("mix_p_passes"),
-        F.when(F.col("mix_p_source_size") > 0, F.expr("_total % mix_p_source_size")).otherwise(0).cast("long").alias("mix_p_rest"),
-        "mix_p_source_size", "mix_p_target",
+    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
+    level = Window.orderBy(F.col("size").cast("double") / F.col("weight"), F.col("source").asc_nulls_last())
+    big = lambda c: c.cast("decimal(38,0)")
+    below = F.coalesce(F.sum("size").over(level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("size").over(Window.partitionBy())
+    ranked = sizes.withColumn("weight", F.get(F.array(*[F.lit(int(w)) for w in weights]), turn).cast("long")).select(
+        "*",
+        F.row_number().over(level).alias("pos"),
+        every.alias("every"),
+        (every - repeats * below).alias("left"),
+        F.sum("weight").over(level.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("weight_left"),
+    )
+    shared = big(repeats * F.col("size")) * F.col("weight_left") >= big(F.col("left")) * F.col("weight")
+    first = ranked.filter(shared).agg(F.min(F.struct("pos", "left", "weight_left")).alias("f"))
+    target = F.when(F.col("f").isNull() | (F.col("pos") < F.col("f.pos")), (repeats * F.col("size")).cast("double")).otherwise(
+        (F.col("weight") * F.col("f.left")).cast("double") / F.col("f.weight_left")
+    )
+    scaled = F.when(F.col("every") == total, target).otherwise(target * (F.lit(float(total)) / F.col("every")))
+    return ranked.crossJoin(F.broadcast(first)).select("source", F.col("size").alias("source_size"), scaled.alias("target"))
+
+
+def _source_node(source: Column) -> Column:
+    return F.when(source.isNull(), "null").otherwise(F.concat(F.lit("s:"), source))
+
+
+def _plan(patterns: DataFrame, quotas: dict | None, weights: Sequence[int], repeats: int) -> DataFrame:
+    """Passes and rest of every pattern by the cheapest flow of its component.
+
+    Patterns and sources that no pattern connects share no words: each connected component is a flow of its own,
+    solved in the task that gets it. A pattern of one source, which no other pattern has, is a component by itself.
+    """
+    members = patterns.select("mix_members", F.explode("mix_members").alias("source"), "size")
+    sizes = cut_lineage(members.groupBy("source").agg(F.sum("size").alias("size")))
+    total = patterns.agg(F.sum("size")).first()[0] or 0
+    targets = cut_lineage(_targets(sizes, total, quotas, weights, repeats))
+    pattern_node = F.concat(F.lit("p:"), F.to_json(F.struct("mix_members"), {"ignoreNullFields": "false"}))
+    edges = members.filter(F.size("mix_members") > 1).select(pattern_node.alias("a"), _source_node(F.col("source")).alias("b"))
+    roots = star_components(edges)
+    # a pattern belongs to the component of its first source, with all its others
+    nodes = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    named = patterns.withColumn("_at", F.coalesce(_source_node(F.get("mix_members", F.lit(0))), F.lit("none"))).join(
+        nodes, F.col("_at") == F.col("_node"), "left"
+    ).select(F.coalesce("_root", "_at").alias("component"), "mix_members", "size")
+    wanted = targets.withColumn("_at", _source_node(F.col("source"))).join(nodes, F.col("_at") == F.col("_node"), "left").select(
+        F.coalesce("_root", "_at").alias("component"), "source", "source_size", "target", F.lit(True).alias("is_source")
     )
+    both = named.unionByName(wanted, allowMissingColumns=True)
 
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        said = rows["is_source"].notna()
+        facts = {(None if pd.isna(r.source) else r.source): (int(r.source_size), float(r.target)) for r in rows[said].itertuples()}
+        supply = sorted(
+            ((tuple(m), int(n)) for m, n in zip(rows["mix_members"][~said], rows["size"][~said])), key=lambda p: [(s is None, s or "") for s in p[0]]
+        )
+        sent = cheapest_flow(supply, {s: t for s, (_, t) in facts.items()}, repeats)
+        plan = []
+        for (held, size), words in zip(supply, sent):
+            passes, rest = divmod(sum(words.values()), size) if size else (0, 0)
+            source_size, target = facts.get(held[0], (0, 0.0)) if held else (0, 0.0)
+            plan.append((list(held), passes, rest, source_size, target))
+        return pd.DataFrame(plan, columns=["mix_p_members", "mix_p_passes", "mix_p_rest", "mix_p_source_size", "mix_p_target"])
 
-def _plan(docs: DataFrame, patterns: list, quotas: dict | None, weights: Sequence[int], repeats: int) -> DataFrame:
-    """Passes and rest of every pattern by the flow."""
-    supply = sorted(((tuple(r[0] or ()), r[1] or 0) for r in patterns), key=lambda p: [(s is None, s or "") for s in p[0]])
-    sizes: dict = {}
-    for pattern, size in supply:
-        for s in pattern:
-            sizes[s] = sizes.get(s, 0) + size
-    if quotas is None:
-        targets = shared_targets(sizes, weights, repeats) if len(supply) and all(len(p) == 1 for p, _ in supply) else {}
-        if not targets and sizes:
-            # overlapping sources: share the words there are, not the words per membership
-            scale = sum(size for _, size in supply) / max(1, sum(sizes.values()))
-            targets = {s: t * scale for s, t in shared_targets(sizes, weights, repeats).items()}
-    else:
-        targets = {s: float(t) for s, t in quotas.items()}
-    flow = cheapest_flow(supply, targets, repeats)
-
-    plan_rows = []
-    for (pattern, size), sent in zip(supply, flow):
-        total = sum(sent.values())
-        passes, rest = divmod(total, size) if size else (0, 0)
-        first = pattern[0] if pattern else None
-        plan_rows.append((list(pattern), passes, rest, sizes.get(first, 0), targets.get(first, 0.0)))
-    return docs.sparkSession.createDataFrame(
-        plan_rows, "mix_p_members array<string>, mix_p_passes long, mix_p_rest long, mix_p_source_size long, mix_p_target double"
+    return both.groupBy("component").applyInPandas(
+        solve, "mix_p_members array<string>, mix_p_passes long, mix_p_rest long, mix_p_source_size long, mix_p_target double"
     )
 
 
@@ -194,18 +207,14 @@ def mix_sources(
     Columns whose names begin with ``mix_`` are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    single = members is None
     members = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(members))
     sized = docs.withColumns({"mix_members": members, "mix_size": count_words(whole("text")), "mix_key": _order_key(seed)})
     narrow = cut_lineage(sized.select("mix_members", "mix_size", "mix_key"))
 
-    grouped = narrow.groupBy("mix_members").agg(F.sum("mix_size").alias("size"))
-    patterns = grouped.limit(MAX_PATTERNS + 1).collect()
-    many = len(patterns) > MAX_PATTERNS
-    if many and not single:
-        raise ValueError(f"more than {MAX_PATTERNS} overlapping membership patterns")
-    small = F.broadcast if not many else lambda df: df  # at most MAX_PATTERNS rows
-    plan = small(cut_lineage(_plan_of_many(grouped, quotas, weights, repeats)) if many else _plan(docs, patterns, quotas, weights, repeats))
+    patterns = cut_lineage(narrow.groupBy("mix_members").agg(F.sum("mix_size").alias("size")))
+    few = patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
+    small = F.broadcast if few else lambda df: df
+    plan = small(cut_lineage(_plan(patterns, quotas, weights, repeats)))
 
     # the last pass over a pattern stops at a key: found by hash buckets, then inside one bucket
     def planned(df: DataFrame) -> DataFrame:

@@ -88,10 +88,52 @@ def test_sql_agrees(spark, small):
     assert sorted(map(tuple, queries.op9_mix_sources(spark, small).collect())) == want
 
 
-def test_more_sources_than_the_driver_takes(spark, make, documents, monkeypatch):
+def test_many_single_sources(make, documents, monkeypatch):
     rows = [(i, " ".join(["w"] * (1 + i % 13 + (400 if i % 1000 == 0 else 0))), "en", f"host{i % 4200}") for i in range(5000)]
     check(mixing.mix_sources(make([*rows, (9000, "no source here", "en", None)])))
     quotas = {r.source: 700 for r in documents.select("source").distinct().collect()}
     want = [sorted(map(tuple, mixing.mix_sources(documents, **k).collect())) for k in ({}, {"quotas": quotas})]
-    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 3)
     assert [sorted(map(tuple, mixing.mix_sources(documents, **k).collect())) for k in ({}, {"quotas": quotas})] == want
+
+
+def test_ten_thousand_overlapping_patterns(spark):
+    """Each pair of sources has three patterns; its flow does not depend on the other pairs."""
+    kinds = [lambda k: [f"a{k}"], lambda k: [f"a{k}", f"b{k}"], lambda k: [f"b{k}"]]
+    rows = [(3 * k + j, "w " * (2 + j), kinds[j](k)) for k in range(3400) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, member array<string>")
+    quotas = {f"{x}{k}": n for k in range(3400) for x, n in (("a", 4), ("b", 5))}
+    taken = {r.doc_id: r.mix_taken for r in mixing.mix_sources(docs, members=docs["member"], quotas=quotas).select("doc_id", "mix_taken").collect()}
+    assert len(taken) == 10_200
+    # nine words are wanted of nine there are: everything once
+    assert all(taken[i] == 2 + i % 3 for i in taken)
+
+
+def brute_flow(supply, quotas, repeats=3):
+    """Most words, then least cost, over all ways to send them."""
+    import itertools
+
+    slots = [(i, s) for i, (held, _) in enumerate(supply) for s in held if s in quotas]
+    best = (0, 0)
+    for sent in itertools.product(*(range(min(repeats * supply[i][1], quotas[s]) + 1) for i, s in slots)):
+        per, got = [0] * len(supply), defaultdict(int)
+        for (i, s), n in zip(slots, sent):
+            per[i] += n
+            got[s] += n
+        if all(got[s] <= quotas[s] for s in got) and all(p <= repeats * n for p, (_, n) in zip(per, supply)):
+            cost = sum((w // n) ** 2 for p, (_, n) in zip(per, supply) for w in range(p)) if all(n for _, n in supply) else 0
+            best = max(best, (sum(per), -cost))
+    return best
+
+
+def test_flow_is_the_cheapest():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        supply = [(tuple(sorted(rng.sample("abc", rng.randint(1, 2)))), rng.randint(1, 2)) for _ in range(3)]
+        quotas = {s: rng.randint(0, 5) for s in "abc"}
+        sent = mixing.cheapest_flow(supply, quotas)
+        per = [sum(x.values()) for x in sent]
+        cost = sum((w // n) ** 2 for p, (_, n) in zip(per, supply) for w in range(p))
+        assert (sum(per), -cost) == brute_flow(supply, quotas)
