@@ -3,6 +3,7 @@
 from .centroids import CLUSTERS, COMPONENTS, ROUNDS, SCALE
 from .centroids import SEED as HASH_SEED
 from .collocations import HELD_PERCENT, LOWER, MAX_WORDS, MIN_COUNT, SCORE_UNIT, TOP, UPPER
+from .embeddings import MIN_COSINE
 from .mixing import SEED
 from .quality import MAX_DOCS_PER_HOST, MAX_REPEAT_PERCENT, MIN_KEPT_PERCENT, MIN_WORDS
 
@@ -130,3 +131,19 @@ SELECT * FROM (
   WHERE holder IS NULL OR 100 * holder < {HELD_PERCENT} * a)
 WHERE rank <= {TOP}
 """
+
+EMBEDDING_LINKS = f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label,
+    CASE WHEN label IS NOT NULL AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+      AND len([x FOR x IN embedding IF x <> 0]) > 0 THEN CAST(embedding AS DOUBLE[]) END AS e
+  FROM embeddings),
+link AS MATERIALIZED (
+  SELECT a.rid, b.rid AS other FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid
+  WHERE list_cosine_similarity(a.e, b.e) >= {MIN_COSINE}),
+reach AS (SELECT rid, rid AS other FROM v UNION SELECT r.rid, l.other FROM reach r JOIN link l ON l.rid = r.other),
+c AS (SELECT r.rid, min(o.vec_id) AS component_id FROM reach r JOIN v o ON o.rid = r.other GROUP BY r.rid),
+n AS (SELECT rid, count(*) AS n FROM link GROUP BY rid)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -103,5 +103,6 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": oracles.QUALITY_RULES,
     "op9_mix_sources": oracles.MIX_SOURCES,
     "op11_collocations": oracles.COLLOCATIONS,
+    "op12_embedding_dedup": oracles.EMBEDDING_LINKS,
     "op13_centroid_clustering": oracles.CENTROID_CLUSTERING,
 }
