@@ -221,6 +221,20 @@ def snapshot_keys(spark, sf):
     )
 
 
+@query
+def snapshot_key_collisions(spark, sf):
+    """Different URLs that share a key: long ones, cut after 200 characters, and ones that differ in punctuation."""
+    page = table(spark, sf, "pages").select("url", "page_id")
+    tail = F.repeat(F.lit("a"), F.lit(200))
+    forms = F.array(
+        F.col("url"), F.concat("url", F.lit("?"), tail, F.lit("1")), F.concat("url", F.lit("?"), tail, F.lit("2")),
+        F.concat("url", F.lit("!~")), F.concat("url", F.lit("~!")), F.concat("url", F.lit("~!"), F.col("page_id").cast("string")),
+    )
+    urls = page.select(F.explode(forms).alias("url"))
+    keyed = urls.groupBy(u.snapshot_key(F.col("url")).alias("file_key")).agg(F.count_distinct("url").alias("urls"), F.min("url").alias("first_url"))
+    return keyed.filter("urls > 1")
+
+
 @query
 def path_filter(spark, sf):
     kept = u.path_filter(F.col("url"), r"/(en|fr)/", r"page=\d|#top")

@@ -166,6 +166,11 @@ SELECT doc_id, href, CASE WHEN h = '' OR regexp_matches(h, '^(#|javascript:|mail
 FROM (SELECT *, trim(href) AS h FROM redirects) t""",
     "redirects",
 )
+ORACLES["snapshot_key_collisions"] = """
+WITH u AS (SELECT DISTINCT unnest([url, url || '?' || repeat('a', 200) || '1', url || '?' || repeat('a', 200) || '2', url || '!~', url || '~!',
+  url || '~!' || page_id]) AS url FROM pages)
+SELECT left(regexp_replace(url, '[^a-zA-Z0-9._-]', '_', 'g'), 200) AS file_key, count(*) AS urls, min(url) AS first_url
+FROM u GROUP BY 1 HAVING count(*) > 1"""
 ORACLES["snapshot_keys"] = """
 SELECT left(regexp_replace(url, '[^a-zA-Z0-9._-]', '_', 'g'), 200) AS file_key, count(DISTINCT url) AS urls FROM pages GROUP BY 1"""
 ORACLES["path_filter"] = r"SELECT url FROM pages WHERE regexp_matches(url, '/(en|fr)/') AND NOT regexp_matches(url, 'page=\d|#top')"
