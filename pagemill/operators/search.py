@@ -18,6 +18,8 @@ SEARCH_LIMIT = 10
 UNITS = 10**10
 # scores are rounded before they are ranked: a document this near below a bound may still draw level
 ROUNDING = 2 * UNITS // 10**SCORE_DIGITS
+# (query, posting) pairs that are scored without looking for bounds
+PRUNE_PAIRS = 20_000_000
 # postings of a query's rarest terms that are summed to find the first bound
 SEED_POSTINGS = 1000
 INDEX_BUCKETS = 256
@@ -72,14 +74,23 @@ def impacts(counts: DataFrame, corpus: DataFrame, doc_id: str) -> tuple[DataFram
 
 
 def best_documents(
-    asked: DataFrame, postings: DataFrame, terms: DataFrame, limit: int, query_id: str, doc_id: str, fits: bool = True, seed_postings: int = SEED_POSTINGS
+    asked: DataFrame,
+    postings: DataFrame,
+    terms: DataFrame,
+    limit: int,
+    query_id: str,
+    doc_id: str,
+    fits: bool = True,
+    seed_postings: int = SEED_POSTINGS,
+    prune_pairs: int = PRUNE_PAIRS,
 ) -> DataFrame:
     """query_id, rank, doc_id, score of the ``limit`` best documents, with lists of frequent terms read for finalists only.
 
     A query's rarest terms are summed first: the ``limit``-th best sum is a score that ``limit`` documents reach.
     Terms whose greatest impacts together stay below it cannot bring up a document by themselves, so no
     (query, document) pair is made from their lists. Documents that could still reach the bound with all of
-    those terms get them looked up; only they are scored in full. The result is that of a full scoring.
+    those terms get them looked up; only they are scored in full. The result is that of a full scoring, which
+    up to ``prune_pairs`` (query, posting) pairs is done outright, as it costs less than the rounds.
     """
     limit = max(limit, 1)
     known = asked.join(terms, "term").select(query_id, "term", "df", "most")
@@ -96,6 +107,13 @@ def best_documents(
             F.max(F.when(F.col("at") == limit, F.col("part"))).alias("bound")
         )
 
+    def ranked(parts: DataFrame) -> DataFrame:
+        scored = parts.select(query_id, doc_id, F.round(F.col("part") / UNITS, SCORE_DIGITS).alias("score"))
+        best = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
+        return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).select(query_id, "rank", doc_id, "score")
+
+    if prune_pairs and (known.agg(F.sum("df")).first()[0] or 0) <= prune_pairs:
+        return ranked(sums(known))
     weakest = Window.partitionBy(query_id).orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     split = cut_lineage(
         known.join(bound(sums(seeds)), query_id, "left")
@@ -114,11 +132,7 @@ def best_documents(
     looked_up = finalists.join(weak.select(query_id, "term"), query_id)
     near = pick_rows(postings, finalists.select(doc_id).distinct(), doc_id)
     added = looked_up.join(near, ["term", doc_id]).select(query_id, doc_id, F.col("impact").alias("part"))
-    scored = finalists.unionByName(added).groupBy(query_id, doc_id).agg(
-        F.round(F.sum("part") / UNITS, SCORE_DIGITS).alias("score")
-    )
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).select(query_id, "rank", doc_id, "score")
+    return ranked(finalists.unionByName(added).groupBy(query_id, doc_id).agg(F.sum("part").alias("part")))
 
 
 def _asked_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
@@ -175,7 +189,13 @@ class SearchIndex:
         return F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int")
 
     def search(
-        self, queries: DataFrame, limit: int = SEARCH_LIMIT, query_id: str = "query_id", query: str = "query", broadcast_rows: int = BROADCAST_ROWS
+        self,
+        queries: DataFrame,
+        limit: int = SEARCH_LIMIT,
+        query_id: str = "query_id",
+        query: str = "query",
+        broadcast_rows: int = BROADCAST_ROWS,
+        prune_pairs: int = PRUNE_PAIRS,
     ) -> DataFrame:
         """As ``search_corpus`` over the indexed documents; only the buckets of the query's terms are read."""
         asked = cut_lineage(_asked_terms(queries, query_id, query))
@@ -184,7 +204,7 @@ class SearchIndex:
         mine = F.col("bucket").isin(buckets) if buckets else F.lit(False)
         postings = self.spark.read.parquet(f"{self.path}/postings").filter(mine).drop("bucket")
         terms = self.spark.read.parquet(f"{self.path}/terms")
-        return best_documents(asked, postings, terms, limit, query_id, "doc_id", fits)
+        return best_documents(asked, postings, terms, limit, query_id, "doc_id", fits, prune_pairs=prune_pairs)
 
 
 def with_hit_text(

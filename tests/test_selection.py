@@ -174,10 +174,10 @@ def skewed_corpus(n=400):
     return [*asked, (90, "unknown"), (91, ""), (92, "w0"), (93, "w299 w0 w1 w2")], docs
 
 
-@pytest.mark.parametrize("limit, seeds", [(1, 1), (5, 10), (50, 1000)])
-def test_pruned_search_gives_the_full_ranking(spark, monkeypatch, limit, seeds):
+@pytest.mark.parametrize("limit, seeds, pairs", [(1, 1, 0), (5, 10, 0), (50, 1000, 0), (5, 10, 10**9)])
+def test_pruned_search_gives_the_full_ranking(spark, monkeypatch, limit, seeds, pairs):
     asked, docs = skewed_corpus()
-    monkeypatch.setattr(search.best_documents, "__defaults__", (True, seeds))
+    monkeypatch.setattr(search.best_documents, "__defaults__", (True, seeds, pairs))
     frames = spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame(docs, "doc_id int, text string")
     got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in search.search_corpus(*frames, limit).collect())
     want = plain_bm25(asked, docs, limit)
@@ -205,6 +205,7 @@ def test_lists_of_weak_terms_make_no_pairs(spark, monkeypatch):
     frames = spark.createDataFrame([(1, "rare special common")], "query_id int, query string"), spark.createDataFrame(docs, "doc_id int, text string")
     made = []
     plain = search.cut_lineage
+    monkeypatch.setattr(search.best_documents, "__defaults__", (True, 1000, 0))
 
     def seen(df):
         out = plain(df)
