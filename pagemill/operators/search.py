@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_once
 from ..session import cut_lineage
 from .joins import BROADCAST_ROWS, fits_broadcast, join_checked, pick_rows
 
@@ -23,6 +27,8 @@ PRUNE_PAIRS = 20_000_000
 # postings of a query's rarest terms that are summed to find the first bound
 SEED_POSTINGS = 1000
 INDEX_BUCKETS = 256
+# bytes of text that are counted at once, or one document
+COUNT_BYTES = 8 << 20
 
 
 # ASCII is tested first; \p classes are costly and only needed beyond it
@@ -34,43 +40,70 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NO_TOKEN), "")
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str, terms: DataFrame | None = None, fits: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, term, tf, dl) of the corpus or of the given ``terms`` only, and its figures (n, avgdl) as one row.
-
-    A document's tokens sit in one row, so they are counted where they are read; counts are shuffled, tokens
-    never. Terms that fit a broadcast are picked before counting, others after it.
-    """
-    words = docs.select(doc_id, tokens(F.col(text)).alias("words")).select(doc_id, "words", F.size("words").alias("dl"))
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, term, tf, dl) of (doc_id, words in one string); the empty term marks each document."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = (np.cumsum(size) - size) // COUNT_BYTES
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        for start, end in zip(starts, [*starts[1:], len(size)]):
+            ids, texts = (batch.column(c).slice(start, end - start) for c in (0, 1))
+            lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+            rows, words = pc.list_parent_indices(lists).to_numpy(), lists.flatten().dictionary_encode()
+            kept = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)[codes := words.indices.to_numpy()]
+            n = max(len(words.dictionary), 1)
+            keys, tf = np.unique(rows[kept].astype(np.int64) * n + codes[kept], return_counts=True)
+            marks = np.arange(end - start)
+            dl = np.bincount(rows[kept], minlength=end - start).astype(np.int32)
+            at = np.concatenate([marks, keys // n])
+            terms = pa.concat_arrays([pa.array([""] * len(marks), pa.string()), words.dictionary.take(pa.array(keys % n)).cast(pa.string())])
+            tfs = np.concatenate([np.ones(len(marks), np.int64), tf])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), terms, pa.array(tfs), pa.array(dl[at])], ["doc_id", "term", "tf", "dl"])
+
+
+def _counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, term, tf, dl) of every document; counts of rows with one id are added up."""
+    words = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), _NO_TOKEN, " ")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    counts = docs.select(F.col(doc_id).alias("doc_id"), words.alias("words")).mapInArrow(_count_words, f"doc_id {kind}, term string, tf bigint, dl int")
+    # a document's words are in one row and are counted where they are read; only repeated ids need a shuffle
+    if not docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        counts = counts.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    return counts.select(F.col("doc_id").alias(doc_id), "term", "tf", "dl")
+
+
+def corpus_figures(counts: DataFrame) -> DataFrame:
+    """n and avgdl as one row, from the counts of the empty term."""
+    return counts.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+
+
+def term_counts(docs: DataFrame, doc_id: str, text: str, terms: DataFrame, fits: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, term, tf, dl) of the given ``terms`` in the corpus, and its figures (n, avgdl) as one row."""
     # the empty term, which no text has, marks each document: the corpus figures come from the same scan
-    rows = explode_once(words, [doc_id, "dl"], F.array_append("words", F.lit("")), "at", "term").select(doc_id, "dl", "term")
+    wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    counts = cut_lineage(join_checked(_counted(docs, doc_id, text), wanted, ["term"], doc_id, fits, "left_semi"))
+    return counts.filter("term <> ''"), corpus_figures(counts)
 
-    def counted(tokenised: DataFrame) -> DataFrame:
-        return tokenised.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
-    if terms is None:
-        counts = counted(rows)
-    else:
-        wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-        first, then = (rows, counted) if fits else (counted(rows), lambda df: df)
-        counts = then(join_checked(first, wanted, ["term"], doc_id, fits, "left_semi"))
-    counts = cut_lineage(counts)
-    corpus = counts.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    return counts.filter("term <> ''"), corpus
+def impacts(counts: DataFrame, corpus: DataFrame, doc_id: str) -> DataFrame:
+    """Postings (term, doc_id, impact).
 
+    The impact of a term in a document is its BM25 part before the term's weight; it does not depend on the query,
+    so a list can be ordered by it and its greatest value bounds what the term adds to any document.
+    """
+    norm = K1 * (1 - B + B * F.col("dl") / corpus.select("avgdl").scalar())
+    return counts.select("term", doc_id, (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("impact"))
 
-def impacts(counts: DataFrame, corpus: DataFrame, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, doc_id, impact in UNITS) and terms (term, df, most).
 
-    The impact of a term in a document is its BM25 part; it does not depend on the query, so a list can be
-    ordered by it and its greatest value bounds what the term adds to any document.
-    """
-    stats = corpus.select(F.struct("n", "avgdl")).scalar()
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = K1 * (1 - B + B * F.col("dl") / stats["avgdl"])
-    impact = (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
-    postings = counts.join(df.select("term", idf.alias("idf")), "term").select("term", doc_id, F.round(impact * UNITS).cast("long").alias("impact"))
-    return postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))
+def term_figures(postings: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Terms (term, df, idf, most): weight and greatest part, in UNITS."""
+    idf = F.log(1 + (corpus.select("n").scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    sizes = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("impact")).withColumn("idf", idf)
+    return sizes.select("term", "df", "idf", _part().alias("most"))
+
+
+def _part() -> Column:
+    return F.round(F.col("idf") * F.col("impact") * UNITS).cast("long")
 
 
 def best_documents(
@@ -93,13 +126,13 @@ def best_documents(
     up to ``prune_pairs`` (query, posting) pairs is done outright, as it costs less than the rounds.
     """
     limit = max(limit, 1)
-    known = asked.join(terms, "term").select(query_id, "term", "df", "most")
+    known = cut_lineage(join_checked(terms, asked, ["term"], "term", fits).select(query_id, "term", "df", "idf", "most"))
     rarest = Window.partitionBy(query_id).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     seeds = known.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).filter(F.col("before") < seed_postings)
 
     def sums(chosen: DataFrame) -> DataFrame:
-        met = join_checked(postings, chosen.select(query_id, "term"), ["term"], doc_id, fits)
-        return met.groupBy(query_id, doc_id).agg(F.sum("impact").alias("part"))
+        met = join_checked(postings, chosen.select(query_id, "term", "idf"), ["term"], doc_id, fits)
+        return met.groupBy(query_id, doc_id).agg(F.sum(_part()).alias("part"))
 
     def bound(parts: DataFrame) -> DataFrame:
         best = Window.partitionBy(query_id).orderBy(F.desc("part"), doc_id)
@@ -129,9 +162,10 @@ def best_documents(
         .select(query_id, doc_id, "part")
     )
     # the lists of weak terms meet finalists only, by document
-    looked_up = finalists.join(weak.select(query_id, "term"), query_id)
-    near = pick_rows(postings, finalists.select(doc_id).distinct(), doc_id)
-    added = looked_up.join(near, ["term", doc_id]).select(query_id, doc_id, F.col("impact").alias("part"))
+    looked_up = finalists.join(weak.select(query_id, "term", "idf"), query_id)
+    lists = join_checked(postings, weak.select("term").distinct(), ["term"], doc_id, fits, "left_semi")
+    near = pick_rows(lists, finalists.select(doc_id).distinct(), doc_id)
+    added = looked_up.join(near, ["term", doc_id]).select(query_id, doc_id, _part().alias("part"))
     return ranked(finalists.unionByName(added).groupBy(query_id, doc_id).agg(F.sum("part").alias("part")))
 
 
@@ -157,15 +191,17 @@ def search_corpus(
     asked = cut_lineage(_asked_terms(queries, query_id, query))
     fits = fits_broadcast(asked, broadcast_rows)
     counts, corpus = term_counts(docs, doc_id, text, asked, fits)
-    postings, terms = impacts(counts, corpus, doc_id)
-    return best_documents(asked, cut_lineage(postings), cut_lineage(terms), limit, query_id, doc_id, fits)
+    corpus = cut_lineage(corpus)
+    postings = impacts(counts, corpus, doc_id)
+    return best_documents(asked, postings, cut_lineage(term_figures(postings, corpus)), limit, query_id, doc_id, fits)
 
 
 class SearchIndex:
     """Postings of a corpus kept between searches.
 
     ``postings`` (term, doc_id, impact) lie in buckets of terms, each list ordered by impact from high to low;
-    ``terms`` has the figures of every term. A long list is written by several tasks.
+    ``terms`` has the figures of every term, ``counts`` the occurrences they come from. A long list is written by
+    several tasks.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -175,13 +211,15 @@ class SearchIndex:
     def write(cls, docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> SearchIndex:
         """Index all of ``docs``, into a folder that is not there yet."""
         index = cls(docs.sparkSession, path)
-        counts, corpus = term_counts(docs, doc_id, text)
-        postings, terms = impacts(counts, corpus, doc_id)
-        kept = postings.select(index.bucket().alias("bucket"), "term", F.col(doc_id).alias("doc_id"), "impact")
+        # texts are read once: bounds of the ranges, figures and lists come from the stored counts
+        _counted(docs, doc_id, text).withColumnRenamed(doc_id, "doc_id").write.parquet(f"{index.path}/counts")
+        counts = docs.sparkSession.read.parquet(f"{index.path}/counts")
+        corpus = cut_lineage(corpus_figures(counts))
+        kept = impacts(counts.filter("term <> ''"), corpus, "doc_id").select(index.bucket().alias("bucket"), "term", "doc_id", "impact")
         order = ["bucket", "term", F.desc("impact"), "doc_id"]
         kept.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{index.path}/postings")
         stored = docs.sparkSession.read.parquet(f"{index.path}/postings")
-        stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most")).write.parquet(f"{index.path}/terms")
+        term_figures(stored, corpus).write.parquet(f"{index.path}/terms")
         return index
 
     @staticmethod

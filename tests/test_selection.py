@@ -292,3 +292,17 @@ def test_frequent_phrases_do_not_meet_all_papers(spark, monkeypatch):
     got = papers.search_papers_many(papers.paper_postings(df), queries, 25).collect()
     assert sorted((r.query_id, r.rank, r.id) for r in got) == [(q, i + 1, f"{i:05d}") for q in range(20) for i in range(25)]
     assert 0 < sum(made) < 60_000
+
+
+def test_words_are_counted_where_they_are_read(spark, tmp_path):
+    """No shuffle of counts for unique ids; repeated and null ids add up; the postings need no join with their terms."""
+    docs = [(1, "A b a, é!"), (2, None), (3, " ,; "), (None, "x x"), (4, "b" * 30)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    want = {(1, "", 1, 4), (1, "a", 2, 4), (1, "b", 1, 4), (1, "é", 1, 4), (2, "", 1, 0), (3, "", 1, 0), (None, "", 1, 2), (None, "x", 2, 2), (4, "", 1, 1), (4, "b" * 30, 1, 1)}
+    counts = search._counted(df, "doc_id", "text")
+    assert set(map(tuple, counts.collect())) == want and counts.count() == len(want)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    twice = search._counted(df.unionByName(df), "doc_id", "text")
+    assert set(map(tuple, twice.collect())) == {(i, t, 2 * n, dl) for i, t, n, dl in want}
+    index = search.SearchIndex.write(df, str(tmp_path / "index"))
+    assert spark.read.parquet(f"{index.path}/postings").count() == 5
