@@ -306,3 +306,13 @@ def test_words_are_counted_where_they_are_read(spark, tmp_path):
     assert set(map(tuple, twice.collect())) == {(i, t, 2 * n, dl) for i, t, n, dl in want}
     index = search.SearchIndex.write(df, str(tmp_path / "index"))
     assert spark.read.parquet(f"{index.path}/postings").count() == 5
+
+
+def test_a_search_keeps_its_counts_once(spark, monkeypatch):
+    """The postings follow from the stored counts: no second copy of them is written."""
+    kept = []
+    plain = search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df: (kept.append(set(df.columns)), plain(df))[1])
+    docs = spark.createDataFrame([(i, f"a b{i % 3}") for i in range(9)], "doc_id int, text string")
+    search.search_corpus(spark.createDataFrame([(1, "b1 a")], "query_id int, query string"), docs, 2).collect()
+    assert sum({"doc_id", "term"} <= columns for columns in kept) == 1
