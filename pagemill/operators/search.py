@@ -40,6 +40,11 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NO_TOKEN), "")
 
 
+def spaced_tokens(text: Column) -> Column:
+    """The same in one string, runs of anything else being a space."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NO_TOKEN, " ")
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, term, tf, dl) of (doc_id, words in one string); the empty term marks each document."""
     for batch in batches:
@@ -63,7 +68,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, term, tf, dl) of every document; counts of rows with one id are added up."""
-    words = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), _NO_TOKEN, " ")
+    words = spaced_tokens(F.col(text))
     kind = docs.schema[doc_id].dataType.simpleString()
     counts = docs.select(F.col(doc_id).alias("doc_id"), words.alias("words")).mapInArrow(_count_words, f"doc_id {kind}, term string, tf bigint, dl int")
     # a document's words are in one row and are counted where they are read; only repeated ids need a shuffle

@@ -605,7 +605,7 @@ def search_papers_many(spark, sf):
         )).alias("q")
     ).select("q.*")
     path = scratch_path(spark, "paper-postings")
-    papers.paper_postings(_papers(spark, sf)).sortWithinPartitions("term", "next").write.option("compression", "zstd").parquet(path)
+    papers.paper_postings(_papers(spark, sf)).write.option("compression", "zstd").parquet(path)
     out = papers.search_papers_many(spark.read.parquet(path), asked, limit=25)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 

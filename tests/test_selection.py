@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,3 +318,56 @@ def test_a_search_keeps_its_counts_once(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b{i % 3}") for i in range(9)], "doc_id int, text string")
     search.search_corpus(spark.createDataFrame([(1, "b1 a")], "query_id int, query string"), docs, 2).collect()
     assert sum({"doc_id", "term"} <= columns for columns in kept) == 1
+
+
+def test_paper_searches_match_where_papers_are_read(spark, monkeypatch):
+    """A row for each paper, queries in several blocks, repeated and missing ids, words of any length; the plain result."""
+    rng = random.Random(5)
+    words = ["a", "b", "c", "d", "é1", "long" * 9, "zz"]
+    text = lambda k: " ".join(rng.choices(words, [9, 7, 5, 3, 2, 1, 1], k=k))
+    rows = [("arxiv", None if i % 40 == 7 else f"{i % 90:03d}", text(rng.randint(0, 30)), text(rng.randint(0, 9)) if i % 5 else None) for i in range(200)]
+    rows += [("crossref", "000", "a b c d", "zz")]
+    asked = [(q, text(rng.randint(0, 9))) for q in range(150)] + [(149, "a"), (150, "a nowhere"), (151, "a b c d nowhere"), (152, "é1, LONG" + "long" * 8)]
+    df = spark.createDataFrame(rows, "source string, id string, title string, summary string")
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    by_id = {}
+    for kind, i, *fields in rows:
+        if kind == "arxiv":
+            by_id.setdefault(i, []).append([f or "" for f in fields])
+
+    def matches(query):
+        w = query.lower().replace(",", "").split()
+        for i, papers_of in by_id.items():
+            fields = [f for x in papers_of for f in x]
+            held = {t for f in fields for t in f.split()}
+            if 1 < len(w) <= 4:
+                if i is not None and any(f" {' '.join(w)} " in f" {f} " for f in fields):
+                    yield i
+            elif w and set(w) <= held and (i is not None or len(set(w)) == 1):
+                yield i
+
+    want = []
+    for q, query in asked:
+        if q != 149:  # not unique
+            ids = sorted(matches(query), key=lambda i: (i is not None, i))
+            want += [(q, rank, i) for rank, i in enumerate(ids[:25], 1)]
+    postings = papers.paper_postings(df)
+    assert postings.count() == len(rows)  # not one row for each place
+    for block, pairs, most in ((500_000, 1 << 21, 10**6), (40, 50, 10)):
+        monkeypatch.setattr(papers, "ASKED_ROWS", block)
+        monkeypatch.setattr(papers, "MATCH_PAIRS", pairs)
+        got = papers.search_papers_many(postings, queries, 25, round_papers=most).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[:2]) == want
+
+
+def test_many_paper_searches_go_to_the_papers(spark):
+    """Matching sees whole rows: no table of places is shuffled, however many queries there are."""
+    asked = pa.table({"query_id": [1, 2, 3, 4], "phrase": [True, True, False, False], "words": [["a", "b"], ["a", "b", "a", "c"], ["c", "a"], ["x"]]})
+    ids, fields = pa.array(["1", "2", None, "4"]), pa.array([["a b a c", ""], ["a c", "b"], ["x a b"], []])
+    kind = np.array([3, 3, 3, 3])
+    got = papers._match(papers._Asked(asked), ids, fields, kind)
+    assert sorted(zip(*(c.to_pylist() for c in got)), key=str) == [(1, "1"), (2, "1"), (3, "1"), (3, "2"), (4, None)]
+    lists_only = papers._match(papers._Asked(asked), ids, fields, np.array([2, 1, 1, 1]))
+    assert sorted(zip(*(c.to_pylist() for c in lists_only)), key=str) == [(3, "1")]
+    nobody = papers._match(papers._Asked(asked.slice(0, 0)), ids, fields, kind)
+    assert len(nobody[0]) == 0
